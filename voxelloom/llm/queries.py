@@ -46,8 +46,8 @@ ORACLES = {
             FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
                   FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
         occ AS (SELECT doc_id, item_id, i, n FROM runs JOIN win USING (n, k)),
-        hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit
-                FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM occ) GROUP BY doc_id),
+        hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+                FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM occ) GROUP BY doc_id),
         found AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
                   FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
