@@ -8,22 +8,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelloom.llm import decontaminate, exact_dedup
+from voxelloom.llm import decontaminate, exact_dedup, minhash, sampling, toxicity
 from voxelloom.llm.common import Scratch, read
+from voxelloom.llm.queries import tokenizer_path
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are near copies, directly or by way of others, that with the least doc_id stays."""
+    return minhash.drop_near_copies(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go from the texts; texts that are mostly such passages go."""
     return decontaminate.remove_hits(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact dedup", exact), ("decontamination", benchmark)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the ids of the text, and sampled segmentations."""
+    made = sampling.encode_and_sample(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), keep_ids=True)
+    return made.select("doc_id", "n_ids", "ids_crc32", "round_trip", "samples", "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", remove_benchmark),
+    ("SentencePiece encoding and decoding", encode),
+]
 
+#: SQL can express neither the trained score nor the signatures; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
