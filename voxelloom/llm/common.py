@@ -107,3 +107,9 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 def local_path(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file:") else os.fspath(path)
+
+
+def shield(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list]:
+    """The frame with its columns of these names renamed, and the columns that give all of them back under their own names."""
+    clash = {c: f"_own_{c}" for c in df.columns if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed(clash), [F.col(clash[c]).alias(c) if c in clash else F.col(c) for c in df.columns]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, raw, with_arrow
+from .common import Scratch, raw, shield, with_arrow
 
 WINDOW = 13
 #: Words of one automaton: about 300 bytes of Python each, so 150 MB at most.
@@ -273,7 +273,8 @@ def remove_hits(
     null texts stay null. Spans are those of the text as given: what comes
     together where a span was is not searched again.
     """
-    found = find_hits(docs, benchmark, window, block_words)
+    safe, back = shield(docs, ["n_words", "hit_spans", "hit_items"])
+    found = find_hits(safe, benchmark, window, block_words)
     hit = F.expr("aggregate(hit_spans, 0L, (s, x) -> s + x.end - x.begin)")
     kept = found.filter((hit == 0) | (hit < drop_coverage * F.col("n_words")))
 
@@ -293,7 +294,7 @@ def remove_hits(
         changed = F.size("hit_spans") > 0
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.select(*back)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shield
 
 #: Bytes of the first digit, which alone tells most texts apart.
 FIRST = 64
@@ -117,4 +117,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each text, with the columns of docs."""
-    return exact_groups(docs).filter("kept").select(*docs.columns)
+    safe, back = shield(docs, ["keep_id", "group_size", "kept"])
+    return exact_groups(safe).filter("kept").select(*back)

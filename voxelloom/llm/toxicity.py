@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow
+from .common import shield, texts, with_arrow
 
 #: Labelled documents that the model is fitted on, at most, and bytes of each of them that the lexicon is counted on.
 SAMPLE_DOCS = 6000
@@ -33,7 +33,7 @@ SAMPLE_BYTES = 32 << 20
 #: Terms of the lexicon, at most; lift and toxic documents that a term needs at least.
 TERMS, LIFT, SUPPORT = 400, 25.0, 5
 #: Lengths of word beginnings that can be terms; one edit is allowed in terms of so many letters.
-STEM = range(5, 10)
+STEM = range(4, 10)
 FUZZY = 5
 #: Words on either side of a term that are looked at.
 CONTEXT = 6
@@ -89,8 +89,9 @@ class LexiconAutomaton:
             for c in self.child[n].values():
                 depth[c] = depth[n] + 1
                 order.append(c)
+        self.long = [depth[n] >= self.fuzzy for n in range(len(self.child))]  # whether a term that ends here may have an edit
         for n in reversed(order):
-            self.deep[n] = self.whole[n] >= 0 and depth[n] >= self.fuzzy or any(self.deep[c] for c in self.child[n].values())
+            self.deep[n] = self.whole[n] >= 0 and self.long[n] or any(self.deep[c] for c in self.child[n].values())
 
     def _close(self, states: frozenset) -> frozenset:
         """Adds what a deletion reaches: a letter of the term that the word lacks."""
@@ -127,7 +128,7 @@ class LexiconAutomaton:
             for node, edits in states:
                 if not edits and self.stem[node] >= 0:
                     stem = (self.stem[node], 0)
-        best = min(((e, self.whole[n]) for n, e in states if self.whole[n] >= 0 and (e == 0 or self.deep[n])), default=None)
+        best = min(((e, self.whole[n]) for n, e in states if self.whole[n] >= 0 and (e == 0 or self.long[n])), default=None)
         return (best[1], best[0]) if best and (best[0] == 0 or not stem) else stem
 
 
@@ -210,33 +211,48 @@ def _terms_of(text: str) -> set[str]:
     return found
 
 
-def learn_lexicon(rows: list[tuple[str, int]], terms: int = TERMS, lift: float = LIFT, support: int = SUPPORT) -> tuple[list[str], list[float]]:
-    """Terms that toxic documents have so many times as often as others, the strongest first, and their log lifts.
+def candidate_terms(rows: list[tuple[str, int]], support: int = SUPPORT) -> list[set[str]]:
+    """Of each row the terms that enough toxic rows have; only toxic rows' terms are ever all held."""
+    seen: Counter = Counter()
+    for text, toxic in rows:
+        if toxic:
+            seen.update(_terms_of(text))
+    wanted = {t for t, n in seen.items() if n >= support}
+    del seen
+    return [_terms_of(text) & wanted for text, _ in rows]
+
 
-    A word beginning that says no more than a longer term with as many
-    documents gives way to it.
+def learn_lexicon(found: list[set[str]], labels: list[int], terms: int = TERMS, lift: float = LIFT, support: int = SUPPORT) -> tuple[list[str], list[float]]:
+    """Terms that toxic rows have so many times as often as others, the strongest first, and their log lifts.
+
+    found: the candidate terms of each row. A word beginning that says no more
+    than a longer term with as many rows gives way to it. With few rows the
+    lift that a term without any clean row can reach is enough.
     """
-    size = [0, 0]
+    size = [labels.count(0), labels.count(1)]
     count = (Counter(), Counter())
-    for text, toxic in rows:
-        size[toxic] += 1
-        count[toxic].update(_terms_of(text))
+    for row, toxic in zip(found, labels):
+        count[toxic].update(row)
     if not size[0] or not size[1]:
         return [], []
+    least = min(lift, support * size[0] / size[1] / 2)
     scored = []
     for term, n in count[1].items():
-        if n >= support:
-            ratio = (n / size[1]) / ((count[0][term] + 1) / size[0])
-            if ratio >= lift * min(1, support * size[0] / size[1] / lift / 2) and n > 2 * count[0][term] * size[1] / size[0]:
-                scored.append((ratio, term))
+        ratio = (n / size[1]) / ((count[0][term] + 1) / size[0])
+        if n >= support and ratio >= least and n > 2 * count[0][term] * size[1] / size[0]:
+            scored.append((ratio, term))
     chosen: list[str] = []
     weights: list[float] = []
-    for ratio, term in sorted(scored, key=lambda x: (-x[0], -len(x[1]), x[1])):
+    whole: dict[str, int] = {}  # beginnings of the whole words chosen, with the rows of the most frequent one
+    for ratio, term in sorted(scored, key=lambda x: (-x[0], x[1].endswith("*"), -len(x[1]), x[1])):
         letters = term.rstrip("*")
-        if any(letters != t.rstrip("*") and t.rstrip("*").startswith(letters) and count[1][t] >= count[1][term] for t in chosen if not t.endswith("*")):
+        if whole.get(letters, 0) >= count[1][term]:
             continue
         chosen.append(term)
         weights.append(math.log(ratio))
+        if not term.endswith("*"):
+            for k in range(1, len(term)):
+                whole[term[:k]] = max(whole.get(term[:k], 0), count[1][term])
         if len(chosen) == terms:
             break
     return chosen, weights
@@ -259,15 +275,16 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 
 def fit(rows: list[tuple[str, int]], folds: int = 4) -> Model:
     """Learns the lexicon, and the regression on features of texts that the lexicon has not seen (by cross-fitting)."""
-    terms, weights = learn_lexicon(rows)
+    labels = [toxic for _, toxic in rows]
+    found = candidate_terms(rows)
+    terms, weights = learn_lexicon(found, labels)
     xs, ys = [], []
     for k in range(folds):
-        part = [r for i, r in enumerate(rows) if i % folds != k]
-        scorer = Scorer(Model(*learn_lexicon(part)))
-        for i, (text, toxic) in enumerate(rows):
-            if i % folds == k:
-                xs.append(scorer.features(text))
-                ys.append(toxic)
+        part = [i for i in range(len(rows)) if i % folds != k]
+        scorer = Scorer(Model(*learn_lexicon([found[i] for i in part], [labels[i] for i in part])))
+        for i in range(k, len(rows), folds):
+            xs.append(scorer.features(rows[i][0]))
+            ys.append(labels[i])
     if not xs or len(set(ys)) < 2:
         share = (sum(ys) + 0.5) / (len(ys) + 1.0)
         return Model(terms, weights, [math.log(share / (1 - share))] + [0.0] * 9)
@@ -336,10 +353,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are not predicted to be toxic, with the columns of docs."""
-    kept = docs.columns
-    tagged = docs.withColumnsRenamed({c: f"_{c}" for c in ("score", "predicted") if c in kept})
-    back = [F.col(f"_{c}").alias(c) if c in ("score", "predicted") else F.col(c) for c in kept]
-    return score(tagged, train(docs, labels)).filter("predicted = 0").select(*back)
+    safe, back = shield(docs, ["score", "predicted"])
+    return score(safe, train(docs, labels)).filter("predicted = 0").select(*back)
 
 
 def crc_held_out(doc_id: int) -> bool:

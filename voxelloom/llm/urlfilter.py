@@ -135,7 +135,8 @@ def captures_of(pages: DataFrame) -> DataFrame:
 def report(pages: DataFrame) -> DataFrame:
     captures = captures_of(pages)
     hosts = captures.select(url_parts(F.col("url"))[0].alias("host")).filter("host IS NOT NULL").distinct()
-    return apply_lists(captures, sample_list(pages.sparkSession, hosts)).select("page_id", "url", "host", "n_active", "verdict", "entry_id")
+    found = apply_lists(captures, sample_list(pages.sparkSession, hosts))
+    return found.select("page_id", "url", "host", "n_active", "verdict", F.coalesce("entry_id", F.lit(0)).alias("entry_id"))
 
 
 def oracle() -> str:
@@ -160,5 +161,5 @@ def oracle() -> str:
             FROM c JOIN v ON change = 'add' AND fetched >= since AND (until IS NULL OR fetched < until) AND (
                  kind = 'host' AND host = value OR kind = 'domain' AND (host = value OR ends_with(host, '.' || value))
                  OR kind = 'prefix' AND (host || rtrim(path, '/') = value OR starts_with(host || path, value || '/'))))
-        SELECT c.page_id, url, host, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(action, 'none') AS verdict, CAST(entry_id AS BIGINT) AS entry_id
+        SELECT c.page_id, url, host, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(action, 'none') AS verdict, CAST(coalesce(entry_id, 0) AS BIGINT) AS entry_id
         FROM c LEFT JOIN m ON c.page_id = m.page_id AND k = 1"""
