@@ -6,7 +6,7 @@ new coordinates there; none needs a join of coordinates with coordinates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def pad(voxels: DataFrame, shape: Shape, before: Shape, after: Shape, mode: str
         one = F.sequence(F.pmod(c + b, F.lit(period)), F.lit(total + period), F.lit(period))
         two = F.sequence(F.pmod(F.lit(b) - c, F.lit(period)), F.lit(total + period), F.lit(period))
         places = F.filter(F.array_union(one, two), lambda q: q < total)
-        out = out.withColumn(a, F.explode(places).cast("int"))
+        out = out.withColumn(a, F.explode(places.cast("array<int>")))
     return out.select(*voxels.columns)
 
 
@@ -219,7 +219,7 @@ def resize_nearest(voxels: DataFrame, shape: Shape, to: Shape) -> DataFrame:
         high = F.least(F.ceil(((c + 1) * (2 * m) - n) / (2 * n)) - 1, F.lit(m - 1))
         out = out.withColumn(f"_{a}", F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))
     for a in AXES:
-        out = out.withColumn(a, F.explode(f"_{a}").cast("int")).drop(f"_{a}")
+        out = out.withColumn(a, F.explode(F.col(f"_{a}").cast("array<int>"))).drop(f"_{a}")
     return out
 
 
@@ -230,15 +230,21 @@ def resize_linear(voxels: DataFrame, shape: Shape, to: Shape) -> DataFrame:
         if n == m:
             continue
         c = F.col(a)
-        at = lambda q, n=n, m=m: _clamped((q + 0.5) * n / m - 0.5, n - 1)
+        at = _centre(n, m)
         reach = int(m / n) + 2
         first = F.floor((c - 0.5) * m / n - 0.5).cast("int") - 1
-        places = F.filter(F.sequence(F.greatest(first, F.lit(0)), F.least(first + 2 * reach + 4, F.lit(m - 1))), lambda q, at=at, c=c: F.abs(at(q) - c) < 1)
+        near = F.sequence(F.greatest(first, F.lit(0)), F.least(first + 2 * reach + 4, F.lit(m - 1)))
+        places = F.filter(near, _within_one(at, c))
         moved = out.withColumn("_q", F.explode(places)).withColumn("_w", 1 - F.abs(at(F.col("_q")) - c))
         keys = ["volume_id", *[F.col("_q").cast("int").alias(a) if x == a else F.col(x) for x in AXES]]
         out = moved.groupBy(*keys).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
     return out
 
 
-def _clamped(x: Column, top: int) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(float(top)))
+def _centre(n: int, m: int) -> Callable[[Column], Column]:
+    """Where the centre of new place q of m lies among n old ones, kept within them."""
+    return lambda q: F.least(F.greatest((q + 0.5) * n / m - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
+
+
+def _within_one(at: Callable[[Column], Column], c: Column) -> Callable[[Column], Column]:
+    return lambda q: F.abs(at(q) - c) < 1

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..model import AXES
 
-LABEL = F.col("label")
 PLACE = ("volume_id", *AXES)
 
 
@@ -82,7 +81,7 @@ def medians(labels: DataFrame) -> DataFrame:
 
 def counts(labels: DataFrame) -> DataFrame:
     """Number of instances of each volume."""
-    return labels.groupBy("volume_id").agg(F.count_distinct(F.when(LABEL != 0, LABEL)).alias("n_instances"))
+    return labels.groupBy("volume_id").agg(F.count_distinct(F.when(F.col("label") != 0, F.col("label"))).alias("n_instances"))
 
 
 def total_objects(labels: DataFrame) -> DataFrame:

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
-V = F.col("value")
-
-
 def _with(voxels: DataFrame, *aggregates, group: str = "volume_id") -> DataFrame:
     return voxels.join(voxels.groupBy(group).agg(*aggregates), group)
 
@@ -33,10 +30,10 @@ def clip_norm(voxels: DataFrame, low: float = 1.0, high: float = 99.0, clip: boo
     """Clips to percentiles and scales to [0, 1]; a constant volume stays as it is after clipping."""
     v = voxels
     if clip:
-        v = percentile_bounds(v, low, high, group).withColumn("value", S.clip(V, F.col("lo"), F.col("hi"))).drop("lo", "hi")
+        v = percentile_bounds(v, low, high, group).withColumn("value", S.clip(F.col("value"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
     v = _with(v, F.min("value").alias("_a"), F.max("value").alias("_b"), group=group)
     a, b = F.col("_a"), F.col("_b")
-    return v.withColumn("value", F.when(b > a, (V - a) / (b - a)).otherwise(b)).drop("_a", "_b")
+    return v.withColumn("value", F.when(b > a, (F.col("value") - a) / (b - a)).otherwise(b)).drop("_a", "_b")
 
 
 def preprocess(
@@ -45,11 +42,11 @@ def preprocess(
     """Clips, standardises by moments, scales to [0, 1] and then to [-scale / 2, scale / 2], each if asked for."""
     v = voxels
     if clip:
-        v = percentile_bounds(v, low, high, group).withColumn("value", S.clip(V, F.col("lo"), F.col("hi"))).drop("lo", "hi")
+        v = percentile_bounds(v, low, high, group).withColumn("value", S.clip(F.col("value"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
     if moments:
         v = zscore(v, group)
     if normalize:
-        v = clip_norm(v, clip=False, group=group).withColumn("value", V * F.lit(scale) - F.lit(scale / 2))
+        v = clip_norm(v, clip=False, group=group).withColumn("value", F.col("value") * F.lit(scale) - F.lit(scale / 2))
     return v
 
 
@@ -57,20 +54,20 @@ def zscore(voxels: DataFrame, group: str = "volume_id") -> DataFrame:
     """Minus the mean, by the standard deviation of the population; by the mean alone where that is 0."""
     v = _with(voxels, F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), group=group)
     s = F.col("_s")
-    return v.withColumn("value", F.when(s > 0, (V - F.col("_m")) / s).otherwise(V - F.col("_m"))).drop("_m", "_s")
+    return v.withColumn("value", F.when(s > 0, (F.col("value") - F.col("_m")) / s).otherwise(F.col("value") - F.col("_m"))).drop("_m", "_s")
 
 
 def rescale_const(voxels: DataFrame, low: float = -5.0, high: float = 20.0, group: str = "volume_id") -> DataFrame:
     """(value - low) / (high - low); 0 throughout a constant volume. NaN counts as low."""
-    v = voxels.withColumn("value", S.nan_to(V.cast("double"), low))
+    v = voxels.withColumn("value", S.nan_to(F.col("value").cast("double"), low))
     v = _with(v, F.min("value").alias("_a"), F.max("value").alias("_b"), group=group)
-    return v.withColumn("value", F.when(F.col("_b") > F.col("_a"), S.rescale(V, low, high)).otherwise(F.lit(0.0))).drop("_a", "_b")
+    return v.withColumn("value", F.when(F.col("_b") > F.col("_a"), S.rescale(F.col("value"), low, high)).otherwise(F.lit(0.0))).drop("_a", "_b")
 
 
 def binarize_midrange(voxels: DataFrame, group: str = "volume_id") -> DataFrame:
     """Whether each value is over the middle of its volume's range, as mask."""
     v = _with(voxels, F.min("value").alias("_a"), F.max("value").alias("_b"), group=group)
-    return v.withColumn("mask", V > (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
+    return v.withColumn("mask", F.col("value") > (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
 
 
 def stats(voxels: DataFrame, group: str = "volume_id") -> DataFrame:
@@ -83,7 +80,7 @@ def stats(voxels: DataFrame, group: str = "volume_id") -> DataFrame:
         F.stddev_pop("value").alias("std"),
         F.expr("percentile(value, 0.5d)").alias("median"),
         F.count("value").alias("n"),
-        F.count_if(V != 0).alias("n_nonzero"),
+        F.count_if(F.col("value") != 0).alias("n_nonzero"),
     )
 
 

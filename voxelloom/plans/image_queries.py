@@ -368,9 +368,10 @@ def avg_pool(spark, sf):
     return rounded(K.pool(v1(spark, sf), 4, "avg"), "value")
 
 
-@query(f"{_V1} SELECT volume_id, z // 2 AS pz, y // 2 AS py, x // 2 AS px, list(value ORDER BY z, y, x) AS patch FROM v GROUP BY ALL")
+@query(f"{_V1} SELECT volume_id, z // 2 AS pz, y // 2 AS py, x // 2 AS px, array_to_string(list(CAST(value AS BIGINT) ORDER BY z, y, x), ' ') AS patch FROM v GROUP BY ALL")
 def patchify(spark, sf):
-    return K.patchify(v1(spark, sf), 2)
+    p = K.patchify(v1(spark, sf), 2)
+    return p.withColumn("patch", F.array_join(F.transform("patch", lambda v: v.cast("long").cast("string")), " "))
 
 
 @query(f"{_V1} SELECT 'v1' AS volume_id, g.z, g.y, g.x, coalesce(value, 0.0) AS value FROM g LEFT JOIN v ON v.z = g.z AND v.y = g.y - 5 AND v.x = g.x - 3")

@@ -219,15 +219,12 @@ def voxel_align(spark, sf):
 # ---- components and basins
 
 
-_NEAR = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) AS d(dz, dy, dx)"
-
-
-@query(f"""WITH RECURSIVE {LA_SQL}, m AS (SELECT z, y, x, z * 256 + y * 16 + x AS id FROM la WHERE value * 2048 > 1.05 * (SELECT sum(value) FROM v)),
-    e AS (SELECT m.id AS a, n.id AS b FROM m, {_NEAR}, m AS n WHERE n.z = m.z + dz AND n.y = m.y + dy AND n.x = m.x + dx),
+@query(f"""WITH RECURSIVE {LA_SQL}, m AS MATERIALIZED (SELECT z, y, x, z * 256 + y * 16 + x AS id FROM la WHERE value * 2048 > 1.05 * (SELECT sum(value) FROM v)),
+    e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m AS a JOIN m AS b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1),
     r(a, b) AS (SELECT id, id FROM m UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-    c AS (SELECT b AS id, min(a) AS root FROM r GROUP BY b)
-    SELECT 'v1' AS volume_id, g.z, g.y, g.x, CAST(coalesce(k, 0) AS INTEGER) AS label FROM g LEFT JOIN c ON c.id = g.z * 256 + g.y * 16 + g.x
-    LEFT JOIN (SELECT root, dense_rank() OVER (ORDER BY root) AS k FROM (SELECT DISTINCT root FROM c)) USING (root)""")
+    c AS MATERIALIZED (SELECT b AS id, min(a) AS root FROM r GROUP BY b),
+    k AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY root) AS label FROM c)
+    SELECT 'v1' AS volume_id, z, y, x, CAST(coalesce(label, 0) AS INTEGER) AS label FROM g LEFT JOIN k ON k.id = g.z * 256 + g.y * 16 + g.x""")
 def components(spark, sf):
     v = v1(spark, sf)
     total = v.agg(F.sum("value").alias("_t"))
