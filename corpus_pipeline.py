@@ -6,6 +6,9 @@ as Parquet and read again as the documents of the next one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelloom.llm import decontaminate, exact_dedup, minhash, sampling, toxicity
@@ -13,26 +16,55 @@ from voxelloom.llm.common import Scratch, read
 from voxelloom.llm.queries import tokenizer_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Scratch tables of stages whose results may not have been written yet.
+_left: list[Scratch] = []
+
+
+def stage(work: Stage) -> Stage:
+    """Frees the scratch tables of earlier stages, whose results the documents given are read from; not those the documents still come from."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left:
+            files = docs.inputFiles()
+            for old in [x for x in _left if not any(x.root.split(":", 1)[-1].lstrip("/") in f for f in files)]:
+                _left.remove(old)
+                old.drop()
+        begun = len(Scratch.made)
+        out = work(spark, docs, sf_dir)
+        _left.extend(Scratch.made[begun:])
+        return out
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be toxic go."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are near copies, directly or by way of others, that with the least doc_id stays."""
     return minhash.drop_near_copies(docs)
 
 
+@stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go from the texts; texts that are mostly such passages go."""
     return decontaminate.remove_hits(docs, read(spark, sf_dir, "benchmark"))
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text, and sampled segmentations."""
     made = sampling.encode_and_sample(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), keep_ids=True)
@@ -54,8 +86,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.write(docs, f"stage{k}")
             if k:

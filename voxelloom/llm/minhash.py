@@ -267,9 +267,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, that with the least doc_id, with the columns of docs."""
-    members = near_classes(docs, **options)
-    gone = members.filter("tid <> class_tid").select("tid")
-    tagged = docs.withColumn("_tid", _tid(docs))
-    heads = members.filter("tid = class_tid").select(F.col("tid").alias("_tid"), F.col("class_id").alias("_head"))
-    left = tagged.join(gone.withColumnRenamed("tid", "_tid"), "_tid", "left_anti")
-    return left.join(heads, "_tid", "left").filter("_head IS NULL OR doc_id = _head").select(*docs.columns)
+    members = near_classes(docs, **options).select(F.col("tid").alias("_tid"), F.col("class_tid").alias("_head"), F.col("class_id").alias("_least"))
+    tagged = docs.withColumn("_tid", _tid(docs)).join(members, "_tid", "left")
+    alone = F.col("_head").isNull()
+    return tagged.filter(alone | ((F.col("_tid") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_least")))).select(*docs.columns)
