@@ -154,3 +154,18 @@ def test_mlstm_is_its_recurrence():
         s = q[t] / np.sqrt(d)
         want.append(c @ s / (max(abs(norm @ s), np.exp(-m)) + 1e-6))
     assert np.allclose(mlstm_parallel(q, k, v, i, f), want)
+
+
+def test_cubic_resampling():
+    a = np.random.default_rng(6).random((4, 7, 9))
+    assert np.allclose(U.resize_cubic(a, a.shape), a)
+    x = np.linspace(0, 1, 40)
+    smooth = np.sin(3 * x)[None, None, :] * np.ones((2, 3, 1))
+    up = U.resize_cubic(smooth, (2, 3, 80))
+    at = ((np.arange(80) + 0.5) / 2 - 0.5) / 39
+    assert np.abs(up[0, 0, 20:-20] - np.sin(3 * at[20:-20])).max() < 1e-5
+    assert np.allclose(U.resize_cubic(np.full((4, 4, 4), 2.0), (2, 7, 3)), 2.0)
+    # the spline goes through the samples
+    c = U._spline_coefficients(a)
+    inner = (c[..., :-2] + 4 * c[..., 1:-1] + c[..., 2:]) / 6
+    assert np.allclose(inner, a[..., 1:-1])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import AXES
@@ -12,18 +13,20 @@ from ..model import AXES
 PLACE = ("volume_id", *AXES)
 
 
-def _save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage by a table in the shared checkpoint folder; without one by a reliable checkpoint of our own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, in one of our own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        import tempfile
-
         root = tempfile.mkdtemp(prefix="voxelloom-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _save(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage by a table in the shared folder."""
+    path = shared_folder(df.sparkSession, name) + ".parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---- renumbering

@@ -65,6 +65,14 @@ def smooth_threshold(voxels: DataFrame, shape: Sequence[int], threshold: float =
     return out
 
 
+def masks(voxels: DataFrame, shape: Sequence[int], sigma: float = 3.0, threshold: float = 0.4) -> DataFrame:
+    """Masks from images: over the middle of the volume's range, smoothed and thresholded again. A constant volume is empty."""
+    from .normalize import binarize_midrange
+
+    m = binarize_midrange(voxels).withColumn("value", F.col("mask").cast("double")).drop("mask")
+    return gaussian(m, shape, sigma).withColumn("mask", F.col("value") > threshold).drop("value")
+
+
 def sobel(voxels: DataFrame, shape: Sequence[int]) -> DataFrame:
     """Adds gz, gy, gx: differences along an axis, smoothed by 1 2 1 along the others."""
     out = voxels

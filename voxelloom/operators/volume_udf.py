@@ -142,6 +142,78 @@ def distances(voxels: DataFrame) -> DataFrame:
     return voxels.select("volume_id", *AXES, "value").groupBy("volume_id").applyInPandas(one, _SCHEMA)
 
 
+# ---- resampling
+
+
+def _spline_coefficients(a: np.ndarray) -> np.ndarray:
+    """Cubic B-spline coefficients along the last axis, ends mirrored without repeating the edge (Unser)."""
+    n, pole = a.shape[-1], np.sqrt(3.0) - 2.0
+    if n == 1:
+        return a.astype(float)
+    c = a.astype(float) * 6.0
+    powers = pole ** np.arange(2 * n - 2)
+    around = np.concatenate([c, c[..., -2:0:-1]], axis=-1)
+    c[..., 0] = (around * powers).sum(-1) / (1 - pole ** (2 * n - 2))
+    for k in range(1, n):
+        c[..., k] += pole * c[..., k - 1]
+    c[..., -1] = pole / (pole * pole - 1) * (c[..., -1] + pole * c[..., -2])
+    for k in range(n - 2, -1, -1):
+        c[..., k] = pole * (c[..., k + 1] - c[..., k])
+    return c
+
+
+def _spline_weights(t: np.ndarray) -> list[np.ndarray]:
+    return [(1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6]
+
+
+def resize_cubic(a: np.ndarray, shape: tuple[int, ...], anti_alias: bool = True) -> np.ndarray:
+    """Cubic spline interpolation at the centres of the new cells; axes that shrink are smoothed before."""
+    out = a.astype(float)
+    for axis, m in enumerate(shape):
+        n = out.shape[axis]
+        if n == m:
+            continue
+        moved = np.moveaxis(out, axis, -1)
+        if anti_alias and m < n:
+            w = np.array(gaussian_weights((n / m - 1) / 2)) if n / m > 1.25 else np.ones(1)
+            r = len(w) // 2
+            p = np.pad(moved, [(0, 0)] * (moved.ndim - 1) + [(r, r)], "reflect" if n > r else "symmetric")
+            moved = sum(x * p[..., k : k + n] for k, x in enumerate(w))
+        c = _spline_coefficients(moved)
+        at = (np.arange(m) + 0.5) * n / m - 0.5
+        base = np.floor(at).astype(int)
+        period = max(2 * (n - 1), 1)
+        got = 0
+        for k, w in enumerate(_spline_weights(at - base)):
+            q = np.abs((base - 1 + k) % period)
+            q = np.where(q >= n, period - q, q)
+            got = got + w * c[..., q]
+        out = np.moveaxis(got, -1, axis)
+    return out
+
+
+def resize_volumes(voxels: DataFrame, shape: tuple[int, int, int], anti_alias: bool = True) -> DataFrame:
+    """Cubic resampling of each volume."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        _, (a,) = _dense(frame, ["value"])
+        out = resize_cubic(a, shape, anti_alias)
+        where = np.indices(out.shape).reshape(3, -1)
+        return pd.DataFrame({"volume_id": frame.volume_id.iloc[0], "z": where[0], "y": where[1], "x": where[2], "value": out.ravel()})
+
+    return voxels.select("volume_id", *AXES, "value").groupBy("volume_id").applyInPandas(one, _SCHEMA)
+
+
+def map_volumes(voxels: DataFrame, work) -> DataFrame:
+    """Any function of a dense array, volume by volume."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        at, (a,) = _dense(frame, ["value"])
+        return frame.assign(value=work(a)[tuple(at.T)])
+
+    return voxels.select("volume_id", *AXES, "value").groupBy("volume_id").applyInPandas(one, _SCHEMA)
+
+
 # ---- flooding
 
 

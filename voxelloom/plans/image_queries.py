@@ -292,6 +292,17 @@ def twice_smooth_threshold(spark, sf):
     return plain(K.smooth_threshold(mask, SHAPE))
 
 
+def _masks_sql() -> str:
+    more, last = _passes("b", [(a, K.gaussian_weights(3.0)) for a in AXES])
+    return f"""{_V1}, b AS (SELECT z, y, x, CASE WHEN value > (SELECT (min(value) + max(value)) / 2 FROM v) THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM v), {more}
+        SELECT 'v1' AS volume_id, z, y, x, value > 0.4 AS mask FROM {last}"""
+
+
+@query(_masks_sql())
+def mask_images(spark, sf):
+    return plain(K.masks(v1(spark, sf), SHAPE))
+
+
 def _sobel_sql() -> tuple[str, str]:
     parts, tables = [], []
     for axis in AXES:
@@ -449,6 +460,25 @@ def sliding_window(spark, sf):
     return plain(rounded(I.sliding_window(v1(spark, sf), SHAPE, lambda x: x, Config(tile=32, keep=16, step=16)), "value"))
 
 
+@query()
+def resize_cubic(spark, sf):
+    return U.resize_volumes(v1(spark, sf), (6, 20, 12))
+
+
+@query()
+def zernike_filter(spark, sf):
+    """Tilt, defocus and spherical phases on the spectrum of each volume."""
+    return U.map_volumes(N.clip_norm(v1(spark, sf)), lambda a: Y.zernike_filter(a, {3: 0.1, 4: 0.2, 12: 0.05}))
+
+
+@query(f"WITH {LA_SQL} SELECT volume_id, count(DISTINCT CASE WHEN label <> 0 THEN label END) AS n_instances FROM la GROUP BY volume_id")
+def label_files(spark, sf):
+    """Written as a file for each volume, with the count of what the file holds."""
+    from ..operators.labels import shared_folder
+
+    return files.write_volumes(la(spark, sf), shared_folder(spark, "label-files"), "label").select("volume_id", "n_instances")
+
+
 # ---- layers
 
 

@@ -91,7 +91,7 @@ def write_volumes(voxels: DataFrame, root: str, column: str = "value", suffix: s
     """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        fs, where = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        fs, where = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
         fs.create_dir(where, recursive=True)
         at = frame[["z", "y", "x"]].to_numpy()
         a = np.zeros(at.max(0) + 1, dtype)
