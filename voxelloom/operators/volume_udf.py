@@ -99,9 +99,8 @@ def heat_parts(labels: DataFrame, low: float = -2.0, high: float = 20.0) -> Data
     """(volume_id, label, z, y, x, heat) of each instance of more than three voxels, from its bounding box with a margin of one."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"volume_id": [], "label": [], "z": [], "y": [], "x": [], "heat": []})
         if len(frame) <= 3:
-            return empty
+            return frame.iloc[:0].assign(heat=0.0)
         at = frame[list(AXES)].to_numpy()
         origin = at.min(0) - 1
         mask = np.zeros(at.max(0) - origin + 2, bool)
