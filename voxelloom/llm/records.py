@@ -28,15 +28,16 @@ from pyspark.sql import types as T
 
 from .common import Scratch, doc_texts, small_batches, texts, with_arrow
 
-#: Documents of a shard, about; some 50 MB of ids.
-SHARD_DOCS = 20_000
-#: Entries of the cache of chunk encodings, about 150 bytes each.
-CACHE_ENTRIES = 400_000
+#: Documents of a shard, about; some 20 MB of ids.
+SHARD_DOCS = 8_000
+#: Entries of the caches of the encodings of chunks and of their words, about 200 bytes each.
+CACHE_ENTRIES = 600_000
+WORD_ENTRIES = 500_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 48
 END_ID = 2
-#: The added token that stands between chunks encoded together, and its id.
-SEPARATOR = "<|startoftext|>"
+#: Signs at a chunk's end that the tokenizer parts from letters in front of them (the apostrophe may begin a contraction).
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # ---- framing
@@ -45,9 +46,13 @@ _POLY = 0x82F63B78  # Castagnoli, reflected
 _MASK = 0xA282EAD8
 
 
+#: Bytes of a segment: all segments of all payloads advance together, and are then put together payload by payload.
+_SEGMENT = 512
+
+
 @lru_cache(1)
-def _tables() -> np.ndarray:
-    """Tables to take eight bytes at a time."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Tables to take eight bytes at a time, and to advance a register by a segment of zeros."""
     t = np.zeros((8, 256), np.uint32)
     row = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -55,35 +60,50 @@ def _tables() -> np.ndarray:
     t[0] = row
     for k in range(1, 8):
         t[k] = t[0][t[k - 1] & 0xFF] ^ (t[k - 1] >> 8)
-    return t
+    ahead = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
+    for _ in range(_SEGMENT):
+        ahead = t[0][ahead & 0xFF] ^ (ahead >> 8)
+    return t, ahead
 
 
 def crc32c(payloads: list[bytes]) -> np.ndarray:
-    """CRC-32C of each payload; all of them advance together, eight bytes a step, the longest first."""
-    t = _tables()
-    lengths = np.fromiter(map(len, payloads), np.int64, len(payloads))
-    order = np.argsort(-lengths, kind="stable")
-    lengths = lengths[order]
-    starts = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join([payloads[i] for i in order]) + bytes(8), np.uint8)
-    crc = np.full(len(payloads), 0xFFFFFFFF, np.uint32)
-    whole, at = lengths // 8, starts.copy()
-    for step in range(int(whole[0]) if len(payloads) else 0):
-        n = int(np.searchsorted(-whole, -step, "left"))  # those with more than step words of eight bytes
-        a, c = at[:n], crc[:n]
-        low = c ^ (data[a].astype(np.uint32) | data[a + 1].astype(np.uint32) << 8 | data[a + 2].astype(np.uint32) << 16 | data[a + 3].astype(np.uint32) << 24)
-        c = t[7][low & 0xFF] ^ t[6][low >> 8 & 0xFF] ^ t[5][low >> 16 & 0xFF] ^ t[4][low >> 24]
-        for k in range(4):
-            c = c ^ t[3 - k][data[a + 4 + k]]
-        crc[:n] = c
-        at[:n] += 8
-    rest = lengths % 8
-    for step in range(7):
-        on = rest > step
-        crc[on] = t[0][(crc[on] ^ data[at[on] + step]) & 0xFF] ^ (crc[on] >> 8)
-    out = np.empty(len(payloads), np.uint32)
-    out[order] = crc ^ np.uint32(0xFFFFFFFF)
-    return out
+    """CRC-32C of each payload.
+
+    The start value 0xFFFFFFFF is the same as turning the first four bytes
+    over, and with a start value of 0 zeros in front change nothing; so each
+    payload is filled up in front to whole segments.
+    """
+    t, ahead = _tables()
+    n = len(payloads)
+    lengths = np.fromiter(map(len, payloads), np.int64, n)
+    short = np.flatnonzero(lengths < 4)
+    segments = np.maximum(-(-lengths // _SEGMENT), 1)
+    ends = np.cumsum(segments) * _SEGMENT
+    data = np.zeros(int(ends[-1]) if n else 0, np.uint8)
+    for p, size, end in zip(payloads, lengths.tolist(), ends.tolist()):
+        data[end - size : end] = np.frombuffer(p, np.uint8)
+    for k in range(4):
+        data[(ends - lengths)[lengths >= 4] + k] ^= 0xFF
+    table = data.reshape(-1, _SEGMENT)
+    crc = np.zeros(len(table), np.uint32)
+    words = table.view("<u4")
+    for w in range(0, _SEGMENT // 4, 2):
+        low, high = crc ^ words[:, w], words[:, w + 1]
+        crc = t[7][low & 0xFF] ^ t[6][low >> 8 & 0xFF] ^ t[5][low >> 16 & 0xFF] ^ t[4][low >> 24] ^ t[3][high & 0xFF] ^ t[2][high >> 8 & 0xFF] ^ t[1][high >> 16 & 0xFF] ^ t[0][high >> 24]
+    first = np.cumsum(segments) - segments
+    order = np.argsort(-segments, kind="stable")
+    out = np.zeros(n, np.uint32)
+    many = segments[order]
+    for k in range(int(many[0]) if n else 0):
+        on = order[: int(np.searchsorted(-many, -k, "left"))]
+        r = out[on]
+        out[on] = ahead[0][r & 0xFF] ^ ahead[1][r >> 8 & 0xFF] ^ ahead[2][r >> 16 & 0xFF] ^ ahead[3][r >> 24] ^ crc[first[on] + k]
+    for i in short.tolist():
+        r = 0xFFFFFFFF
+        for byte in payloads[i]:
+            r = int(t[0][(r ^ byte) & 0xFF]) ^ r >> 8
+        out[i] = r
+    return out ^ np.uint32(0xFFFFFFFF)
 
 
 def masked(crc: np.ndarray) -> np.ndarray:
@@ -123,41 +143,67 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _encode(self, chunks: list[str]) -> Iterator[bytes]:
-        """Ids of many chunks in few calls: chunks are joined by an added token, where the ids are cut again."""
-        groups = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
-        if self.separator is None or any(SEPARATOR in c or "<|" in c for c in chunks):
-            for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-                yield np.array(e.ids, self.dtype).tobytes()
-            return
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.separator)
-            data, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            begin = 0
-            for end in [*cuts.tolist(), len(ids)]:
-                yield data[begin * size : end * size]
-                begin = end + 1
+        """Ids of many chunks in few calls: they are joined by spaces, and the tokens' places say whose they are."""
+        size = self.dtype.itemsize
+        for k in range(0, len(chunks), 256):
+            group = chunks[k : k + 256]
+            lengths = np.fromiter(map(len, group), np.int64, len(group)) + 1
+            e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            data = np.array(e.ids, self.dtype).tobytes()
+            begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            cuts = (np.searchsorted(begins, np.cumsum(lengths)) * size).tolist()
+            at = 0
+            for cut in cuts:
+                yield data[at:cut]
+                at = cut
+
+    def _words(self, words: set[str]) -> None:
+        """Adds the ids of words to those known."""
+        if len(self.words) > WORD_ENTRIES:
+            self.words.clear()
+            self.words[""] = b""
+        new = list(words)
+        self.words.update(zip(new, self._encode(new)))
+
+    def _part(self, chunk: str) -> tuple[str, str]:
+        """The parts of a chunk that are encoded on their own: letters and the signs that follow, or the chunk as a whole.
+
+        The tokenizer lowers letters itself, one by one; so may we where that does not depend on what stands around.
+        """
+        word = chunk.rstrip(TAIL)
+        if not word.isalpha():
+            return chunk, ""
+        return (word if "Σ" in word or "İ" in word else word.lower()), chunk[len(word) :]
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         if len(self.kept) > CACHE_ENTRIES:
             self.kept.clear()
         split = [t.replace("\n", " ").split(" ") for t in batch]
-        new = list({c for chunks in split for c in chunks}.difference(self.kept))
-        odd = {c for c in new if "<|" in c}
-        plain = [c for c in new if c not in odd]
-        found = dict(zip(plain, self._encode(plain))) | (dict(zip(odd, self._encode(list(odd)))) if odd else {})
-        long = {c: found.pop(c) for c in new if len(c) > CACHE_CHARS}
-        self.kept.update(found)
+        kept = self.kept
+        new: set[str] = set()
+        for chunks in split:
+            new.update(chunks)
+        parts = {c: self._part(c) for c in new.difference(kept)}
+        wanted = {w for pair in parts.values() for w in pair}.difference(self.words)
+        self._words(wanted)
+        if any(w not in self.words for pair in parts.values() for w in pair):  # the cache was emptied
+            self._words({w for pair in parts.values() for w in pair}.difference(self.words))
+        words = self.words
+        found = {c: words[a] + words[b] for c, (a, b) in parts.items()}
+        long = {c: found.pop(c) for c in parts if len(c) > CACHE_CHARS}
+        for w in wanted:
+            if len(w) > CACHE_CHARS:
+                del words[w]
+        kept.update(found)
         if not long:
-            get = self.kept.__getitem__
+            get = kept.__getitem__
             return [b"".join(map(get, chunks)) for chunks in split]
-        both = self.kept.get
-        return [b"".join([long[c] if c in long else both(c) for c in chunks]) for chunks in split]
+        return [b"".join([long[c] if c in long else kept[c] for c in chunks]) for chunks in split]
 
 
 # ---- files
