@@ -393,6 +393,12 @@ class Sampler:
                     r["inclusion"] = float(-np.expm1(-np.exp(r["log_prob"] - threshold[t]))) if np.isfinite(threshold[t]) else 1.0
 
 
+@lru_cache(1)
+def sampler_of(path: str, samples: int) -> Sampler:
+    """That of this process, so that a worker's tasks share what it keeps."""
+    return Sampler(path, samples)
+
+
 _SAMPLE = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_ids", "ids_crc32")] + [T.StructField(n, T.DoubleType()) for n in ("log_prob", "perturbed", "inclusion")]
 )
@@ -419,7 +425,7 @@ def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples:
     kind = to_arrow_type(T.ArrayType(_SAMPLE))
 
     def start():
-        sampler = Sampler(path, samples)
+        sampler = sampler_of(path, samples)
         decode = sampler.pieces.decode
 
         def some(keys, batch):
