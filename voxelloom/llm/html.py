@@ -50,11 +50,11 @@ BOILERPLATE_ELEMENT = "nav footer aside form menu".split()
 BOILERPLATE_ROLE = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
 # Words of class and id names that speak for boilerplate, and for content.
 BOILERPLATE_NAME = (
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner billboard breadcrumb breadcrumbs byline captcha comment "
-    "commentlist comments consent cookie cookies copyright discussion disqus disclaimer donate footer footnav form gdpr header hidden "
+    "ad ads adv advert adverts advertisement advertising adbox adslot affiliate alert alerts announcement announcements banner billboard breadcrumb breadcrumbs byline captcha comment "
+    "commentlist comments consent cookie cookies copyright discussion disqus disclaimer donate feedback footer footnav form gdpr header hidden "
     "legal login masthead menu menus message messages modal nav navbar navigation newsletter notice notices notification overlay pager "
-    "pagination paywall popup print promo promos promoted promotion recommended register related replies reply respond responses "
-    "rightcol search share sharing shoutbox sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription survey "
+    "pagination paywall poll popular popup print promo promos promoted promotion recommended register related replies reply respond responses "
+    "rightcol search share sharing shoutbox sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription suggested survey "
     "tags teaser toolbar topbar tracking trending warning widget widgets"
 ).split()
 # Of those, the ones that hold for an article element inside them, too.
