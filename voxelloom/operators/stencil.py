@@ -147,29 +147,32 @@ def steepest_descent(voxels: DataFrame, step: int = 1) -> DataFrame:
     return best.select("volume_id", *AXES, "value", F.when(F.col("b.s") > 0, -F.col("b.k")).otherwise(F.lit(SINK)).cast("int").alias("direction"))
 
 
-def symmetry_votes(voxels: DataFrame, shape: Sequence[int], radius: float = 5) -> DataFrame:
-    """Votes for centres of symmetry: +1 a radius along each gradient, -1 a radius against it; halves are rounded to even."""
+def _votes(voxels: DataFrame, shape: Sequence[int], radii: Sequence[float]) -> DataFrame:
+    """(volume_id, r, z, y, x, value): votes of each radius, 0 where there are none; gradients are worked out once for all."""
     g = sobel(voxels, shape)
     norm = F.sqrt(F.col("gz") ** 2 + F.col("gy") ** 2 + F.col("gx") ** 2)
     on = g.withColumn("_n", norm).filter(F.col("_n") > 1e-8)
-    vote = lambda s: F.struct(*[F.rint(F.col(a) + s * radius * F.col(f"g{a}") / F.col("_n")).cast("int").alias(a) for a in AXES], F.lit(s).alias("w"))
-    cast = on.select("volume_id", F.explode(F.array(vote(1), vote(-1))).alias("v")).select("volume_id", "v.*")
+    vote = lambda s, r: F.struct(F.lit(float(r)).alias("r"), *[F.rint(F.col(a) + s * r * F.col(f"g{a}") / F.col("_n")).cast("int").alias(a) for a in AXES], F.lit(s).alias("w"))
+    cast = on.select("volume_id", F.explode(F.array(*[vote(s, r) for r in radii for s in (1, -1)])).alias("v")).select("volume_id", "v.*")
     for a, n in zip(AXES, shape):
         cast = cast.filter((F.col(a) >= 0) & (F.col(a) < n))
-    votes = cast.groupBy("volume_id", *AXES).agg(F.sum("w").cast("double").alias("value"))
-    grid = voxels.select("volume_id", *AXES)
-    return grid.join(votes, ["volume_id", *AXES], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    votes = cast.groupBy("volume_id", "r", *AXES).agg(F.sum("w").cast("double").alias("value"))
+    grid = voxels.select("volume_id", F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("r"), *AXES)
+    return grid.join(votes, ["volume_id", "r", *AXES], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def symmetry_votes(voxels: DataFrame, shape: Sequence[int], radius: float = 5) -> DataFrame:
+    """Votes for centres of symmetry: +1 a radius along each gradient, -1 a radius against it; halves are rounded to even."""
+    return _votes(voxels, shape, [radius]).drop("r")
 
 
 def multi_scale_symmetry(voxels: DataFrame, shape: Sequence[int], background: float = 0.05, radii: Sequence[float] = (7, 9, 11, 13), sigma: float = 0.5) -> DataFrame:
     """Smoothed votes of several radii, each scaled to [0, 1] within its volume, averaged; 0 where the voxel is background."""
-    parts = None
-    for r in radii:
-        votes = gaussian(symmetry_votes(voxels, shape, r), shape, sigma)
-        a = votes.groupBy("volume_id").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
-        scaled = votes.join(a, "volume_id").withColumn("value", safe_divide(F.col("value") - F.col("_a"), F.col("_b") - F.col("_a"))).drop("_a", "_b")
-        parts = scaled if parts is None else parts.unionByName(scaled)
-    mean = parts.groupBy("volume_id", *AXES).agg(F.avg("value").alias("sym"))
+    keyed = _votes(voxels, shape, radii).withColumn("_id", F.col("volume_id")).withColumn("volume_id", F.concat_ws("/", "volume_id", "r"))
+    smooth = gaussian(keyed, shape, sigma)
+    ends = smooth.groupBy("volume_id").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
+    scaled = smooth.join(ends, "volume_id").withColumn("value", safe_divide(F.col("value") - F.col("_a"), F.col("_b") - F.col("_a")))
+    mean = scaled.groupBy(F.col("_id").alias("volume_id"), *AXES).agg(F.avg("value").alias("sym"))
     both = voxels.join(mean, ["volume_id", *AXES])
     return both.withColumn("value", F.when(F.col("value") > background, F.col("sym")).otherwise(F.lit(0.0))).drop("sym")
 
