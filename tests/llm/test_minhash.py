@@ -70,7 +70,7 @@ def test_signature_estimates_probability_jaccard():
     assert (alone[0] == sign[0]).all()
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 2, "leaders": 2}])
+@pytest.mark.parametrize("options", [{}, {"block": 4, "splits": 2}, {"block": 3, "splits": 0}])
 def test_classes_are_brute_force(spark, options):
     rng = random.Random(5)
     docs = []
@@ -89,6 +89,26 @@ def test_classes_are_brute_force(spark, options):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def test_linking_pairs_are_brute_force():
+    rng = random.Random(3)
+    for _ in range(50):
+        sets = [np.array(sorted(rng.sample(range(12), rng.randrange(1, 12))), np.int64) for _ in range(rng.randrange(2, 9))]
+        classes = [rng.randrange(4) for _ in sets]
+        found = m.linking_pairs(sets, classes, 4, 5)
+        near = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+        assert set(found) <= near
+
+        def groups(pairs):
+            top = dict.fromkeys(classes)
+            top = {c: c for c in top}
+            for i, j in pairs:
+                a, b = top[classes[i]], top[classes[j]]
+                top = {c: b if t == a else t for c, t in top.items()}
+            return {frozenset(c for c in top if top[c] == t) for t in top.values()}
+
+        assert groups(found) == groups(near)
+
+
 def test_a_large_group_makes_few_pairs(spark):
     rng = random.Random(9)
     base = say(rng, 200)

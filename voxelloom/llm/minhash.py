@@ -10,12 +10,13 @@ arrival is later than the latest that any register holds.
 Bands of registers are hashed to buckets. Texts that meet in a bucket are
 verified by the exact Jaccard of their shingle sets; links make classes.
 
-Not all pairs of a bucket are looked at, yet no link is lost: all of a bucket
-is verified against its first text, classes are formed, and only buckets that
-still hold several classes go on, without that first text, and only with pairs
-from different classes. Small ones are then finished at once; large ones are
-split by a second band and get a few more leaders a round. A bucket of near
-copies, however large, is one class after its first round.
+Pairs of a bucket are never written out. All of a bucket is verified against
+its first text and classes are formed; a bucket of one class is done. A bucket
+that still holds several classes goes to one task as a whole, if it has at most
+``BLOCK`` texts: intersections of all its sets are counted there by matrix
+products, and only links that join classes leave it. A larger one is split by
+further bands first, which near copies share too, and what no band can split
+is dealt out in blocks, each against each.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ from .shingles import WIDTH, chunks, counted, mix, shingles
 SIMILARITY = 0.8
 #: Bands and registers in each: texts of similarity s meet with 1 - (1 - s**6)**32, at 0.8 that is 0.99994.
 BANDS, ROWS = 32, 6
-#: A bucket of so few texts has all its pairs of different classes verified at once.
-SMALL = 24
-#: Leaders a round in larger buckets.
-LEADERS = 16
+#: Texts of a bucket that one task looks at together; with sets of some thousand shingles, a few MB.
+BLOCK = 1000
+#: Times that larger buckets are split by a further band.
+SPLITS = 6
+#: Columns of a matrix product.
+_COLUMNS = 4096
 
 _GAMMA = np.uint64(0xD1342543DE82EF95)
 
@@ -122,14 +125,51 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def linking_pairs(sets: list[np.ndarray], classes: list, p: int, q: int) -> list[tuple[int, int]]:
+    """Pairs of sets of Jaccard p / q or more that join classes, as few as it takes."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = times[column] > 1  # what one set alone has is in no intersection
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    same = np.zeros((n, n), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + _COLUMNS])
+        part = np.zeros((n, _COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - begin] = 1
+        same += part @ part.T
+    number = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+    own = np.array([number[c] for c in classes])
+    near = (p + q) * same.astype(np.int64) >= p * (sizes[:, None] + sizes[None, :])
+    at = np.argwhere(np.triu(near & (own[:, None] != own[None, :]), 1))
+    top = list(range(len(number)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in at.tolist():
+        x, y = find(int(own[i])), find(int(own[j]))
+        if x != y:
+            top[x] = y
+            out.append((i, j))
+    return out
+
+
 def near_classes(
     docs: DataFrame,
     similarity: float = SIMILARITY,
     bands: int = BANDS,
     rows: int = ROWS,
     width: int = WIDTH,
-    small: int = SMALL,
-    leaders: int = LEADERS,
+    block: int = BLOCK,
+    splits: int = SPLITS,
 ) -> DataFrame:
     """(tid, class_tid, class_id, texts): the class of each text that has copies or near copies.
 
@@ -149,7 +189,7 @@ def near_classes(
     one = scratch.write(
         signed.groupBy("tid").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts"
     )
-    dealt = one.select("tid", "min_id", F.explode("bands").alias("key"))
+    dealt = one.select("tid", "min_id", F.posexplode("bands").alias("band", "key"))
     shared = scratch.write(dealt.groupBy("key").agg(F.min("tid").alias("lead"), F.count("*").alias("size")).filter("size > 1"), "shared")
     meet = scratch.write(dealt.join(shared, "key"), "meet")
     scratch.drop("shared")
@@ -181,56 +221,44 @@ def near_classes(
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     links = scratch.write(verified(meet.filter("tid <> lead").select(*pair(F.col("lead"), F.col("tid"))).distinct()), "links0")
-    rest = meet.filter("tid <> lead").select("key", "tid")
-    turn, split = 0, False
-    while True:
-        classes = components(links, scratch, f"classes{turn}")
-        named = rest.join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left").select("key", "tid", F.coalesce("c", "tid").alias("c"))
-        mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
-        mixed = scratch.write(mixed.select("key", "size"), f"mixed{turn}")
-        sizes = mixed.agg(F.count("*").alias("n"), F.max("size").alias("most")).first()
-        if not sizes.n:
-            break
-        open_ = scratch.write(named.join(mixed, "key"), f"open{turn}")
-        scratch.drop(f"mixed{turn}")
-        if sizes.most > small and not split:
-            # Large buckets of texts that are mostly strangers: near copies meet in a second band too.
-            large = open_.filter(F.col("size") > small).join(one.select("tid", "bands"), "tid")
-            other = large.select("tid", "c", F.col("key").alias("was"), F.explode("bands").alias("band")).filter("was <> band")
-            other = other.select(F.xxhash64(F.least("was", "band"), F.greatest("was", "band")).alias("key"), "tid", "c").distinct()
-            both = open_.filter(F.col("size") <= small).select("key", "tid", "c").unionByName(other)
-            counts = scratch.write(
-                both.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key", "size"),
-                f"split{turn}",
-            )
-            open_ = scratch.write(both.join(counts, "key"), f"finer{turn}")
-            split = True
-        few = open_.filter(F.col("size") <= small).select("key", "tid", "c")
-        pairs = (
-            few.alias("l")
-            .join(few.alias("r"), "key")
-            .filter("l.tid < r.tid AND l.c <> r.c")
-            .select(F.col("l.tid").alias("a"), F.col("r.tid").alias("b"))
-        )
-        many = open_.filter(F.col("size") > small)
-        # Classes of a bucket are dealt to as many slots as there may be leaders; of the rarest class of each slot one text leads.
-        firsts = many.groupBy("key", "c").agg(F.min("tid").alias("lead"), F.count("*").alias("own"))
-        slots = firsts.groupBy("key", F.pmod(F.xxhash64("c"), F.lit(leaders)).alias("slot")).agg(F.min(F.struct("own", "lead", "c")).alias("x"))
-        table = slots.groupBy("key").agg(F.collect_list("x").alias("leads"))
-        if many.limit(1).count():
-            table = scratch.write(table, f"leads{turn}")
-            led = many.join(table, "key")
-            told = led.select("tid", "c", F.explode("leads").alias("lead")).filter("lead.c <> c AND lead.lead <> tid")
-            pairs = pairs.union(told.select(*pair(F.col("lead.lead"), F.col("tid"))))
-            rest = scratch.write(led.filter("NOT exists(leads, x -> x.lead = tid)").select("key", "tid"), f"rest{turn + 1}")
-        else:
-            rest = None
-        links = scratch.write(verified(pairs.distinct()).union(links), f"links{turn + 1}")
-        scratch.drop(f"open{turn}")
+    classes = components(links, scratch, "classes0")
+
+    def several(rows_: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The rows of buckets that hold several classes, with the bucket's size; and the largest size."""
+        counts = rows_.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
+        counts = scratch.write(counts.select("key", "size"), f"{name}-sizes")
+        return scratch.write(rows_.join(counts, "key"), name), counts.agg(F.max("size")).first()[0] or 0
+
+    # The first text of a bucket has met all others of it.
+    rest = meet.filter("tid <> lead").select("key", "band", "tid")
+    named = rest.join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left").select("key", "band", "tid", F.coalesce("c", "tid").alias("c"))
+    mixed, most = several(named, "mixed0")
+    turn = 0
+    while most > block and turn < splits:
         turn += 1
-        if rest is None:
-            classes = components(links, scratch, f"classes{turn}")
-            break
+        large = mixed.filter(F.col("size") > block).join(one.select("tid", "bands"), "tid")
+        further = large.select("key", F.col("band").alias("was"), "tid", "c", F.posexplode("bands").alias("band", "other")).filter("band > was")
+        finer = further.select(F.xxhash64("key", "other").alias("key"), "band", "tid", "c")
+        finer, most = several(finer, f"mixed{turn}")
+        mixed = mixed.filter(F.col("size") <= block).unionByName(finer)
+    if most:
+        parts = F.when(F.col("size") <= block, 1).otherwise(F.ceil(F.col("size") * 2 / block)).cast("int")
+        dealt_out = mixed.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
+        each = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        groups = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "c")
+        filled = groups.join(sets, "tid")
+
+        def join_up(table: pa.Table) -> pa.Table:
+            tids, named_ = table.column("tid").to_pylist(), table.column("c").to_pylist()
+            column = table.column("set").combine_chunks()
+            ends = column.offsets.to_numpy()
+            values = column.values.to_numpy()
+            found = linking_pairs([values[x:y] for x, y in zip(ends[:-1], ends[1:])], named_, p, q) if len(set(named_)) > 1 else []
+            return pa.table({"a": pa.array([tids[x] for x, _ in found], pa.binary()), "b": pa.array([tids[y] for _, y in found], pa.binary())})
+
+        more = filled.groupBy("key", "i", "j").applyInArrow(join_up, "a binary, b binary")
+        links = scratch.write(more.union(links), "links1")
+        classes = components(links, scratch, "classes1")
 
     member = one.select("tid", "min_id", "n").join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left")
     member = member.filter("c IS NOT NULL OR n > 1").select("tid", "min_id", "n", F.coalesce("c", "tid").alias("c"))
