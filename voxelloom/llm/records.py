@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,7 @@ from .common import Scratch, doc_texts, small_batches, texts, with_arrow
 SHARD_DOCS = 8_000
 #: Entries of the caches of the encodings of chunks and of their words, about 200 bytes each.
 CACHE_ENTRIES = 600_000
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 700_000
 #: Longer chunks are encoded each time.
 CACHE_CHARS = 48
 END_ID = 2
@@ -162,12 +162,12 @@ class ChunkEncoder:
                 yield data[at:cut]
                 at = cut
 
-    def _words(self, words: set[str]) -> None:
-        """Adds the ids of words to those known."""
+    def _words(self, parts: Iterable[tuple[str, str]]) -> None:
+        """Adds the ids of words that are not known yet."""
+        wanted = {w for pair in parts for w in pair}
         if len(self.words) > WORD_ENTRIES:
-            self.words.clear()
-            self.words[""] = b""
-        new = list(words)
+            self.words = {"": b""}
+        new = list(wanted.difference(self.words))
         self.words.update(zip(new, self._encode(new)))
 
     def _part(self, chunk: str) -> tuple[str, str]:
@@ -189,16 +189,14 @@ class ChunkEncoder:
         for chunks in split:
             new.update(chunks)
         parts = {c: self._part(c) for c in new.difference(kept)}
-        wanted = {w for pair in parts.values() for w in pair}.difference(self.words)
-        self._words(wanted)
-        if any(w not in self.words for pair in parts.values() for w in pair):  # the cache was emptied
-            self._words({w for pair in parts.values() for w in pair}.difference(self.words))
+        self._words(parts.values())
         words = self.words
         found = {c: words[a] + words[b] for c, (a, b) in parts.items()}
         long = {c: found.pop(c) for c in parts if len(c) > CACHE_CHARS}
-        for w in wanted:
-            if len(w) > CACHE_CHARS:
-                del words[w]
+        for c in long:
+            for w in parts[c]:
+                if len(w) > CACHE_CHARS:
+                    words.pop(w, None)
         kept.update(found)
         if not long:
             get = kept.__getitem__
@@ -206,6 +204,12 @@ class ChunkEncoder:
         return [b"".join([long[c] if c in long else kept[c] for c in chunks]) for chunks in split]
 
 
+@lru_cache(1)
+def encoder(path: str) -> ChunkEncoder:
+    """That of this process, so that a worker's tasks share what it keeps."""
+    return ChunkEncoder(path)
+
+
 # ---- files
 
 
@@ -274,15 +278,15 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Adds ids: the text's ids and end_id as little-endian bytes. Null counts as empty: end_id alone."""
 
     def start():
-        encoder = ChunkEncoder(path)
-        last = np.array([end_id], encoder.dtype).tobytes()
-        return lambda text: [pa.array([x + last for x in encoder(texts(text))], pa.binary())]
+        encode_texts = encoder(path)
+        last = np.array([end_id], encode_texts.dtype).tobytes()
+        return lambda text: [pa.array([x + last for x in encode_texts(texts(text))], pa.binary())]
 
     return with_arrow(docs, ["text"], [T.StructField("ids", T.BinaryType())], start)
 
 
 def width(path: str) -> int:
-    return ChunkEncoder(path).dtype.itemsize
+    return encoder(path).dtype.itemsize
 
 
 def write_shards(encoded: DataFrame, bounds: list[int], root: str, size: int) -> list[tuple[int, int, int]]:
