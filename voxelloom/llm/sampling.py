@@ -40,8 +40,8 @@ from .shingles import mix
 #: Segmentations drawn for each text.
 SAMPLES = 2
 #: Characters worked on at once (a longer text alone), and pre-tokens whose ids are kept.
-CHARS = 3_000_000
-KEPT = 250_000
+CHARS = 4_000_000
+KEPT = 400_000
 
 _PRIME = 0x100000001B3
 _U = np.uint64
@@ -69,7 +69,13 @@ class _Table:
             for k in range(1, len(p)):
                 found.setdefault(p[:k], -1)
             found[p] = i
-        hashes = np.array([self.one(p) for p in found], np.uint64)
+        letters = sorted({c for p in pieces.ids for c in p})
+        mixed = dict(zip(letters, mix(np.array([ord(c) for c in letters], np.uint64)).tolist()))
+        powers = self.powers.tolist()
+        sums: dict[str, int] = {"": 0}
+        for p in sorted(found, key=len):
+            sums[p] = (sums[p[:-1]] + mixed[p[-1]] * powers[len(p) - 1]) & 0xFFFFFFFFFFFFFFFF
+        hashes = mix(np.array([sums[p] ^ len(p) for p in found], np.uint64))
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.ids = np.array(list(found.values()), np.int32)[order]
@@ -94,12 +100,6 @@ class _Table:
             on = on[at[on] < end[on]]
         return out
 
-    def one(self, piece: str) -> int:
-        h = 0
-        for k, c in enumerate(piece):
-            h += int(mix(np.array([ord(c)], np.uint64))[0]) * int(self.powers[k])
-        return int(mix(np.array([(h & 0xFFFFFFFFFFFFFFFF) ^ len(piece)], np.uint64))[0])
-
 
 @lru_cache(2)
 def _table(path: str) -> _Table:
@@ -136,49 +136,62 @@ def lattice(words: list[str], table: _Table, byte_score: float) -> Lattice:
     # Hash of the letters from a place on, a letter more each round, while a piece begins so.
     place = np.arange(n)
     h = np.zeros(n, np.uint64)
-    starts, tos, ids = [], [], []
-    single = np.zeros(n, bool)
+    far = stop - place
+    made = np.zeros(n, np.int64)  # edges of each place so far
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
     for k in range(table.longest):
-        on = place + k < stop[place]
-        place, h = place[on], h[on]
+        if k:
+            on = np.flatnonzero(far[place] > k)
+            place, h = place[on], h[on]
         if not len(place):
             break
         h = h + mixed[place + k] * table.powers[k]
         at = table.find(mix(h ^ _U(k + 1)))
         there = np.flatnonzero(at >= 0)
-        place, h, at = place[there], h[there], at[there]
-        piece = table.ids[at]
-        whole = piece >= 0
+        place, h = place[there], h[there]
+        piece = table.ids[at[there]]
+        whole = np.flatnonzero(piece >= 0)
+        src = place[whole]
         if k == 0:
-            single[place[whole]] = True
-        starts.append(place[whole])
-        tos.append(place[whole] + k + 1)
-        ids.append(piece[whole])
-    odd = np.flatnonzero(~single)
-    starts.append(odd)
-    tos.append(odd + 1)
-    ids.append(np.full(len(odd), -1, np.int32))
-    start, to, piece = np.concatenate(starts), np.concatenate(tos), np.concatenate(ids)
-    order = np.argsort(start, kind="stable")
-    start, to, piece = start[order], to[order], piece[order]
-    score = np.where(piece >= 0, table.score[piece], byte_score * width[start])
-    first = np.searchsorted(start, np.arange(n + 1))
-    # Backward sums, all places that are as far from their ends at once.
+            odd = np.ones(n, bool)
+            odd[src] = False
+            odd = np.flatnonzero(odd)
+            found.append((odd, np.full(len(odd), -1, np.int32), made[odd], 1))
+            made[odd] = 1
+        found.append((src, piece[whole], made[src], k + 1))
+        made[src] += 1
+    # Each edge goes to where its place's edges are, shorter ones first.
+    first = np.zeros(n + 1, np.int64)
+    np.cumsum(made, out=first[1:])
+    total = int(first[-1])
+    start, to, piece, score = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
+    for src, ids, rank, size in found:
+        e = first[src] + rank
+        start[e], to[e], piece[e] = src, src + size, ids
+        score[e] = table.score[ids] if len(ids) and ids[0] >= 0 else byte_score * width[src]
+    del found
+    # Backward sums, all places that are as far from their ends at once. A place past a pre-token counts nothing, though the next one starts there.
     back = np.zeros(n + 1)
-    far = stop - np.arange(n)
-    places = np.argsort(far, kind="stable")
-    bounds = np.searchsorted(far[places], np.arange(1, (far.max() if n else 0) + 2))
-    value = np.empty(len(start))
-    # A place past a pre-token counts nothing, though the next one starts there.
+    most = int(far.max()) if n else 0
+    places = np.argsort(far.astype(np.uint16) if most < 1 << 16 else far, kind="stable")
+    bounds = np.cumsum(np.bincount(far, minlength=most + 1))
+    value = np.empty(total)
     for a, b in zip(bounds[:-1], bounds[1:]):
+        if a == b:
+            continue
         p = places[a:b]
-        lo, count = first[p], first[p + 1] - first[p]
-        e = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-        v = score[e] + np.where(to[e] == stop[start[e]], 0.0, back[to[e]])
-        value[e] = v
+        count = made[p]
         cut = np.cumsum(count) - count
+        e = np.repeat(first[p] - cut, count)
+        e += np.arange(len(e))
+        ends = to[e]
+        v = back[ends]
+        v[ends == np.repeat(stop[p], count)] = 0.0
+        v += score[e]
+        value[e] = v
         top = np.maximum.reduceat(v, cut)
-        back[p] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), cut))
+        v -= np.repeat(top, count)
+        back[p] = top + np.log(np.add.reduceat(np.exp(v), cut))
     logp = value - back[start]
     p = np.exp(logp)
     total = np.cumsum(p)
@@ -241,19 +254,20 @@ class Sampler:
 
     # ---- sampling
 
-    def ids(self, lat: Lattice, edges: np.ndarray) -> np.ndarray:
+    def ids(self, lat: Lattice, edges: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of walks one after the other, and where each walk's begin and end."""
         piece = lat.piece[edges]
         odd = np.flatnonzero(piece < 0)
         if not len(odd):
-            return piece.astype("<u4")
+            return piece.astype("<u4"), cut
         place = lat.start[edges[odd]]
         count = np.ones(len(edges), np.int64)
         count[odd] = lat.width[place]
+        ends = np.append(0, np.cumsum(count))
         out = np.repeat(piece, count).astype("<u4")
-        at = (np.cumsum(count) - count)[odd]
-        for a, n, c in zip(at.tolist(), count[odd].tolist(), lat.letters[place].tolist()):
+        for a, n, c in zip(ends[odd].tolist(), count[odd].tolist(), lat.letters[place].tolist()):
             out[a : a + n] = self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]
-        return out
+        return out, ends[cut]
 
     def __call__(self, split: list[list[str]], keys: np.ndarray) -> list[list[dict]]:
         """Samples of each text, best first: ids, log_prob, perturbed and inclusion."""
@@ -320,14 +334,14 @@ class Sampler:
             keep_edges[t] = own[:at]
             first_word[t] = a["word"][a["cut"][t] + at]
             first_place[t] = lat.to[taken[t]]
-            agenda[source[t]]["score"][a["cut"][t] + at] = -np.inf
+            agenda[source[t]]["free"][a["cut"][t] + at] = -np.inf
         # The rest is drawn: of the word that the walk leaves in, what follows; then whole words.
         use = live[owner] & (np.arange(len(owner)) >= first_word[owner])
         occ = np.flatnonzero(use)
         start = begin[occ].copy()
         partial = (first_place[owner[occ]] >= 0) & (occ == first_word[owner[occ]])
         start[partial] = first_place[owner[occ][partial]]
-        key = mix(text_key[owner[occ]] + _times(turn + 1, 0x9E3779B97F4A7C15)) + inside[occ].astype(np.uint64) * _U(0xBF58476D1CE4E5B9)
+        key = mix(text_key + _times(turn + 1, 0x9E3779B97F4A7C15))[owner[occ]] + inside[occ].astype(np.uint64) * _U(0xBF58476D1CE4E5B9)
         drawn, count = _draw(lat, start, end[occ], key)
         per_text = np.bincount(owner[occ], weights=count, minlength=n).astype(np.int64)
         kept = np.fromiter(map(len, keep_edges), np.int64, n)
@@ -356,12 +370,10 @@ class Sampler:
             rest = sum(float(lat.p[x]) for x in range(int(lat.first[place]), int(lat.first[place + 1])) if x != e and x not in ban)
             mass[k] = float(run[k] - logp[k] - base[t]) + (np.log(rest) if rest > 0 else -np.inf)
         mass[index < kept[text]] = -np.inf
-        u = _uniform(mix(text_key[text] + _times(turn + 1, 0x94D049BB133111EB)) + index.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        u = _uniform(mix(text_key + _times(turn + 1, 0x94D049BB133111EB))[text] + index.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        # Gumbel variables before truncation; truncation keeps their order within a text, so it waits until one is taken.
         free = mass - np.log(-np.log(u))
-        with np.errstate(invalid="ignore"):
-            region = -np.logaddexp(-score[text], -free)
-        region[~np.isfinite(mass)] = -np.inf
-        a = {"edges": edges, "cut": cut, "word": words, "from": kept, "barred": barred, "score": region, "perturbed": score.copy(), "live": live.copy()}
+        a = {"edges": edges, "cut": cut, "word": words, "from": kept, "barred": barred, "free": free, "perturbed": score.copy(), "live": live.copy()}
         a["log_prob"] = np.append(run, 0.0)[cut[1:] - 1] - base
         self._best(a)
         for k in set(source[texts_on].tolist()) - {-1}:
@@ -369,24 +381,27 @@ class Sampler:
         return a
 
     def _best(self, a: dict) -> None:
-        cut, score = a["cut"], a["score"]
+        """The largest region of each text along a walk: its truncated maximum, and the place where it leaves."""
+        cut, free = a["cut"], a["free"]
         n = len(cut) - 1
         best, where = np.full(n, -np.inf), np.zeros(n, np.int64)
         some = np.flatnonzero(np.diff(cut) > 0)
         if len(some):
-            best[some] = np.maximum.reduceat(score, cut[:-1][some])
-            text = np.repeat(np.arange(n), np.diff(cut))
-            hit = np.flatnonzero(score == best[text])[::-1]
-            where[text[hit]] = hit - cut[text[hit]]
+            best[some] = np.maximum.reduceat(free, cut[:-1][some])
+            hit = np.flatnonzero(free == np.repeat(best, np.diff(cut)))[::-1]
+            where_of = np.searchsorted(cut, hit, "right") - 1
+            where[where_of] = hit - cut[where_of]
+        on = np.isfinite(best)
+        best[on] = -np.logaddexp(-a["perturbed"][on], -best[on])
         a["best"], a["where"] = best, where
 
     def _score(self, out: list[list[dict]], agenda: list[dict], lat: Lattice, threshold: np.ndarray, turn: int) -> None:
         """Adds the walk drawn last, and sets all inclusion scores by the new threshold."""
         a = agenda[-1]
         if len(agenda) == turn:
+            ids, cut = self.ids(lat, a["edges"], a["cut"])
             for t in np.flatnonzero(a["live"]).tolist():
-                own = a["edges"][a["cut"][t] : a["cut"][t + 1]]
-                out[t].append({"ids": self.ids(lat, own), "log_prob": float(a["log_prob"][t]), "perturbed": float(a["perturbed"][t])})
+                out[t].append({"ids": ids[cut[t] : cut[t + 1]], "log_prob": float(a["log_prob"][t]), "perturbed": float(a["perturbed"][t])})
         for t, rows in enumerate(out):
             for r in rows:
                 with np.errstate(over="ignore"):
