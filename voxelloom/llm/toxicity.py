@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -211,28 +212,38 @@ def _terms_of(text: str) -> set[str]:
     return found
 
 
-def candidate_terms(rows: list[tuple[str, int]], support: int = SUPPORT) -> list[set[str]]:
-    """Of each row the terms that enough toxic rows have; only toxic rows' terms are ever all held."""
+def candidate_terms(rows: list[tuple[str, int]], support: int = SUPPORT) -> tuple[list[str], list[np.ndarray]]:
+    """The terms that enough toxic rows have, and the numbers of those that each row has.
+
+    Most terms occur once; they are first counted in buckets by hash, and only
+    those of buckets that reach the support are then counted one by one.
+    """
+    mask = (1 << 22) - 1
+    bucket = array("I", bytes(4 << 22))
+    toxic_rows = [text for text, toxic in rows if toxic]
+    for text in toxic_rows:
+        for t in _terms_of(text):
+            bucket[hash(t) & mask] += 1
     seen: Counter = Counter()
-    for text, toxic in rows:
-        if toxic:
-            seen.update(_terms_of(text))
-    wanted = {t for t, n in seen.items() if n >= support}
-    del seen
-    return [_terms_of(text) & wanted for text, _ in rows]
+    for text in toxic_rows:
+        seen.update([t for t in _terms_of(text) if bucket[hash(t) & mask] >= support])
+    names = sorted(t for t, n in seen.items() if n >= support)
+    del seen, bucket
+    number = dict(zip(names, range(len(names))))
+    return names, [np.array(sorted(number[t] for t in _terms_of(text) if t in number), np.int32) for text, _ in rows]
 
 
-def learn_lexicon(found: list[set[str]], labels: list[int], terms: int = TERMS, lift: float = LIFT, support: int = SUPPORT) -> tuple[list[str], list[float]]:
+def learn_lexicon(names: list[str], found: list[np.ndarray], labels: list[int], terms: int = TERMS, lift: float = LIFT, support: int = SUPPORT) -> tuple[list[str], list[float]]:
     """Terms that toxic rows have so many times as often as others, the strongest first, and their log lifts.
 
-    found: the candidate terms of each row. A word beginning that says no more
+    names and found: the candidate terms, and the numbers of those of each row. A word beginning that says no more
     than a longer term with as many rows gives way to it. With few rows the
     lift that a term without any clean row can reach is enough.
     """
     size = [labels.count(0), labels.count(1)]
-    count = (Counter(), Counter())
-    for row, toxic in zip(found, labels):
-        count[toxic].update(row)
+    none = [np.zeros(0, np.int32)]
+    many = [np.bincount(np.concatenate(none + [f for f, y in zip(found, labels) if y == k]), minlength=len(names)).tolist() for k in (0, 1)]
+    count = tuple(dict(zip(names, n)) for n in many)
     if not size[0] or not size[1]:
         return [], []
     least = min(lift, support * size[0] / size[1] / 2)
@@ -276,12 +287,12 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 def fit(rows: list[tuple[str, int]], folds: int = 4) -> Model:
     """Learns the lexicon, and the regression on features of texts that the lexicon has not seen (by cross-fitting)."""
     labels = [toxic for _, toxic in rows]
-    found = candidate_terms(rows)
-    terms, weights = learn_lexicon(found, labels)
+    names, found = candidate_terms(rows)
+    terms, weights = learn_lexicon(names, found, labels)
     xs, ys = [], []
     for k in range(folds):
         part = [i for i in range(len(rows)) if i % folds != k]
-        scorer = Scorer(Model(*learn_lexicon([found[i] for i in part], [labels[i] for i in part])))
+        scorer = Scorer(Model(*learn_lexicon(names, [found[i] for i in part], [labels[i] for i in part])))
         for i in range(k, len(rows), folds):
             xs.append(scorer.features(rows[i][0]))
             ys.append(labels[i])
