@@ -89,6 +89,24 @@ def test_classes_are_brute_force(spark, options):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+@pytest.mark.parametrize("splits", [0, 1, 3])
+def test_all_pairs_of_a_large_mixed_bucket_are_linked(spark, splits):
+    rng = random.Random(17)
+    base = say(rng, 60)
+    docs = [(k, near(rng, base, rng.choice([0, 1, 2, 2, 3]))) for k in range(60)]
+    options = {"bands": 3, "rows": 1, "block": 6}
+    buckets = [set(x) for x in m.batch_bands([t.encode() for _, t in docs], 3, 1)]
+    sets = [shingle_set(t) for _, t in docs]
+    top = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if buckets[a] & buckets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top[a], top[b]))
+                top = [x if c == y else c for c in top]
+    got = {r.doc_id: r.class_id for r in m.report(spark.createDataFrame(docs, DOC), splits=splits, **options).collect()}
+    assert [got[k] for k in range(len(docs))] == top and 3 < len(set(top)) < 50
+
+
 def test_linking_pairs_are_brute_force():
     rng = random.Random(3)
     for _ in range(50):

@@ -14,14 +14,16 @@ Pairs of a bucket are never written out. All of a bucket is verified against
 its first text and classes are formed; a bucket of one class is done. A bucket
 that still holds several classes goes to one task as a whole, if it has at most
 ``BLOCK`` texts: intersections of all its sets are counted there by matrix
-products, and only links that join classes leave it. A larger one is split by
-further bands first, which near copies share too, and what no band can split
-is dealt out in blocks, each against each.
+products, and only links that join classes leave it. Of a larger one, the parts
+that share a further band go first, to leave fewer classes; if it still holds
+several, all of it is dealt out in blocks, each against each, but for the
+largest class against itself. So all similar pairs of a bucket are linked.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Texts of a bucket that one task looks at together; with sets of some thousand shingles, a few MB.
 BLOCK = 1000
-#: Times that larger buckets are split by a further band.
+#: Times that larger buckets are split by a further band, in the pass before they are looked at whole.
 SPLITS = 6
 #: Columns of a matrix product.
 _COLUMNS = 4096
@@ -229,36 +231,55 @@ def near_classes(
         counts = scratch.write(counts.select("key", "size"), f"{name}-sizes")
         return scratch.write(rows_.join(counts, "key"), name), counts.agg(F.max("size")).first()[0] or 0
 
+    def classed(rows_: DataFrame) -> DataFrame:
+        """The rows (key, band, tid) with the class c of the text."""
+        return rows_.join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left").select("key", "band", "tid", F.coalesce("c", "tid").alias("c"))
+
+    def join_up(table: pa.Table) -> pa.Table:
+        tids, named_ = table.column("tid").to_pylist(), table.column("c").to_pylist()
+        column = table.column("set").combine_chunks()
+        ends = column.offsets.to_numpy()
+        values = column.values.to_numpy()
+        found = linking_pairs([values[x:y] for x, y in zip(ends[:-1], ends[1:])], named_, p, q) if len(set(named_)) > 1 else []
+        return pa.table({"a": pa.array([tids[x] for x, _ in found], pa.binary()), "b": pa.array([tids[y] for _, y in found], pa.binary())})
+
+    def joined(groups: DataFrame) -> DataFrame:
+        """The links that join classes within each group (key, i, j) of texts (tid, c)."""
+        return groups.join(sets, "tid").groupBy("key", "i", "j").applyInArrow(join_up, "a binary, b binary")
+
     # The first text of a bucket has met all others of it.
-    rest = meet.filter("tid <> lead").select("key", "band", "tid")
-    named = rest.join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left").select("key", "band", "tid", F.coalesce("c", "tid").alias("c"))
-    mixed, most = several(named, "mixed0")
-    turn = 0
-    while most > block and turn < splits:
-        turn += 1
-        large = mixed.filter(F.col("size") > block).join(one.select("tid", "bands"), "tid")
-        further = large.select("key", F.col("band").alias("was"), "tid", "c", F.posexplode("bands").alias("band", "other")).filter("band > was")
-        finer = further.select(F.xxhash64("key", "other").alias("key"), "band", "tid", "c")
-        finer, most = several(finer, f"mixed{turn}")
-        mixed = mixed.filter(F.col("size") <= block).unionByName(finer)
-    if most:
-        parts = F.when(F.col("size") <= block, 1).otherwise(F.ceil(F.col("size") * 2 / block)).cast("int")
-        dealt_out = mixed.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int"))
-        each = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        groups = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "c")
-        filled = groups.join(sets, "tid")
-
-        def join_up(table: pa.Table) -> pa.Table:
-            tids, named_ = table.column("tid").to_pylist(), table.column("c").to_pylist()
-            column = table.column("set").combine_chunks()
-            ends = column.offsets.to_numpy()
-            values = column.values.to_numpy()
-            found = linking_pairs([values[x:y] for x, y in zip(ends[:-1], ends[1:])], named_, p, q) if len(set(named_)) > 1 else []
-            return pa.table({"a": pa.array([tids[x] for x, _ in found], pa.binary()), "b": pa.array([tids[y] for _, y in found], pa.binary())})
-
-        more = filled.groupBy("key", "i", "j").applyInArrow(join_up, "a binary, b binary")
-        links = scratch.write(more.union(links), "links1")
+    mixed, most = several(classed(meet.filter("tid <> lead").select("key", "band", "tid")), "mixed0")
+    at_once = [F.col("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("tid"), F.col("c")]
+    if most > block and splits:
+        # Parts of the large buckets that share further bands, so that fewer classes are left; the buckets stay whole for what follows.
+        coarse, largest, parts = mixed.filter(F.col("size") > block), most, []
+        while largest > block and len(parts) < splits:
+            large = coarse.join(one.select("tid", "bands"), "tid")
+            further = large.select("key", F.col("band").alias("was"), "tid", "c", F.posexplode("bands").alias("band", "other")).filter("band > was")
+            finer, largest = several(further.select(F.xxhash64("key", "other").alias("key"), "band", "tid", "c"), f"part{len(parts) + 1}")
+            parts.append(finer.filter(F.col("size") <= block).select(*at_once))
+            coarse = finer.filter(F.col("size") > block)
+        links = scratch.write(joined(reduce(DataFrame.unionByName, parts)).union(links), "links1")
         classes = components(links, scratch, "classes1")
+        mixed, most = several(classed(mixed.select("key", "band", "tid")), "mixed1")
+    if most:
+        groups = mixed.filter(F.col("size") <= block).select(*at_once)
+        if most > block:
+            # Each against each in blocks, but for the largest class of a bucket against itself.
+            large = mixed.filter(F.col("size") > block).select("key", "tid", "c")
+            top = large.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+
+            def blocks_of(n: Column) -> Column:
+                return F.ceil(n * 2 / block).cast("int")
+
+            top = top.select("key", F.col("top.c").alias("main"), blocks_of(F.col("all") - F.col("top.n")).alias("apart"), blocks_of(F.col("top.n")).alias("inner"))
+            inside, h = F.col("c") == F.col("main"), F.xxhash64("tid")
+            own = F.when(inside, F.col("apart") + F.pmod(h, F.col("inner"))).otherwise(F.pmod(h, F.col("apart"))).cast("int")
+            facing = F.col("apart") + F.when(inside, 0).otherwise(F.col("inner"))
+            each = large.join(top, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), facing - 1)))
+            groups = groups.union(each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "c"))
+        links = scratch.write(joined(groups).union(links), "links2")
+        classes = components(links, scratch, "classes2")
 
     member = one.select("tid", "min_id", "n").join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left")
     member = member.filter("c IS NOT NULL OR n > 1").select("tid", "min_id", "n", F.coalesce("c", "tid").alias("c"))
