@@ -107,6 +107,18 @@ def test_all_pairs_of_a_large_mixed_bucket_are_linked(spark, splits):
     assert [got[k] for k in range(len(docs))] == top and 3 < len(set(top)) < 50
 
 
+def test_near_copies_with_repeated_lines(spark):
+    rng = random.Random(23)
+    docs = []
+    for k in range(25):
+        w = say(rng, 120).split()
+        w[0] = f"first{k}"
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-8] + w[60:80] * rng.choice([5, 50, 300])))]
+    want = brute(docs)
+    assert all(want[2 * k + 1] == 2 * k for k in range(25))
+    assert {r.doc_id: r.class_id for r in m.report(spark.createDataFrame(docs, DOC)).collect()} == want
+
+
 def test_linking_pairs_are_brute_force():
     rng = random.Random(3)
     for _ in range(50):

@@ -1,11 +1,13 @@
 """Near-dedup with ProbMinHash: signatures, banding, exact verification, classes.
 
-A text is the weighted set of its five-word shingles, weight 1 + ln(count).
-Each shingle is a Poisson process whose rate is its weight; its arrivals, which
-its hash alone determines, fall on registers at random, and a register keeps
-the shingle that arrives there first. Two texts agree in a register with the
-probability Jaccard of their weighted sets. A process is stopped when its next
-arrival is later than the latest that any register holds.
+A text is the set of its five-word shingles. Links are of sets, so all shingles
+weigh the same here, however often they occur; ``prob_minhash`` itself takes
+weights. Each shingle is a Poisson process whose rate is its weight; its
+arrivals, which its hash alone determines, fall on registers at random, and a
+register keeps the shingle that arrives there first. Two texts agree in a
+register with the probability Jaccard of their weighted sets, which for equal
+weights is the Jaccard. A process is stopped when its next arrival is later
+than the latest that any register holds.
 
 Bands of registers are hashed to buckets. Texts that meet in a bucket are
 verified by the exact Jaccard of their shingle sets; links make classes.
@@ -82,8 +84,8 @@ def batch_bands(batch: list[bytes], bands: int = BANDS, rows: int = ROWS, width:
     """The band hashes of each text, as signed 64-bit integers; none for a text without words."""
     out: list[list[int]] = []
     for run in chunks(batch):
-        owner, h, n = counted(*shingles(run, width))
-        keys = band_hashes(prob_minhash(owner, h, 1 + np.log(n), len(run), bands * rows), bands, rows).view(np.int64)
+        owner, h, _ = counted(*shingles(run, width))
+        keys = band_hashes(prob_minhash(owner, h, np.ones(len(h)), len(run), bands * rows), bands, rows).view(np.int64)
         some = np.bincount(owner, minlength=len(run)) > 0
         out += [k if s else [] for k, s in zip(keys.tolist(), some.tolist())]
     return out
