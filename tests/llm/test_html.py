@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from voxelloom.llm import html as h
 
@@ -34,6 +35,27 @@ def test_broken_markup():
     assert [b.text for b in h.blocks("<p>a<span>b</p>c")] == ["ab", "c"]
 
 
+def test_long_attribute_values():
+    for n in (10, 3000, 5000, 100_000, 2_000_000):
+        long = "QUJD" * (n // 4)
+        for value in (f'"data:image/png;base64,{long}"', f"""'{{"a": "{long} > b"}}'""", f'"{long} > {long}"', long):
+            page = f"""<p>Zero.</p><img src={value} alt="x"><p>Lost paragraph one.</p><p>Two <a href="/u">link</a>, it's said.</p>"""
+            assert [b.text for b in h.blocks(page)] == ["Zero.", "Lost paragraph one.", "Two link, it's said."]
+
+
+def test_stray_quotes():
+    assert [b.text for b in h.blocks("<p title=it's>one</p><p>isn't two</p>")] == ["one", "isn't two"]
+    assert [b.text for b in h.blocks("<p class='a'' id=x>one</p><p>isn't two</p>")] == ["one", "isn't two"]
+    assert [b.text for b in h.blocks('<p title="open>one</p><p>two</p>')] == ["one", "two"]
+    assert [b.text for b in h.blocks('<p title= >one</p><p =">two</p><p a = "b>c"d>three</p>')] == ["one", "two", "three"]
+    begun = time.perf_counter()
+    for part in ("<a b='", '<a b="', "<a b=", "<a =", "<a b ", "<a b\t\n", "<a '", '="', "<a b=c"):
+        h.blocks("<p " + part * 50_000)
+        h.blocks("<p x" + part * 50_000 + "</p>")
+    h.blocks("<p x" + " " * 500_000 + "y>")
+    assert time.perf_counter() - begun < 20
+
+
 def test_min_cut_is_least_energy():
     rng = random.Random(2)
     for _ in range(300):
