@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelloom.llm import decontaminate, exact_dedup, minhash, sampling, toxicity
 from voxelloom.llm.common import Scratch, read
@@ -66,9 +67,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of the text, and sampled segmentations."""
-    made = sampling.encode_and_sample(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), keep_ids=True)
-    return made.select("doc_id", "n_ids", "ids_crc32", "round_trip", "samples", "ids")
+    """doc_id, the ids of the text with their digests, and sampled segmentations, each with its ids."""
+    made = sampling.encode_and_sample(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return made.select("doc_id", *sampling.digests(F.col("ids")), "round_trip", "samples", "ids")
 
 
 STAGES = [

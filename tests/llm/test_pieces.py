@@ -91,6 +91,21 @@ def test_samples_do_not_depend_on_the_batch():
         assert len({tuple(r[0]) for r in rows}) == len(rows) and all(v.decode(r[0]) == t for r in rows)
 
 
+def test_samples_keep_their_ids(spark):
+    v = pieces.load(PATH)
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in sampling.encode_and_sample(docs, PATH).collect()}
+    short = {r.doc_id: r for r in sampling.report(docs, PATH).collect()}
+    for k, t in rows:
+        assert np.frombuffer(got[k].ids, "<u4").tolist() == v.model.encode(t or "") and bool(got[k].samples) == bool(t)
+        ways = [np.frombuffer(s.ids, "<u4").tolist() for s in got[k].samples]
+        assert all(v.decode(w) == t for w in ways) and len({tuple(w) for w in ways}) == len(ways)
+        own = sampling.Sampler(PATH)([pieces.pre_tokens(t or "")], np.array([k or 0]))[0]
+        assert ways == [s["ids"].tolist() for s in own]
+        assert [tuple(s) for s in short[k].samples] == [(len(w), zlib.crc32(s.ids), s.log_prob, s.perturbed, s.inclusion) for w, s in zip(ways, got[k].samples)]
+
+
 def test_counts_are_viterbi(monkeypatch):
     v = pieces.load(PATH)
     trie = token_counts.ForwardTrie(v)

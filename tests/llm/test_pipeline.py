@@ -83,6 +83,14 @@ def test_every_decision_takes_effect(spark, corpus, tmp_path):
         assert rows[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and len(rows[i].samples) == (2 if text else 0)
 
 
+def test_last_stage_keeps_sampled_ids(spark):
+    v = pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    docs = spark.createDataFrame([(1, "a few words here"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pipeline.encode(spark, docs, "").collect()}
+    assert {v.decode(np.frombuffer(s.ids, "<u4").tolist()) for s in got[1].samples} == {"a few words here"} and len({s.ids for s in got[1].samples}) == 2
+    assert got[2].samples == [] and got[2].n_ids == 0
+
+
 def test_run_is_its_stages(spark, corpus):
     root, docs, _ = corpus
     got = pipeline.run(spark, root)

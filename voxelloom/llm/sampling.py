@@ -22,14 +22,13 @@ at once in NumPy; the lattice of a pre-token that occurs repeatedly in it is mad
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -414,13 +413,11 @@ def sampler_of(path: str, samples: int) -> Sampler:
     return Sampler(path, samples)
 
 
-_SAMPLE = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("n_ids", "ids_crc32")] + [T.StructField(n, T.DoubleType()) for n in ("log_prob", "perturbed", "inclusion")]
-)
+_SAMPLE = T.StructType([T.StructField("ids", T.BinaryType())] + [T.StructField(n, T.DoubleType()) for n in ("log_prob", "perturbed", "inclusion")])
 
 
-def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples: int = SAMPLES, keep_ids: bool = False) -> DataFrame:
-    """Adds n_ids, ids_crc32, round_trip and samples; with keep_ids also ids, the encoding as little-endian 32-bit integers.
+def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
+    """Adds ids, round_trip and samples, each with its ids; all ids are little-endian 32-bit integers.
 
     ids are those of the library for the whole text; round_trip says whether
     decoding them gives the text back (it does not where a text has U+2581).
@@ -430,11 +427,10 @@ def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples:
     samples. Columns of the names above are replaced.
     """
     fields = [
-        T.StructField("n_ids", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()),
+        T.StructField("ids", T.BinaryType()),
         T.StructField("round_trip", T.BooleanType()),
         T.StructField("samples", T.ArrayType(_SAMPLE)),
-    ] + ([T.StructField("ids", T.BinaryType())] if keep_ids else [])
+    ]
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(T.ArrayType(_SAMPLE))
@@ -448,10 +444,7 @@ def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples:
             encoded = sampler.encode(split)
             drawn = sampler(split, np.array([k or 0 for k in keys], np.int64))
             same = [decode(np.frombuffer(e, "<u4").tolist()) == t for e, t in zip(encoded, batch)]
-            rows = [
-                [{"n_ids": len(s["ids"]), "ids_crc32": zlib.crc32(s["ids"].tobytes()), "log_prob": s["log_prob"], "perturbed": s["perturbed"], "inclusion": s["inclusion"]} for s in x]
-                for x in drawn
-            ]
+            rows = [[s | {"ids": s["ids"].tobytes()} for s in x] for x in drawn]
             return encoded, same, rows
 
         def run(key, text):
@@ -466,19 +459,19 @@ def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples:
                 for x, y in zip((encoded, same, rows), some(keys[at:to], all_texts[at:to])):
                     x.extend(y)
                 at = to
-            out = [
-                pa.array([len(e) // 4 for e in encoded], pa.int64()),
-                pa.array([zlib.crc32(e) for e in encoded], pa.int64()),
-                pa.array(same, pa.bool_()),
-                pa.array(rows, kind),
-            ]
-            return out + ([pa.array(encoded, pa.binary())] if keep_ids else [])
+            return [pa.array(encoded, pa.binary()), pa.array(same, pa.bool_()), pa.array(rows, kind)]
 
         return run
 
     return with_arrow(docs, [key, "text"], fields, start)
 
 
+def digests(ids: Column) -> list[Column]:
+    """n_ids and ids_crc32 of a column of ids."""
+    return [(F.octet_length(ids) / 4).cast("long").alias("n_ids"), F.crc32(ids).alias("ids_crc32")]
+
+
 def report(docs: DataFrame, path: str) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return encode_and_sample(narrow, path).select("doc_id", "n_ids", "ids_crc32", "round_trip", "samples")
+    short = F.transform("samples", lambda s: F.struct(*digests(s["ids"]), s["log_prob"].alias("log_prob"), s["perturbed"].alias("perturbed"), s["inclusion"].alias("inclusion")))
+    return encode_and_sample(narrow, path).select("doc_id", *digests(F.col("ids")), "round_trip", short.alias("samples"))
