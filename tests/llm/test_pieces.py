@@ -106,6 +106,17 @@ def test_samples_keep_their_ids(spark):
         assert [tuple(s) for s in short[k].samples] == [(len(w), zlib.crc32(s.ids), s.log_prob, s.perturbed, s.inclusion) for w, s in zip(ways, got[k].samples)]
 
 
+def test_decode_gives_the_texts_back(spark):
+    rows = [(k, t) for k, t in enumerate(ODD + ["word " * 5000])] + [(None, None)]
+    made = sampling.encode_and_sample(spark.createDataFrame(rows, DOC), PATH)
+    got = sampling.decode(made, PATH, text="Text")
+    assert got.columns == ["doc_id", "ids", "round_trip", "samples", "Text"]
+    assert {r.doc_id: r.Text for r in got.collect()} == {k: t or "" for k, t in rows}
+    each = made.filter("doc_id IS NOT NULL").select("doc_id", sampling.F.explode("samples.ids").alias("way"))
+    assert all(r.again == rows[r.doc_id][1] for r in sampling.decode(each, PATH, "way", "again").collect())
+    assert sampling.decode(spark.createDataFrame([(None,)], "ids binary"), PATH).first().text is None
+
+
 def test_counts_are_viterbi(monkeypatch):
     v = pieces.load(PATH)
     trie = token_counts.ForwardTrie(v)

@@ -466,6 +466,23 @@ def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples:
     return with_arrow(docs, [key, "text"], fields, start)
 
 
+def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """Adds the text of a column of ids, little-endian 32-bit integers, as the library decodes them; null for null.
+
+    A column of that name is replaced.
+    """
+
+    def start():
+        model = load(path).model
+
+        def run(column):
+            return [pa.array([None if x is None else model.decode(np.frombuffer(x, "<u4").tolist()) if x else "" for x in column.to_pylist()], pa.string())]
+
+        return run
+
+    return with_arrow(rows, [ids], [T.StructField(text, T.StringType())], start)
+
+
 def digests(ids: Column) -> list[Column]:
     """n_ids and ids_crc32 of a column of ids."""
     return [(F.octet_length(ids) / 4).cast("long").alias("n_ids"), F.crc32(ids).alias("ids_crc32")]
