@@ -64,6 +64,15 @@ def test_held_out_labels_are_not_learned(spark):
     assert t.train(docs, labels) == t.train(docs, flipped)
 
 
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    ids = [r.doc_id for r in labels.filter(~t.held_out(t.F.col("doc_id"))).orderBy(t.F.xxhash64("doc_id")).collect()]
+    long = {ids[0]: "a " * 600, ids[5]: "b " * 450}  # the first never fits, the other not beside the rest
+    docs = spark.createDataFrame([(k, long.get(k, "some words")) for k in range(60) for _ in range(2)], DOC)
+    got = t.training_rows(docs, labels, most_bytes=900)
+    assert got == [("some words", k % 2) for k in ids if k not in long]
+
+
 def test_nulls_ties_empty_and_clashing_names(spark):
     labels = spark.createDataFrame([(k, int(k % 2)) for k in range(40)] + [(None, 1), (3, None), (5, 1)], "doc_id long, toxic int")
     rows = [(k, "bad fellow " + "x " * k if k % 2 else "fine day " * k, 9.0) for k in range(40)] + [(None, "bad fellow", 1.0), (1, None, 1.0), (1, "", 1.0), (7, "w " * 200_000, None)]

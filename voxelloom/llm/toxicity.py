@@ -310,7 +310,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, m
     """At most ``most`` labelled documents that are not held out, half of them toxic where there are so many.
 
     Rows are taken in the order of a hash of doc_id, so the sample is the same
-    each time. Labels and documents without an id, and null labels, are passed over.
+    each time. Labels and documents without an id, and null labels, are passed over,
+    and so is a text that does not fit into what is left of ``most_bytes``.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("turn", F.xxhash64("doc_id"))
@@ -324,11 +325,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, m
     found: dict[int, str] = {}
     room = most_bytes
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id", "left_semi")
+    got = got.filter(F.length("text") <= most_bytes)  # what can not fit does not come to the driver
     for r in got.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "text").toLocalIterator():
-        room -= len(r.text)
-        if room < 0:
-            break
-        found.setdefault(r.doc_id, r.text)
+        if r.doc_id not in found and len(r.text) <= room:
+            room -= len(r.text)
+            found[r.doc_id] = r.text
     return [(found[i], toxic[i]) for i, _, _ in sorted(ids, key=lambda x: (x[2], x[0])) if i in found]
 
 
