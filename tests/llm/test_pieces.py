@@ -2,6 +2,7 @@ import collections
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -45,8 +46,7 @@ def viterbi(word, v):
 
 def test_encoding_is_the_library_and_decodes():
     s, v = sampling.Sampler(PATH), pieces.load(PATH)
-    split = [pieces.pre_tokens(t) for t in ODD]
-    for t, e in zip(ODD, s.encode(split)):
+    for t, e in zip(ODD, s.encode(ODD)):
         ids = np.frombuffer(e, "<u4").tolist()
         assert ids == v.model.encode(t) and v.decode(ids) == t
 
@@ -54,7 +54,7 @@ def test_encoding_is_the_library_and_decodes():
 def test_samples_follow_plackett_luce():
     v, text, n = pieces.load(PATH), "an ab", 20_000
     p = probabilities(text, v)
-    got = sampling.Sampler(PATH, 3)([pieces.pre_tokens(text)] * n, np.arange(n))
+    got = sampling.Sampler(PATH, 3)([text] * n, np.arange(n))
     order = [collections.Counter(tuple(r[k]["ids"].tolist()) for r in got) for k in range(3)]
     second, third = collections.Counter(), collections.Counter()
     for a, b, c in itertools.permutations(p, 3):
@@ -74,18 +74,18 @@ def test_samples_follow_plackett_luce():
 def test_all_segmentations_where_there_are_few():
     v = pieces.load(PATH)
     p = probabilities("a", v)
-    rows = sampling.Sampler(PATH, 50)([pieces.pre_tokens("a")], np.array([3]))[0]
+    rows = sampling.Sampler(PATH, 50)(["a"], np.array([3]))[0]
     assert {tuple(r["ids"].tolist()) for r in rows} == set(p) and all(r["inclusion"] == 1 for r in rows)
 
 
 def test_samples_do_not_depend_on_the_batch():
     rng = random.Random(7)
     texts = ODD + [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(20)]
-    split, keys = [pieces.pre_tokens(t) for t in texts], np.arange(len(texts))
+    keys = np.arange(len(texts))
     s = sampling.Sampler(PATH, 3)
     show = lambda rows: [(r["ids"].tolist(), round(r["perturbed"], 9), round(r["inclusion"], 9)) for r in rows]
-    together = [show(r) for r in s(split, keys)]
-    assert together == [show(s([x], keys[k : k + 1])[0]) for k, x in enumerate(split)]
+    together = [show(r) for r in s(texts, keys)]
+    assert together == [show(s([x], keys[k : k + 1])[0]) for k, x in enumerate(texts)]
     v = pieces.load(PATH)
     for t, rows in zip(texts, together):
         assert len({tuple(r[0]) for r in rows}) == len(rows) and all(v.decode(r[0]) == t for r in rows)
@@ -101,7 +101,7 @@ def test_samples_keep_their_ids(spark):
         assert np.frombuffer(got[k].ids, "<u4").tolist() == v.model.encode(t or "") and bool(got[k].samples) == bool(t)
         ways = [np.frombuffer(s.ids, "<u4").tolist() for s in got[k].samples]
         assert all(v.decode(w) == t for w in ways) and len({tuple(w) for w in ways}) == len(ways)
-        own = sampling.Sampler(PATH)([pieces.pre_tokens(t or "")], np.array([k or 0]))[0]
+        own = sampling.Sampler(PATH)([t or ""], np.array([k or 0]))[0]
         assert ways == [s["ids"].tolist() for s in own]
         assert [tuple(s) for s in short[k].samples] == [(len(w), zlib.crc32(s.ids), s.log_prob, s.perturbed, s.inclusion) for w, s in zip(ways, got[k].samples)]
 
@@ -148,3 +148,55 @@ def test_nulls_repeated_rows_and_empty_table(spark, module):
         assert got[0].ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
     else:
         assert got[2].n_tokens == got[3].n_pre_tokens == 0 and got[4].n_pre_tokens == 20_001
+
+
+def shown(rows):
+    return [(r["ids"].tolist(), r["log_prob"], r["perturbed"], r["inclusion"]) for r in rows]
+
+
+def test_what_is_kept_changes_nothing(monkeypatch):
+    rng = random.Random(8)
+    batches = [[" ".join("".join(rng.choice("abcdeé日\n") for _ in range(rng.randrange(1, 9))) for _ in range(60)) for _ in range(5)] + ODD for _ in range(12)]
+    whole, small = sampling.Sampler(PATH, 3), sampling.Sampler(PATH, 3)
+    small.words.most = 3000
+    sizes = []
+    for batch in batches:
+        keys = np.arange(len(batch))
+        assert [shown(r) for r in whole(batch, keys)] == [shown(r) for r in small(batch, keys)]
+        assert whole.encode(batch) == small.encode(batch)
+        sizes.append(small.words.piece.n)
+    assert max(sizes) < whole.words.piece.n and any(b < a for a, b in zip(sizes, sizes[1:]))
+
+
+def test_equal_hashes_of_unequal_words(monkeypatch):
+    batch = ODD + ["one two three on tw"]
+    want = [shown(r) for r in sampling.Sampler(PATH)(batch, np.arange(len(batch)))]
+    encoded = sampling.Sampler(PATH).encode(batch)
+    s, real = sampling.Sampler(PATH), np.unique
+    monkeypatch.setattr(sampling.np, "unique", lambda x, **k: real(x & np.uint64(3) if x.dtype == np.uint64 else x, **k))
+    assert s.encode(batch) == encoded and [shown(r) for r in s(batch, np.arange(len(batch)))] == want
+
+
+def test_long_pre_tokens():
+    rng = random.Random(9)
+    s, v = sampling.Sampler(PATH), pieces.load(PATH)
+    text = "".join(rng.choice("abcdefghéñ日本語テ") for _ in range(80_000))
+    s(["warm up"], np.array([1]))
+    begun = time.perf_counter()
+    rows = s([text], np.array([5]))[0]
+    took = time.perf_counter() - begun
+    assert len(rows) == 2 and all(v.decode(r["ids"].tolist()) == text for r in rows) and rows[0]["perturbed"] > rows[1]["perturbed"]
+    assert took < 5
+    # The same walk step by step as for many at once.
+    short = [text[:200]] * 30
+    assert shown(s(short[:1], np.array([5]))[0]) == shown(s(short, np.full(30, 5))[0])
+
+
+def test_pre_tokens_at_once_are_those_one_by_one():
+    rng = random.Random(10)
+    batch = ODD + ["".join(rng.choice("ab \n▁é😀") for _ in range(rng.randrange(30))) for _ in range(300)]
+    letters, starts, many = sampling.letters_of(batch)
+    text = letters.astype("<u4").tobytes().decode("utf-32-le")
+    ends = [*starts.tolist()[1:], len(text)]
+    want = [pieces.pre_tokens(t) for t in batch]
+    assert [text[a:b] for a, b in zip(starts.tolist(), ends)] == sum(want, []) and many.tolist() == list(map(len, want))

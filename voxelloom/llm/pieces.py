@@ -8,8 +8,8 @@ A character that no piece is falls back to its UTF-8 bytes.
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -47,16 +47,17 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.as_bytes = [bytes([self.byte_ids.index(i)]) if self.model.is_byte(i) else b"" if s else p.replace(SPACE, " ").encode() for i, (p, s) in enumerate(zip(names, special))]
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The library's ids of pre-tokens, as little-endian 32-bit integers."""
-        first = [c[1:].replace(SPACE, " ") if c[0] == SPACE else c if c == "\n" else "\n" + c for c in chunks]
-        drop = [0 if c[0] == SPACE else 1 if c == "\n" else 2 for c in chunks]
-        out = []
-        for c, got, k in zip(chunks, self.model.encode(first, num_threads=1), drop):
-            # An empty string has no ids in the library, though a lone SPACE has one.
-            ids = got[k:] if got or c != SPACE else [self.ids[SPACE]]
-            out.append(array("I", ids).tobytes())
-        return out
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of pre-tokens, with spaces for SPACE, one after the other, and how many each has."""
+        # A line feed keeps the library from setting a space in front; what it has for the line feed (and that space) is taken off.
+        found = self.model.encode([c[1:] if c[0] == " " else c if c == "\n" else "\n" + c for c in chunks], num_threads=1)
+        for k, c in enumerate(chunks):
+            if c[0] != " ":
+                found[k] = found[k][1 if c == "\n" else 2 :]
+            elif c == " ":  # an empty string has no ids in the library, though a lone space has one
+                found[k] = [self.ids[SPACE]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space in front."""

@@ -16,12 +16,16 @@ log probabilities; the next maximum on the agenda is the threshold by which
 the inclusion score 1 - exp(-exp(log p - threshold)) is given.
 
 All draws come from a hash of the row's key, the walk's number and the place,
-so they do not depend on how rows are dealt out. A batch of texts is worked on
-at once in NumPy; the lattice of a pre-token that occurs repeatedly in it is made once.
+and log probabilities are added up as whole numbers, so that results do not
+depend on how rows are dealt out. A batch of texts is worked on at once in
+NumPy. A worker keeps the encodings and lattices of pre-tokens, those that
+recur for longest, within a bound; what it keeps never changes a result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -33,14 +37,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import texts, with_arrow
-from .pieces import Pieces, load, pre_tokens
+from .kept import Column as KeptColumn
+from .kept import Kept, code_points, runs
+from .pieces import SPACE, Pieces, load
 from .shingles import mix
 
 #: Segmentations drawn for each text.
 SAMPLES = 2
-#: Characters worked on at once (a longer text alone), and pre-tokens whose ids are kept.
-CHARS = 4_000_000
-KEPT = 400_000
+#: Characters worked on at once (a longer text alone).
+CHARS = 500_000
+#: Edges of the lattices that a worker keeps, some 20 bytes each with all that goes with them.
+KEPT_EDGES = 4_500_000
+#: Rounds over fewer places or walks than this are done one by one: long pre-tokens take many rounds.
+FEW = 24
+#: Log probabilities are kept in units of 2**-UNIT.
+UNIT = 36
 
 _PRIME = 0x100000001B3
 _U = np.uint64
@@ -57,6 +68,10 @@ def _uniform(key: np.ndarray) -> np.ndarray:
     return ((mix(key) >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def _units(logp: np.ndarray) -> np.ndarray:
+    return np.rint(logp * float(1 << UNIT)).astype(np.int64)
+
+
 class _Table:
     """Hashes of all beginnings of pieces, sorted, and the piece that each is (or -1)."""
 
@@ -80,9 +95,16 @@ class _Table:
         self.ids = np.array(list(found.values()), np.int32)[order]
         # Where the hashes with each value of the top bits begin.
         self.begin = np.searchsorted(self.hashes >> _U(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64)).astype(np.int32)
-        self.score = np.full(pieces.model.get_piece_size(), -1e30)
+        # By id: score, characters and bytes; the last entry is for -1, a character without a piece (its score is by its bytes).
+        n = pieces.model.get_piece_size()
+        self.byte_score = pieces.byte_score
+        self.score = np.full(n + 1, pieces.byte_score)
+        self.chars = np.ones(n + 1, np.int64)
         for p, i in pieces.ids.items():
-            self.score[i] = pieces.score[p]
+            self.score[i], self.chars[i] = pieces.score[p], len(p)
+        self.bytes = np.frombuffer(b"".join(pieces.as_bytes), np.uint8)
+        self.byte_size = np.fromiter(map(len, pieces.as_bytes), np.int64, n)
+        self.byte_begin = np.cumsum(self.byte_size) - self.byte_size
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Where each key is, -1 if nowhere; buckets hold few hashes."""
@@ -105,39 +127,52 @@ def _table(path: str) -> _Table:
     return _Table(load(path))
 
 
+def letters_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of texts with SPACE for spaces and one more in front, where pre-tokens begin, and how many pre-tokens each text has.
+
+    The pre-tokens are those of ``pieces.pre_tokens``: an empty text has none.
+    """
+    letters = code_points([" " + t for t in batch if t])
+    if not len(letters):
+        return letters, np.zeros(0, np.int64), np.zeros(len(batch), np.int64)
+    letters = np.where(letters == 0x20, np.uint32(ord(SPACE)), letters)
+    space, feed = letters == ord(SPACE), letters == 0x0A
+    begin = feed.copy()
+    begin[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+    sizes = np.fromiter((len(t) + 1 if t else 0 for t in batch), np.int64, len(batch))
+    firsts = np.cumsum(sizes) - sizes
+    begin[firsts[sizes > 0]] = True
+    starts = np.flatnonzero(begin)
+    return letters, starts, np.searchsorted(starts, firsts + sizes) - np.searchsorted(starts, firsts)
+
+
 @dataclass(slots=True)
 class Lattice:
-    """Edges of all distinct pre-tokens, sorted by the place (character) they start at; first has an entry more than places."""
+    """Edges of pre-tokens one after the other, sorted by the place (character) they start at, long pieces first.
+
+    An edge ends as many places on as its piece has characters.
+    """
 
-    first: np.ndarray
-    start: np.ndarray
-    to: np.ndarray
+    first: np.ndarray  # first edge of each place, and an entry more
+    back: np.ndarray  # log of the sum over all ways from each place to the end of its pre-token
     piece: np.ndarray  # id, or -1 for a character that falls back to bytes
-    p: np.ndarray  # probability given the place
-    upto: np.ndarray  # sum of p of the place's edges up to and with this one
-    logp: np.ndarray
-    other: np.ndarray  # log of the sum of p of the place's other edges
-    begin: np.ndarray  # place where each pre-token starts
-    end: np.ndarray
-    letters: np.ndarray  # code points
-    width: np.ndarray  # bytes of each character in UTF-8
-
-
-def lattice(words: list[str], table: _Table, byte_score: float) -> Lattice:
-    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    upto: np.ndarray  # sum of probabilities, given the place, of its edges up to and with this one
+
+
+def _width(letters: np.ndarray) -> np.ndarray:
+    """Bytes of each character in UTF-8."""
+    return 1 + (letters > 0x7F).astype(np.int64) + (letters > 0x7FF) + (letters > 0xFFFF)
+
+
+def lattice(letters: np.ndarray, sizes: np.ndarray, table: _Table) -> Lattice:
+    """The lattices of pre-tokens of these sizes; what one gets does not depend on the others."""
     n = len(letters)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(sizes)
-    begin = end - sizes
-    stop = np.repeat(end, sizes)
-    width = 1 + (letters > 0x7F).astype(np.int64) + (letters > 0x7FF) + (letters > 0xFFFF)
+    far = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
     mixed = mix(letters.astype(np.uint64))
     # Hash of the letters from a place on, a letter more each round, while a piece begins so.
-    place = np.arange(n)
-    h = np.zeros(n, np.uint64)
-    far = stop - place
+    place, h = np.arange(n), np.zeros(n, np.uint64)
     made = np.zeros(n, np.int64)  # edges of each place so far
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(table.longest):
         if k:
             on = np.flatnonzero(far[place] > k)
@@ -155,256 +190,358 @@ def lattice(words: list[str], table: _Table, byte_score: float) -> Lattice:
             odd = np.ones(n, bool)
             odd[src] = False
             odd = np.flatnonzero(odd)
-            found.append((odd, np.full(len(odd), -1, np.int32), made[odd], 1))
+            found.append((odd, np.full(len(odd), -1, np.int32), made[odd]))
             made[odd] = 1
-        found.append((src, piece[whole], made[src], k + 1))
+        found.append((src, piece[whole], made[src]))
         made[src] += 1
-    # Each edge goes to where its place's edges are, shorter ones first.
     first = np.zeros(n + 1, np.int64)
     np.cumsum(made, out=first[1:])
-    total = int(first[-1])
-    start, to, piece, score = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
-    for src, ids, rank, size in found:
-        e = first[src] + rank
-        start[e], to[e], piece[e] = src, src + size, ids
-        score[e] = table.score[ids] if len(ids) and ids[0] >= 0 else byte_score * width[src]
-    del found
-    # Backward sums, all places that are as far from their ends at once. A place past a pre-token counts nothing, though the next one starts there.
-    back = np.zeros(n + 1)
+    piece = np.empty(int(first[-1]), np.int32)
+    edges = []
+    for src, ids, rank in found:
+        e = first[src + 1] - 1 - rank
+        piece[e] = ids
+        edges.append(e)
+    value = table.score[piece]
+    if len(found) and len(found[0][0]):
+        value[edges[0]] *= _width(letters[found[0][0]])
+    start = np.repeat(np.arange(n), made)
+    back = _backward(first, start, table.chars[piece], value, far)
+    value -= back[start]
+    p = np.exp(value)
+    upto, held = np.empty(len(piece), np.float32), np.zeros(n)
+    for (src, _, _), e in zip(reversed(found), reversed(edges)):
+        held[src] += p[e]
+        upto[e] = held[src]
+    return Lattice(first, back, piece, upto)
+
+
+def _backward(first: np.ndarray, start: np.ndarray, chars: np.ndarray, value: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """The log of the sum over all ways from each place; adds to each edge's value what follows it.
+
+    All places that are as far from the ends of their pre-tokens at once.
+    """
+    n = len(far)
+    back = np.zeros(n)
     most = int(far.max()) if n else 0
     places = np.argsort(far.astype(np.uint16) if most < 1 << 16 else far, kind="stable")
-    bounds = np.cumsum(np.bincount(far, minlength=most + 1))
-    value = np.empty(total)
+    bounds = np.cumsum(np.bincount(far, minlength=most + 1)).tolist()
+    left = far[start] - chars  # characters that follow the edge in its pre-token
+    a = 0
     for a, b in zip(bounds[:-1], bounds[1:]):
-        if a == b:
-            continue
+        if b - a < FEW:
+            break
         p = places[a:b]
-        count = made[p]
+        count = first[p + 1] - first[p]
         cut = np.cumsum(count) - count
-        e = np.repeat(first[p] - cut, count)
-        e += np.arange(len(e))
-        ends = to[e]
-        v = back[ends]
-        v[ends == np.repeat(stop[p], count)] = 0.0
-        v += score[e]
+        e = runs(first[p], count)
+        v = value[e]
+        more = np.flatnonzero(left[e] > 0)
+        inner = e[more]
+        v[more] += back[start[inner] + chars[inner]]
         value[e] = v
         top = np.maximum.reduceat(v, cut)
         v -= np.repeat(top, count)
         back[p] = top + np.log(np.add.reduceat(np.exp(v), cut))
-    logp = value - back[start]
-    p = np.exp(logp)
-    total = np.cumsum(p)
-    upto = total - (total - p)[first[start]] if len(p) else p
-    only = (first[1:] - first[:-1])[start] == 1
-    with np.errstate(divide="ignore"):
-        other = np.log(np.where(only, 0.0, np.maximum(1.0 - p, 0.0)))
-    return Lattice(first, start, to, piece, p, upto, logp, other, begin, end, letters, width)
-
-
-def _draw(lat: Lattice, place: np.ndarray, stop: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Walks from places to stops, drawn by keys: edges, and how many each has."""
-    n = len(place)
-    count = np.zeros(n, np.int64)
-    on = np.flatnonzero(place < stop)
-    place = place.copy()
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    step = 0
-    while len(on):
-        at = place[on]
-        u = _uniform(key[on] + _times(step + 1, 0xD1342543DE82EF95))
-        e = lat.first[at]
-        last = lat.first[at + 1] - 1
-        more = np.flatnonzero((e < last) & (u >= lat.upto[e]))
-        while len(more):
-            e[more] += 1
-            x = e[more]
-            more = more[(x < last[more]) & (u[more] >= lat.upto[x])]
-        steps.append((on, e))
-        count[on] += 1
-        place[on] = lat.to[e]
-        on = on[place[on] < stop[on]]
-        step += 1
-    begin = np.cumsum(count) - count
-    edges = np.empty(int(count.sum()), np.int64)
-    for k, (who, e) in enumerate(steps):
-        edges[begin[who] + k] = e
-    return edges, count
+    else:
+        return back
+    rest = places[a:]
+    for p, low, high in zip(rest.tolist(), first[rest].tolist(), first[rest + 1].tolist()):
+        v = value[low:high].tolist()
+        for k, (size, after) in enumerate(zip(chars[low:high].tolist(), left[low:high].tolist())):
+            if after:
+                v[k] += float(back[p + size])
+        value[low:high] = v
+        top = max(v)
+        back[p] = top + math.log(sum(math.exp(x - top) for x in v))
+    return back
+
+
+class Words(Kept):
+    """Encodings and lattices of pre-tokens by number."""
+
+    def __init__(self, pieces: Pieces, table: _Table, most: int = KEPT_EDGES):
+        self.table = table
+        super().__init__(lambda words: pieces.encode_chunks([w.replace(SPACE, " ") for w in words]), most)
+
+    def clear(self) -> None:
+        super().clear()
+        self.first, self.back = KeptColumn(np.int64), KeptColumn(np.float64)
+        self.piece, self.upto = KeptColumn(np.int32), KeptColumn(np.float32)
+        self.first.add(np.zeros(1, np.int64))
+
+    def held(self) -> int:
+        """Edges."""
+        return self.piece.n
+
+    def make(self, letters: np.ndarray, sizes: np.ndarray) -> Lattice:
+        return lattice(letters, sizes, self.table)
+
+    def taken(self, which: np.ndarray) -> Lattice:
+        first, size = self.first.data, self.size.data[which]
+        places = runs(self.begin.data[which], size)
+        count = first[places + 1] - first[places]
+        edges = runs(first[places], count)
+        return Lattice(np.append(0, np.cumsum(count)), self.back.data[places], self.piece.data[edges], self.upto.data[edges])
+
+    def extend(self, more: Lattice) -> None:
+        self.first.add(more.first[1:] + self.piece.n)
+        self.back.add(more.back)
+        self.piece.add(more.piece)
+        self.upto.add(more.upto)
+
+
+@dataclass(slots=True)
+class _Walk:
+    """A walk of each text, one after the other, and the regions that were split off along it."""
+
+    edges: np.ndarray
+    place: np.ndarray  # where each edge starts
+    word: np.ndarray  # the pre-token of the batch that it is in
+    steps: np.ndarray  # log probability given the place, in units of 2**-UNIT
+    cut: np.ndarray  # where each text's edges begin, and the end
+    own: np.ndarray  # edges that each text's walk shares with the walk that it left
+    barred: np.ndarray  # edges that do not follow there, filled up with -1
+    free: np.ndarray  # the maximum of the region that leaves each edge, before truncation; -inf if taken
+    live: np.ndarray
+    perturbed: np.ndarray
+    log_prob: np.ndarray
+    best: np.ndarray  # largest maximum of a region of each text, and the edge that it leaves
+    where: np.ndarray
 
 
 class Sampler:
     def __init__(self, path: str, samples: int = SAMPLES):
         self.pieces, self.table, self.samples = load(path), _table(path), samples
-        self.kept: dict[str, bytes] = {}
+        self.words = Words(self.pieces, self.table)
         self.byte_ids = np.array(self.pieces.byte_ids, np.uint32)
 
+    def split(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pre-tokens of texts, and how many each text has."""
+        letters, starts, many = letters_of(batch)
+        return self.words(letters, starts, np.diff(starts, append=len(letters))), many
+
     # ---- the library's encoding
 
-    def encode(self, split: list[list[str]]) -> list[bytes]:
-        """The library's ids of texts given as pre-tokens."""
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.kept))
-        self.kept.update(zip(new, self.pieces.encode_chunks(new)) if new else ())
-        out = [b"".join(map(self.kept.__getitem__, x)) for x in split]
-        for c in new:
-            if len(c) > 64:
-                del self.kept[c]
-        return out
+    def decoded(self, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
+        """The bytes of the pieces of each text's ids, with the space in front."""
+        size = self.table.byte_size[ids]
+        data = self.table.bytes[runs(self.table.byte_begin[ids], size)].tobytes()
+        ends = np.append(0, np.cumsum(size))[cut].tolist()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """The library's ids of texts."""
+        word, many = self.split(batch)
+        ids, cut = self.words.encoded(word, np.cumsum(many))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:])]
 
     # ---- sampling
 
-    def ids(self, lat: Lattice, edges: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, edges: np.ndarray, place: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of walks one after the other, and where each walk's begin and end."""
-        piece = lat.piece[edges]
+        piece = self.words.piece.data[edges]
         odd = np.flatnonzero(piece < 0)
         if not len(odd):
             return piece.astype("<u4"), cut
-        place = lat.start[edges[odd]]
+        letters = [list(chr(c).encode("utf-8", "surrogatepass")) for c in self.words.letters.data[place[odd]].tolist()]
         count = np.ones(len(edges), np.int64)
-        count[odd] = lat.width[place]
+        count[odd] = list(map(len, letters))
         ends = np.append(0, np.cumsum(count))
         out = np.repeat(piece, count).astype("<u4")
-        for a, n, c in zip(ends[odd].tolist(), count[odd].tolist(), lat.letters[place].tolist()):
-            out[a : a + n] = self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]
+        out[runs(ends[odd], count[odd])] = self.byte_ids[list(chain.from_iterable(letters))]
         return out, ends[cut]
 
-    def __call__(self, split: list[list[str]], keys: np.ndarray) -> list[list[dict]]:
+    def __call__(self, batch: list[str], keys: np.ndarray) -> list[list[dict]]:
         """Samples of each text, best first: ids, log_prob, perturbed and inclusion."""
-        texts_n = len(split)
-        out: list[list[dict]] = [[] for _ in split]
-        distinct = list(set(chain.from_iterable(split)))
-        if not distinct:
-            return out
-        number = dict(zip(distinct, range(len(distinct))))
-        lat = lattice(distinct, self.table, self.pieces.byte_score)
-        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
-        many = np.fromiter(map(len, split), np.int64, texts_n)
-        word_end = np.cumsum(many)
-        word_begin = word_end - many
-        owner = np.repeat(np.arange(texts_n), many)
-        inside = np.arange(len(word)) - word_begin[owner]
-        text_key = mix(keys.astype(np.uint64))
-        begin, end = lat.begin[word], lat.end[word]
+        out: list[list[dict]] = [[] for _ in batch]
+        for walk, (ids, cut), inclusion in self.draw(*self.split(batch), keys):
+            for t in np.flatnonzero(walk.live).tolist():
+                out[t].append({"ids": ids[cut[t] : cut[t + 1]], "log_prob": float(walk.log_prob[t]), "perturbed": float(walk.perturbed[t]), "inclusion": float(inclusion[t])})
+        return out
 
-        agenda: list[dict] = []  # of each walk drawn so far: the maxima of the regions along it
+    def logp(self, piece: np.ndarray, place: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Log probabilities, given the place, of pieces at places in pre-tokens that end at stop."""
+        back = self.words.back.data
+        score = self.table.score[piece]
+        odd = np.nonzero(piece < 0)
+        score[odd] *= _width(self.words.letters.data[place[odd]])
+        to = place + self.table.chars[piece]
+        inner = np.nonzero(to < stop)
+        score[inner] += back[to[inner]]
+        return score - back[place]
+
+    def draw(self, word: np.ndarray, many: np.ndarray, keys: np.ndarray) -> list[tuple[_Walk, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+        """The walks of texts of ``many`` pre-tokens each, best first: a walk of each text, its ids and its inclusion score."""
+        n = len(many)
+        if not len(word):
+            return []
+        owner = np.repeat(np.arange(n), many)
+        inside = np.arange(len(word)) - (np.cumsum(many) - many)[owner]
+        text_key = mix(keys.astype(np.uint64))
         live = many > 0
         score = np.where(live, -np.log(-np.log(_uniform(text_key ^ _U(0xA5A5)))), -np.inf)
-        source = np.full(texts_n, -1)  # the walk that the new one leaves, and the edge of it that it does not take
-        leave = np.zeros(texts_n, np.int64)
-        for turn in range(self.samples + 1):
-            if turn:
-                score, source, leave = self._next(agenda, texts_n)
-                live = np.isfinite(score)
-            if turn:
-                self._score(out, agenda, lat, score, turn)
-            if turn == self.samples or not live.any():
-                break
-            agenda.append(self._walk(lat, agenda, turn, live, score, source, leave, word_begin, word_end, begin, end, inside, owner, text_key))
-        return out
-
-    def _next(self, agenda: list[dict], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The region with the largest maximum, for each text."""
-        score, source, leave = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, np.int64)
-        for k, a in enumerate(agenda):
-            best = a["best"]
-            on = best > score
-            score[on], source[on], leave[on] = best[on], k, a["where"][on]
-        return score, source, leave
-
-    def _walk(self, lat, agenda, turn, live, score, source, leave, word_begin, word_end, begin, end, inside, owner, text_key) -> dict:
-        n = len(live)
-        texts_on = np.flatnonzero(live)
-        # What each text keeps of the walk it leaves, and the edge it takes there.
-        keep_edges = [np.zeros(0, np.int64)] * n
-        first_word = word_begin.copy()
-        first_place = np.full(n, -1)
+        source, leave = np.full(n, -1), np.zeros(n, np.int64)
+        agenda: list[_Walk] = []
+        while live.any() and len(agenda) < self.samples:
+            agenda.append(self._walk(agenda, live, score, source, leave, word, many, owner, inside, text_key))
+            # The region with the largest maximum is next.
+            score = np.full(n, -np.inf)
+            for k, a in enumerate(agenda):
+                on = a.best > score
+                score[on], source[on], leave[on] = a.best[on], k, a.where[on]
+            live = np.isfinite(score)
+        with np.errstate(over="ignore"):
+            scores = [np.where(live, -np.expm1(-np.exp(a.log_prob - np.where(live, score, 0.0))), 1.0) for a in agenda]
+        return [(a, self.ids(a.edges, a.place, a.cut), s) for a, s in zip(agenda, scores)]
+
+    def _walk(self, agenda, live, score, source, leave, word, many, owner, inside, text_key) -> _Walk:
+        n, turn = len(live), len(agenda)
+        first, piece, chars = self.words.first.data, self.words.piece.data, self.table.chars
+        word_end = np.cumsum(many)
+        resume_word, resume_place, taken_step = word_end - many, np.full(n, -1), np.zeros(n, np.int64)
+        own = np.zeros(n, np.int64)
+        barred = np.full((n, turn), -1)
         taken = np.full(n, -1)
-        barred: dict[int, list[int]] = {}
-        for t in texts_on[source[texts_on] >= 0].tolist():
-            a, at = agenda[source[t]], int(leave[t])
-            own = a["edges"][a["cut"][t] : a["cut"][t + 1]]
-            ban = [int(own[at])] + (a["barred"].get(t, []) if at == a["from"][t] else [])
-            barred[t] = ban
-            place = int(lat.start[own[at]])
-            options = [e for e in range(int(lat.first[place]), int(lat.first[place + 1])) if e not in ban]
-            mass = np.cumsum([lat.p[e] for e in options])
-            u = float(_uniform(np.array([text_key[t] ^ _U(0xBEEF * (turn + 1))], np.uint64))[0]) * mass[-1]
-            taken[t] = options[min(int(np.searchsorted(mass, u, "right")), len(options) - 1)]
-            keep_edges[t] = own[:at]
-            first_word[t] = a["word"][a["cut"][t] + at]
-            first_place[t] = lat.to[taken[t]]
-            agenda[source[t]]["free"][a["cut"][t] + at] = -np.inf
+        shared = []  # what texts keep of the walks that they leave: whose, and where that is
+        for k, a in enumerate(agenda):
+            t = np.flatnonzero(live & (source == k))
+            at = leave[t]
+            spot = a.cut[t] + at
+            own[t], resume_word[t], resume_place[t], barred[t, 0] = at, a.word[spot], a.place[spot], a.edges[spot]
+            again = at == a.own[t]
+            barred[t[again], 1 : 1 + a.barred.shape[1]] = a.barred[t[again]]
+            a.free[spot] = -np.inf
+            shared.append((a, t, runs(a.cut[t], at)))
+        on = np.flatnonzero(live & (source >= 0) & (turn > 0))
+        rest = np.zeros(len(on))
+        if len(on):
+            low, high = first[resume_place[on]], first[resume_place[on] + 1]
+            option = low[:, None] + np.arange(int((high - low).max()))[None, :]
+            allowed = (option < high[:, None]) & ~(option[:, :, None] == barred[on][:, None, :]).any(axis=2)
+            spot = resume_place[on][:, None] + np.zeros_like(option)
+            last = word[resume_word[on]]
+            stop = (self.words.begin.data[last] + self.words.size.data[last])[:, None] + np.zeros_like(option)
+            said = self.logp(piece[np.where(allowed, option, low[:, None])], spot, stop)
+            p = np.where(allowed, np.exp(said), 0.0)
+            mass = np.cumsum(p, axis=1)
+            u = _uniform(text_key[on] ^ _times(turn + 1, 0xBEEF)) * mass[:, -1]
+            final = p.shape[1] - 1 - np.argmax(p[:, ::-1] > 0, axis=1)
+            pick = np.minimum((mass <= u[:, None]).sum(axis=1), final)
+            taken[on] = low + pick
+            taken_step[on] = _units(said[np.arange(len(on)), pick])
+            p[np.arange(len(on)), pick] = 0.0
+            rest = p.sum(axis=1)
         # The rest is drawn: of the word that the walk leaves in, what follows; then whole words.
-        use = live[owner] & (np.arange(len(owner)) >= first_word[owner])
-        occ = np.flatnonzero(use)
-        start = begin[occ].copy()
-        partial = (first_place[owner[occ]] >= 0) & (occ == first_word[owner[occ]])
-        start[partial] = first_place[owner[occ][partial]]
+        occ = np.flatnonzero(live[owner] & (np.arange(len(owner)) >= resume_word[owner]))
+        begin = self.words.begin.data[word[occ]]
+        end = begin + self.words.size.data[word[occ]]
+        part = np.flatnonzero((resume_place[owner[occ]] >= 0) & (occ == resume_word[owner[occ]]))
+        whose = owner[occ[part]]
+        begin[part] = resume_place[whose] + chars[piece[taken[whose]]]
         key = mix(text_key + _times(turn + 1, 0x9E3779B97F4A7C15))[owner[occ]] + inside[occ].astype(np.uint64) * _U(0xBF58476D1CE4E5B9)
-        drawn, count = _draw(lat, start, end[occ], key)
+        drawn, drawn_place, count = self._draw(begin, end, key)
         per_text = np.bincount(owner[occ], weights=count, minlength=n).astype(np.int64)
-        kept = np.fromiter(map(len, keep_edges), np.int64, n)
-        size = kept + (taken >= 0) + per_text
+        size = own + (taken >= 0) + per_text
         cut = np.append(0, np.cumsum(size))
-        edges, words = np.empty(int(cut[-1]), np.int64), np.empty(int(cut[-1]), np.int64)
-        for t in np.flatnonzero(taken >= 0).tolist():
-            a, k = agenda[source[t]], int(kept[t])
-            edges[cut[t] : cut[t] + k] = keep_edges[t]
-            words[cut[t] : cut[t] + k] = a["word"][a["cut"][t] : a["cut"][t] + k]
-            edges[cut[t] + k], words[cut[t] + k] = taken[t], first_word[t]
-        place = np.repeat(cut[:-1] + kept + (taken >= 0) - (np.cumsum(per_text) - per_text), per_text) + np.arange(len(drawn))
-        edges[place] = drawn
-        words[place] = np.repeat(occ, count)
+        edges, place, words, steps = (np.empty(int(cut[-1]), np.int64) for _ in range(4))
+        for a, t, old in shared:
+            to = runs(cut[t], own[t])
+            edges[to], place[to], words[to], steps[to] = a.edges[old], a.place[old], a.word[old], a.steps[old]
+        spot = cut[on] + own[on]
+        edges[spot], place[spot], words[spot], steps[spot] = taken[on], resume_place[on], resume_word[on], taken_step[on]
+        to = runs(cut[:-1] + own + (taken >= 0), per_text)
+        edges[to], place[to], words[to] = drawn, drawn_place, np.repeat(occ, count)
+        steps[to] = _units(self.logp(piece[drawn], drawn_place, np.repeat(end, count)))
         # Regions along the walk, from the edge on that it does not share.
-        text = np.repeat(np.arange(n), size)
-        logp = lat.logp[edges]
-        run = np.cumsum(logp)
-        base = np.append(0.0, run)[cut[:-1]]
-        mass = run - logp - base[text] + lat.other[edges]
-        index = np.arange(len(edges)) - cut[text]
-        for t, ban in barred.items():
-            k = int(cut[t] + kept[t])
-            e = int(edges[k])
-            place = int(lat.start[e])
-            rest = sum(float(lat.p[x]) for x in range(int(lat.first[place]), int(lat.first[place + 1])) if x != e and x not in ban)
-            mass[k] = float(run[k] - logp[k] - base[t]) + (np.log(rest) if rest > 0 else -np.inf)
-        mass[index < kept[text]] = -np.inf
-        u = _uniform(mix(text_key + _times(turn + 1, 0x94D049BB133111EB))[text] + index.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        run = np.append(0, np.cumsum(steps))  # whole numbers: what comes before a text in the batch goes without a trace
+        begins = run[cut[:-1]]
+        log_prob = (run[cut[1:]] - begins) / float(1 << UNIT)
+        new = runs(cut[:-1] + own, size - own)
+        text = np.repeat(np.arange(n), size - own)
+        with np.errstate(divide="ignore"):
+            mass = (run[new] - begins[text]) / float(1 << UNIT)
+            other = np.log(-np.expm1(steps[new] / float(1 << UNIT)))
+            other[np.searchsorted(new, spot)] = np.log(rest)
+            u = _uniform(mix(text_key + _times(turn + 1, 0x94D049BB133111EB))[text] + (new - cut[text]).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        free = np.full(len(edges), -np.inf)
         # Gumbel variables before truncation; truncation keeps their order within a text, so it waits until one is taken.
-        free = mass - np.log(-np.log(u))
-        a = {"edges": edges, "cut": cut, "word": words, "from": kept, "barred": barred, "free": free, "perturbed": score.copy(), "live": live.copy()}
-        a["log_prob"] = np.append(run, 0.0)[cut[1:] - 1] - base
-        self._best(a)
-        for k in set(source[texts_on].tolist()) - {-1}:
-            self._best(agenda[k])
-        return a
-
-    def _best(self, a: dict) -> None:
-        """The largest region of each text along a walk: its truncated maximum, and the place where it leaves."""
-        cut, free = a["cut"], a["free"]
+        free[new] = mass + other - np.log(-np.log(u))
+        made = _Walk(edges, place, words, steps, cut, own, barred, free, live.copy(), score.copy(), log_prob, np.zeros(0), np.zeros(0, np.int64))
+        for a in [*agenda, made]:
+            self._best(a)
+        return made
+
+    def _draw(self, place: np.ndarray, stop: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Walks from places to stops, drawn by keys: edges, where they start, and how many each walk has."""
+        first, upto, piece, chars = self.words.first.data, self.words.upto.data, self.words.piece.data, self.table.chars
+        n = len(place)
+        count = np.zeros(n, np.int64)
+        on = np.flatnonzero(place < stop)
+        place = place.copy()
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        tails: list[tuple[int, list[int], list[int]]] = []
+        while len(on):
+            if len(on) < FEW and len(steps) > FEW:
+                for i in on.tolist():
+                    e, at = self._draw_one(int(place[i]), int(stop[i]), key[i], len(steps))
+                    tails.append((i, e, at))
+                    count[i] += len(e)
+                break
+            at = place[on]
+            u = _uniform(key[on] + _times(len(steps) + 1, 0xD1342543DE82EF95))
+            e = first[at]
+            last = first[at + 1] - 1
+            more = np.flatnonzero((e < last) & (u >= upto[e]))
+            while len(more):
+                e[more] += 1
+                x = e[more]
+                more = more[(x < last[more]) & (u[more] >= upto[x])]
+            steps.append((on, e, at))
+            count[on] += 1
+            at = at + chars[piece[e]]
+            place[on] = at
+            on = on[at < stop[on]]
+        begin = np.cumsum(count) - count
+        edges, places = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+        for k, (who, e, at) in enumerate(steps):
+            spot = begin[who] + k
+            edges[spot], places[spot] = e, at
+        for i, e, at in tails:
+            spot = slice(begin[i] + len(steps), begin[i] + count[i])
+            edges[spot], places[spot] = e, at
+        return edges, places, count
+
+    def _draw_one(self, place: int, stop: int, key: np.uint64, step: int) -> tuple[list[int], list[int]]:
+        """What _draw does from a step on, for one long walk."""
+        first, upto, piece, chars = self.words.first.data, self.words.upto.data, self.words.piece.data, self.table.chars
+        edges, places = [], []
+        block: list[float] = []
+        while place < stop:
+            if not block:
+                turns = np.arange(step + len(edges) + 1, step + len(edges) + 513, dtype=np.uint64) * _U(0xD1342543DE82EF95)
+                block = _uniform(key + turns).tolist()[::-1]
+            u, e, last = block.pop(), int(first[place]), int(first[place + 1]) - 1
+            while e < last and u >= upto[e]:
+                e += 1
+            edges.append(e)
+            places.append(place)
+            place += int(chars[piece[e]])
+        return edges, places
+
+    def _best(self, a: _Walk) -> None:
+        """The largest region of each text along a walk: its truncated maximum, and the edge that it leaves."""
+        cut, free = a.cut, a.free
         n = len(cut) - 1
-        best, where = np.full(n, -np.inf), np.zeros(n, np.int64)
+        a.best, a.where = np.full(n, -np.inf), np.zeros(n, np.int64)
         some = np.flatnonzero(np.diff(cut) > 0)
         if len(some):
-            best[some] = np.maximum.reduceat(free, cut[:-1][some])
-            hit = np.flatnonzero(free == np.repeat(best, np.diff(cut)))[::-1]
-            where_of = np.searchsorted(cut, hit, "right") - 1
-            where[where_of] = hit - cut[where_of]
-        on = np.isfinite(best)
-        best[on] = -np.logaddexp(-a["perturbed"][on], -best[on])
-        a["best"], a["where"] = best, where
-
-    def _score(self, out: list[list[dict]], agenda: list[dict], lat: Lattice, threshold: np.ndarray, turn: int) -> None:
-        """Adds the walk drawn last, and sets all inclusion scores by the new threshold."""
-        a = agenda[-1]
-        if len(agenda) == turn:
-            ids, cut = self.ids(lat, a["edges"], a["cut"])
-            for t in np.flatnonzero(a["live"]).tolist():
-                out[t].append({"ids": ids[cut[t] : cut[t + 1]], "log_prob": float(a["log_prob"][t]), "perturbed": float(a["perturbed"][t])})
-        for t, rows in enumerate(out):
-            for r in rows:
-                with np.errstate(over="ignore"):
-                    r["inclusion"] = float(-np.expm1(-np.exp(r["log_prob"] - threshold[t]))) if np.isfinite(threshold[t]) else 1.0
+            a.best[some] = np.maximum.reduceat(free, cut[:-1][some])
+            hit = np.flatnonzero(free == np.repeat(a.best, np.diff(cut)))[::-1]
+            text = np.searchsorted(cut, hit, "right") - 1
+            a.where[text] = hit - cut[text]
+        on = np.isfinite(a.best)
+        a.best[on] = -np.logaddexp(-a.perturbed[on], -a.best[on])
 
 
 @lru_cache(1)
@@ -416,6 +553,29 @@ def sampler_of(path: str, samples: int) -> Sampler:
 _SAMPLE = T.StructType([T.StructField("ids", T.BinaryType())] + [T.StructField(n, T.DoubleType()) for n in ("log_prob", "perturbed", "inclusion")])
 
 
+def _binary(ids: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Runs of ids as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+
+
+def _columns(sampler: Sampler, keys: Sequence[int | None], batch: list[str], kind: pa.DataType) -> list[pa.Array]:
+    """ids, round_trip and samples of some texts."""
+    word, many = sampler.split(batch)
+    ids, cut = sampler.words.encoded(word, np.cumsum(many))
+    same = [got == (b" " + t.encode() if t else b"") for got, t in zip(sampler.decoded(ids, cut), batch)]
+    drawn = sampler.draw(word, many, np.array([k or 0 for k in keys], np.int64))
+    of, parts = [], []
+    for walk, (walk_ids, walk_cut), inclusion in drawn:
+        t = np.flatnonzero(walk.live)
+        fields = [_binary(walk_ids, walk_cut).take(pa.array(t)), *(pa.array(x[t]) for x in (walk.log_prob, walk.perturbed, inclusion))]
+        parts.append(pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+        of.append(t)
+    text = np.concatenate(of) if of else np.zeros(0, np.int64)
+    ends = np.append(0, np.cumsum(np.bincount(text, minlength=len(batch)))).astype(np.int32)
+    rows = pa.concat_arrays(parts).take(pa.array(np.argsort(text, kind="stable"))) if parts else pa.array([], kind.value_type)
+    return [_binary(ids, cut), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), rows, type=kind)]
+
+
 def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
     """Adds ids, round_trip and samples, each with its ids; all ids are little-endian 32-bit integers.
 
@@ -437,29 +597,18 @@ def encode_and_sample(docs: DataFrame, path: str, key: str = "doc_id", samples:
 
     def start():
         sampler = sampler_of(path, samples)
-        decode = sampler.pieces.decode
-
-        def some(keys, batch):
-            split = [pre_tokens(t) for t in batch]
-            encoded = sampler.encode(split)
-            drawn = sampler(split, np.array([k or 0 for k in keys], np.int64))
-            same = [decode(np.frombuffer(e, "<u4").tolist()) == t for e, t in zip(encoded, batch)]
-            rows = [[s | {"ids": s["ids"].tobytes()} for s in x] for x in drawn]
-            return encoded, same, rows
 
         def run(key, text):
             keys, all_texts = key.to_pylist(), texts(text)
-            encoded, same, rows = [], [], []
-            at = 0
+            parts, at = [], 0
             while at < len(all_texts):
                 to, held = at, 0
                 while to < len(all_texts) and (to == at or held + len(all_texts[to]) <= CHARS):
                     held += len(all_texts[to])
                     to += 1
-                for x, y in zip((encoded, same, rows), some(keys[at:to], all_texts[at:to])):
-                    x.extend(y)
+                parts.append(_columns(sampler, keys[at:to], all_texts[at:to], kind))
                 at = to
-            return [pa.array(encoded, pa.binary()), pa.array(same, pa.bool_()), pa.array(rows, kind)]
+            return [pa.concat_arrays(x) for x in zip(*parts)]
 
         return run
 
