@@ -1,22 +1,27 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
-A page becomes a list of text blocks. A classifier gives each block a cost for
-either label; the costs are capacities to the terminals. Neighbouring blocks,
-and blocks that are next to one another under the same element, are joined by
-smoothness edges. The minimum cut separates content from boilerplate.
-
-The classifier has two parts: what the elements around a block say (fixed
-costs, as there are no labelled pages), and a logistic regression on the text
-itself, fitted on a bounded sample of pages whose elements leave no doubt.
+A page becomes a list of text blocks. A classifier gives each block the
+log-odds of its being content: a logistic regression on what its text is like,
+which elements it lies in, and the words of their class and id names. The
+log-odds are capacities to the terminals. Smoothness edges join neighbouring
+blocks and blocks of one parent, the stronger the nearer their elements are in
+the tree. The minimum cut separates content from boilerplate: a block that
+says little by itself goes with those around it.
+
+The regression is fitted on a bounded sample of pages. Their labels are weak
+ones, of blocks in elements that HTML itself means for content or for what is
+not, so every block is shown twice, the second time without its elements: names
+and texts get weights of their own, which hold where pages have no such
+elements. What a sample does not show keeps its prior weight.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
@@ -27,14 +32,20 @@ from pyspark.sql import types as T
 
 from .common import texts, with_arrow
 
-#: Pages that the regression is fitted on, at most.
+#: Pages that the regression is fitted on, at most; pages that must show a name's word before it has a weight of its own.
 SAMPLE_PAGES = 400
-#: Capacity of the edge between neighbours, and of that between blocks of one parent.
-ADJACENT, SIBLING = 0.8, 0.6
-#: Costs that the elements around a block add: positive ones speak for content.
-ARTICLE, PARAGRAPH, ELEMENT, NAMED, NAMED_OUTSIDE, CONTENT_NAME = 5.0, 1.0, -9.0, -9.0, -2.0, 1.5
-#: The regression moves a block's cost by this at most.
-TEXT_MOST = 2.0
+WORD_PAGES = 5
+#: Capacity of the edge between neighbours that are next to one another in the tree, and between blocks of one parent; by each step
+#: further apart in the tree an edge keeps this share, and it keeps less between blocks that the markup does not treat alike.
+ADJACENT, SIBLING, STEP, UNLIKE = 1.2, 0.8, 0.5, 0.4
+#: Capacities to the terminals are this at most, less than the edges of a block among its like: none is beyond what those around it say.
+MOST = 3.0
+#: A form, or an element whose name may say boilerplate, does not say so when it holds this share of the page's words outside links.
+WRAPPER = 0.5
+#: The log of a block's words counts up to here.
+LONG = 3.5
+#: Steps in the tree, and open elements, that are looked at.
+NEAR, DEEP = 6, 512
 
 # Element names by their part in HTML.
 RAW = "script style textarea title noscript iframe noembed noframes xmp".split()
@@ -59,11 +70,21 @@ BOILERPLATE_NAME = (
 ).split()
 # Of those, the ones that hold for an article element inside them, too.
 BOILERPLATE_ALWAYS = "comment commentlist comments discussion disqus related recommended replies reply respond responses sidebar teaser widget widgets".split()
+# Of those, the ones that hold however much they contain.
+BOILERPLATE_TALK = "comment commentlist comments discussion disqus replies reply respond responses".split()
+# Words by which a name tells a state of the page, not what an element is.
+STATE_NAME = "active allow allowed closed disabled enabled free has is no not off on open opened with without".split()
+# Of those, the ones that parts of an article may have as well.
+BOILERPLATE_OR_NOT = (
+    "alert alerts announcement announcements copyright disclaimer feedback header hidden legal message messages notice notices notification "
+    "overlay poll popular print register survey tags tracking warning"
+).split()
 CONTENT_NAME_WORDS = "article articlebody body content entry main post prose story text".split()
 
 _RAW, _SKIPPED, _VOID, _BLOCK = frozenset(RAW), frozenset(SKIPPED), frozenset(VOID), frozenset(BLOCK)
 _HEADING, _BOIL, _ROLE = frozenset(HEADING), frozenset(BOILERPLATE_ELEMENT), frozenset(BOILERPLATE_ROLE)
-_BAD, _GOOD, _HARD = frozenset(BOILERPLATE_NAME), frozenset(CONTENT_NAME_WORDS), frozenset(BOILERPLATE_ALWAYS)
+_BAD, _GOOD, _HARD, _DOUBT = frozenset(BOILERPLATE_NAME), frozenset(CONTENT_NAME_WORDS), frozenset(BOILERPLATE_ALWAYS), frozenset(BOILERPLATE_OR_NOT)
+_TALK, _STATE = frozenset(BOILERPLATE_TALK), frozenset(STATE_NAME)
 _PLAIN = frozenset(["html", "body", "main"])
 
 _TAG = re.compile(
@@ -89,71 +110,156 @@ _ENDS = {
 }
 
 
+#: What elements say, a bit each.
+ARTICLE, NAV, FOOTER, ASIDE, HEADER, MENU, HARD, FORM, SOFT, GOOD = (1 << k for k in range(10))
+_ELEMENT_BIT = {"nav": NAV, "footer": FOOTER, "aside": ASIDE, "menu": MENU}
+_ROLE_BIT = {"navigation": NAV, "contentinfo": FOOTER, "complementary": ASIDE, "banner": HEADER, "search": FORM, "form": FORM}
+_NONE_WORDS: frozenset[str] = frozenset()
+
+
 @dataclass(slots=True)
 class Block:
     text: str
     tag: str
     linked: int  # characters inside links
-    parent: int  # number of the element that holds the block's element
-    evidence: float
-    sure: bool  # whether the elements around it leave no doubt
+    path: tuple[int, ...]  # numbers of the element that holds it and of those above, some of them
+    says: int  # bits of what the elements around it say
+    words: frozenset[str]  # of their names
+    maybe: tuple[tuple[int, int], ...]  # elements around it, by number, that say so only if they don't hold most of the page
 
 
 class _Open:
     """An open element: its name, number, and what it and those around it say."""
 
-    __slots__ = ("evidence", "name", "number", "outside", "skipped", "inside", "boiled", "hard")
+    __slots__ = ("name", "number", "path", "says", "words", "maybe", "skipped")
 
     def __init__(self, name: str, number: int, around: _Open | None, attributes: str):
         self.name, self.number = name, number
-        self.skipped = name in _SKIPPED or (around.skipped if around else False)
-        self.inside = around.inside if around else False  # in an article
-        self.boiled = around.boiled if around else False  # an element or role says boilerplate
-        named = around.evidence if around else 0.0  # what names say
-        self.hard = around.hard if around else False  # a name says boilerplate whatever is inside
-        if name in ("article", "main"):
-            self.inside = True
-            if not self.hard:
-                named = max(named, NAMED_OUTSIDE)
-        if name in _BOIL or name == "header" and not self.inside:
-            self.boiled = True
+        if around is None:
+            self.path, self.says, self.words, self.maybe, self.skipped = (number,), 0, _NONE_WORDS, (), False
+            return
+        self.path = (number, *around.path[:NEAR])
+        self.says, self.words, self.maybe, self.skipped = around.says, around.words, around.maybe, around.skipped or name in _SKIPPED
+        article = name in ("article", "main")
+        if article:
+            self.says |= ARTICLE
+        elif name in _ELEMENT_BIT:
+            self.says |= _ELEMENT_BIT[name]
+        elif name == "header" and not self.says & ARTICLE:
+            self.says |= HEADER
+        elif name == "form":
+            self._perhaps(FORM)
         if attributes and not attributes.isspace():
-            for key, a, b, c in _ATTR.findall(attributes):
-                key = key.lower()
-                value = a or b or c
-                if key in ("class", "id") and name not in _PLAIN:
-                    words = {w.lower() for w in _NAME.findall(value)} | set(value.lower().split())
-                    if self.inside:
-                        words.discard("header")  # of an article: its headline
-                    if words & _BAD and not (name == "article" and not words & _HARD):
-                        named = NAMED
-                        self.hard = self.hard or bool(words & _HARD)
-                    elif words & _GOOD and named >= 0:
-                        named = CONTENT_NAME
-                elif key == "role" and value.lower() in _ROLE or key == "aria-hidden" and value.lower() == "true":
-                    self.boiled = True
-                elif key == "hidden" or key == "style" and _NONE.search(value):
-                    self.skipped = True
-                elif key == "itemprop" and value.lower() == "articlebody":
-                    self.inside = True
-        self.evidence = named
+            self._attributes(attributes, article)
+
+    def _perhaps(self, bit: int, unless_large: bool = True) -> None:
+        if not unless_large:
+            self.says |= bit
+        elif len(self.maybe) < DEEP:
+            self.maybe = (*self.maybe, (self.number, bit))
+
+    def _attributes(self, attributes: str, article: bool) -> None:
+        for key, a, b, c in _ATTR.findall(attributes):
+            key = key.lower()
+            value = a or b or c
+            if key in ("class", "id") and self.name not in _PLAIN:
+                words = set()
+                for one in value.split():
+                    own = {w.lower() for w in _NAME.findall(one)}
+                    if not own & _STATE:
+                        words |= own
+                        words.add(one.lower())
+                if article:
+                    words &= _HARD
+                if self.says & ARTICLE or words & _GOOD:
+                    words.discard("header")  # of an article: its headline
+                if words & _HARD:
+                    self._perhaps(HARD, not self.says & ARTICLE and not words & _TALK)
+                elif words & _BAD:
+                    self._perhaps(SOFT, not self.says & ARTICLE or not words & (_BAD - _DOUBT))
+                elif words & _GOOD:
+                    self.says |= GOOD
+                if words and len(self.words) < DEEP:
+                    self.words = self.words | words
+            elif key == "role" and value.lower() in _ROLE:
+                bit = _ROLE_BIT.get(value.lower(), MENU)
+                if bit == FORM:
+                    self._perhaps(FORM)
+                else:
+                    self.says |= bit
+            elif key == "aria-hidden" and value.lower() == "true":
+                self.says |= MENU
+            elif key == "hidden" or key == "style" and _NONE.search(value):
+                self.skipped = True
+            elif key == "itemprop" and value.lower() == "articlebody":
+                self.says |= ARTICLE
+
+
+class _Stack:
+    """The open elements, with what is needed to close some without a look at all."""
+
+    def __init__(self):
+        self.all = [_Open("", 0, None, "")]
+        self.blocks = [0]  # places of the block elements, and of the root
+        self.open: Counter = Counter()
+        self.inline = [Counter()]  # open inline elements by name, inside each of the block elements
+        self.made = 0
+
+    def push(self, name: str, attributes: str) -> None:
+        self.made += 1
+        self.all.append(_Open(name, self.made, self.all[-1], attributes))
+        self.open[name] += 1
+        if name in _BLOCK:
+            self.blocks.append(len(self.all) - 1)
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][name] += 1
+
+    def pop_to(self, place: int) -> None:
+        while len(self.all) > place:
+            e = self.all.pop()
+            self.open[e.name] -= 1
+            if self.blocks[-1] == len(self.all):
+                self.blocks.pop()
+                self.inline.pop()
+            else:
+                self.inline[-1][e.name] -= 1
+
+    def close(self, name: str) -> None:
+        """An end tag: of a block element, whatever is open inside; of an inline one, only within its block."""
+        if name in _BLOCK:
+            if self.open[name]:
+                self.pop_to(next(k for k in reversed(self.blocks) if self.all[k].name == name))
+        elif self.inline[-1][name]:
+            self.pop_to(next(k for k in range(len(self.all) - 1, 0, -1) if self.all[k].name == name))
+
+    def before(self, name: str) -> None:
+        """Closes what a start tag of a block element closes."""
+        if name in _ENDS:
+            ends, stop = _ENDS[name]
+            if any(self.open[x] for x in ends):
+                for k in self.blocks[:-DEEP:-1]:
+                    if self.all[k].name in stop:
+                        break
+                    if self.all[k].name in ends:
+                        self.pop_to(k)
+                        if name != "tr":
+                            break
+        elif name == "body" and self.open["head"]:
+            for k in range(len(self.all) - 1, max(0, len(self.all) - DEEP), -1):
+                if self.all[k].name == "head":
+                    self.pop_to(k)
+                    break
+        if name not in ("html", "body") and self.all[self.blocks[-1]].name == "p":
+            self.pop_to(self.blocks[-1])
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in order, white space inside each made one space; no block is empty."""
     out: list[Block] = []
-    root = _Open("", 0, None, "")
-    stack = [root]
+    stack = _Stack()
     parts: list[str] = []
-    links = linked = 0
-    numbers = 0
-    at = 0
-
-    def holder() -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].name in _BLOCK or not k:
-                return k
-        return 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
@@ -162,30 +268,18 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                k = holder()
-                own = stack[k]
-                above = stack[k - 1].number if k else 0
-                evidence = own.evidence + (ARTICLE if own.inside else 0.0) + (ELEMENT if own.boiled else 0.0)
-                if own.name == "p" or own.name in _HEADING or own.name in ("blockquote", "pre"):
-                    evidence += PARAGRAPH
-                sure = own.boiled or own.evidence <= NAMED or own.inside
-                out.append(Block(text, own.name, min(linked, len(text)), above, evidence, sure))
+                own = stack.all[stack.blocks[-1]]
+                out.append(Block(text, own.name, min(linked, len(text)), own.path, own.says, own.words, own.maybe))
         linked = 0
 
     def text_of(begin: int, end: int) -> None:
         nonlocal linked
-        if begin < end and not stack[-1].skipped:
+        if begin < end and not stack.all[-1].skipped:
             part = html[begin:end]
             parts.append(part)
-            if links:
+            if stack.open["a"]:
                 linked += len(part.strip())
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        for e in stack[k:]:
-            links -= e.name == "a"
-        del stack[k:]
-
     while m := _TAG.search(html, at):
         text_of(at, m.start())
         at = m.end()
@@ -193,170 +287,223 @@ def blocks(html: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        if m[1]:
-            if name in _BLOCK:
+        if name == "br":
+            parts.append(" ")
+        elif m[1]:
+            if name in _BLOCK and (stack.open[name] or name == "p"):
                 flush()
-            elif name == "br":
-                parts.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    pop_to(k)
-                    break
-                if name not in _BLOCK and stack[k].name in _BLOCK:
-                    break  # an inline end tag does not close a block
-            continue
-        if name in _RAW:
+            stack.close(name)
+        elif name in _RAW:
             close = _CLOSE[name].search(html, at)
             at = close.end() if close else len(html)
-            continue
-        if name == "br":
-            parts.append(" ")
-            continue
-        block = name in _BLOCK
-        if block:
-            flush()
-            if name in _ENDS:
-                ends, stop = _ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in stop:
-                        break
-                    if stack[k].name in ends:
-                        pop_to(k)
-                        if name != "tr":
-                            break
-            elif name == "body":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "head":
-                        pop_to(k)
-            if name not in ("html", "body"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "p":
-                        pop_to(k)
-                        break
-                    if stack[k].name in _BLOCK:
-                        break
-        if name in _VOID:
-            continue
-        if m[3].endswith("/") and name in _SKIPPED:
-            continue
-        numbers += 1
-        stack.append(_Open(name, numbers, stack[-1], m[3]))
-        links += name == "a"
+        else:
+            if name in _BLOCK:
+                flush()
+                stack.before(name)
+            if name not in _VOID and not (m[3].endswith("/") and name in _SKIPPED):
+                stack.push(name, m[3])
     text_of(at, len(html))
     flush()
     return out
 
 
-def text_features(b: Block) -> list[float]:
-    words = b.text.count(" ") + 1
-    return [1.0, math.log1p(words), b.linked / len(b.text), float(b.text[-1] in ".!?…\"”»"), float(b.tag in _HEADING), float(b.tag in ("li", "td", "th"))]
+# ---- the classifier
+
+#: Features and the weights that they have before any page is seen.
+PRIOR = {
+    "one": -1.0, "length": 0.6, "links": -4.0, "sentence": 0.6, "heading": 0.6, "cell": -0.5, "paragraph": 0.8,
+    "article": 2.5, "nav": -4.0, "footer": -4.0, "aside": -4.0, "header": -3.0, "menu": -4.0, "hard": -8.0, "form": -4.5, "soft": -5.5, "good": 1.0,
+}
+_BITS = {"article": ARTICLE, "nav": NAV, "footer": FOOTER, "aside": ASIDE, "header": HEADER, "menu": MENU, "hard": HARD, "form": FORM, "soft": SOFT, "good": GOOD}
+_TEXT = len(PRIOR) - len(_BITS)
+#: Elements that make a weak label: content, and not.
+_MEANT, _NOT_MEANT = ARTICLE, NAV | FOOTER | ASIDE | HEADER | MENU | HARD
+
+
+@dataclass
+class Model:
+    weights: list[float] = field(default_factory=lambda: list(PRIOR.values()))
+    words: dict[str, float] = field(default_factory=dict)  # of names
+
+
+def said(found: list[Block]) -> list[int]:
+    """What the elements around each block say.
+
+    Of forms and names those that hold most of the words are taken to be around
+    it all: of the words of articles, or of all words where a page has none.
+    """
+    plain = [b.text.count(" ") + 1 if b.linked < len(b.text) // 2 and not b.says & _NOT_MEANT else 0 for b in found]
+    inside = [n if b.says & ARTICLE else 0 for b, n in zip(found, plain)]
+    plain = inside if any(inside) else plain
+    held: Counter = Counter()
+    for b, n in zip(found, plain):
+        if n:
+            for number, _ in b.maybe:
+                held[number] += n
+    most = WRAPPER * sum(plain)
+    out = []
+    for b in found:
+        bits = b.says
+        for number, bit in b.maybe:
+            if held[number] < most or not most:
+                bits |= bit
+        out.append(bits)
+    return out
 
 
-#: What the regression says before it is fitted, or where a sample has one label only.
-PRIOR = [-1.5, 0.8, -4.0, 0.5, 0.5, -0.5]
+def features(b: Block, bits: int) -> list[float]:
+    text = [
+        1.0,
+        min(LONG, math.log1p(b.text.count(" ") + 1)),
+        b.linked / len(b.text),
+        float(b.text[-1] in ".!?…\"”»"),
+        float(b.tag in _HEADING),
+        float(b.tag in ("li", "td", "th", "dt", "dd", "option")),
+        float(b.tag in ("p", "blockquote", "pre")),
+    ]
+    return text + [float(bits & bit > 0) for bit in _BITS.values()]
 
 
-def fit(pages: list[str]) -> list[float]:
-    """Coefficients of the text features, from blocks whose elements leave no doubt."""
-    x, y = [], []
+def log_odds(found: list[Block], model: Model) -> list[float]:
+    if not found:
+        return []
+    x = np.array([features(b, bits) for b, bits in zip(found, said(found))])
+    out = x @ np.array(model.weights)
+    if model.words:
+        out += [sum(model.words.get(w, 0.0) for w in b.words) for b in found]
+    return np.clip(out, -MOST, MOST).tolist()
+
+
+def fit(pages: list[str], strength: float = 0.05) -> Model:
+    """The maximum a posteriori of the weights, given blocks with weak labels; strength, for each block, holds them to their priors.
+
+    Weights keep the signs of their priors: a sample of few kinds of pages must not turn over what an element means.
+    """
+    rows, labels, names, seen = [], [], [], Counter()
     for page in pages:
-        for b in blocks(page):
-            if b.sure:
-                x.append(text_features(b))
-                y.append(b.evidence > 0)
-    if len(set(y)) < 2:
-        return PRIOR
-    xs, ys, prior = np.array(x), np.array(y, float), np.array(PRIOR)
-    w = prior.copy()
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
-        move = np.linalg.solve((xs * (p * (1 - p))[:, None]).T @ xs + 10 * np.eye(xs.shape[1]), xs.T @ (p - ys) + 10 * (w - prior))
+        found = blocks(page)
+        of_page = set()
+        for b, bits in zip(found, said(found)):
+            if bool(bits & _MEANT) != bool(bits & _NOT_MEANT):
+                rows.append(features(b, bits))
+                labels.append(float(bits & _MEANT > 0))
+                names.append(b.words)
+                of_page |= b.words
+        seen.update(of_page)
+    if len(set(labels)) < 2:
+        return Model()
+    words = sorted(w for w, n in seen.items() if n >= WORD_PAGES and w not in _BAD | _GOOD)
+    number = {w: k + len(PRIOR) for k, w in enumerate(words)}
+    x = np.zeros((2 * len(rows), len(PRIOR) + len(words)))
+    for k, (row, own) in enumerate(zip(rows, names)):
+        x[k, : len(row)] = row
+        for w in own:
+            if w in number:
+                x[k, number[w]] = 1.0
+    # Each block again without what elements say.
+    x[len(rows) :] = x[: len(rows)]
+    x[len(rows) :, _TEXT : len(PRIOR)] = 0.0
+    y = np.array(labels * 2)
+    prior = np.array([*PRIOR.values(), *[0.0] * len(words)])
+    w, hold = prior.copy(), strength * len(x)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold * np.eye(len(w)), x.T @ (p - y) + hold * (w - prior))
         w -= move
         if np.abs(move).max() < 1e-8:
             break
-    return w.tolist()
+    w = np.where(w * prior < 0, 0.0, w)
+    return Model(w[: len(PRIOR)].tolist(), dict(zip(words, w[len(PRIOR) :].tolist())))
+
+
+# ---- the cut
 
 
 def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least energy: a node whose unary is positive pays it when it is not chosen, a negative one when it is, and an edge its weight when its ends differ.
 
-    Nodes whose unary outweighs their edges have that label in every minimum;
-    they are settled first, and their edges become costs of their neighbours.
-    What is left is solved by augmenting paths. Of equal cuts that with fewer chosen nodes is taken.
+    Positive costs are capacities from the source, negative ones to the sink.
+    Flow is sent in rounds, each along all shortest paths that are left, until
+    none is; chosen are the nodes that the source still reaches. Of equal cuts
+    that with the fewest chosen nodes is taken.
     """
-    n = len(unary)
-    cost = list(unary)
-    near: list[dict[int, float]] = [{} for _ in range(n)]
+    n, eps = len(unary), 1e-9
+    near: list[dict[int, float]] = [{} for _ in range(n)]  # room from a node to another
     for a, b, w in edges:
         if a != b:
             near[a][b] = near[a].get(b, 0.0) + w
             near[b][a] = near[b].get(a, 0.0) + w
-    label: list[bool | None] = [None] * n
-    todo = deque(range(n))
-    while todo:
-        i = todo.popleft()
-        if label[i] is None and abs(cost[i]) > sum(near[i].values()) or label[i] is None and not near[i]:
-            label[i] = cost[i] > 0
-            for j, w in near[i].items():
-                cost[j] += w if label[i] else -w
-                del near[j][i]
-                todo.append(j)
-            near[i] = {}
-    left = [i for i in range(n) if label[i] is None]
-    if left:
-        for i in _cut(left, cost, near):
-            label[i] = True
-    return [bool(x) for x in label]
-
-
-def _cut(nodes: list[int], cost: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes on the source side of a minimum cut, by shortest augmenting paths."""
-    source, sink, eps = -1, -2, 1e-9
-    room: dict[int, dict[int, float]] = {source: {}, sink: {}}
-    for i in nodes:
-        room[i] = dict(near[i])
-        room[i][sink] = max(0.0, -cost[i])
-        room[sink][i] = 0.0
-        room[source][i] = max(0.0, cost[i])
-        room[i][source] = 0.0
+    supply, demand = [max(0.0, u) for u in unary], [max(0.0, -u) for u in unary]
     while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
-            i = queue.popleft()
-            for j, c in room[i].items():
-                if c > eps and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if sink not in came:
-            return {i for i in came if i >= 0}
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
-
-
-def choose(found: list[Block], weights: list[float]) -> list[bool]:
-    """Which blocks are content."""
-    unary, edges, last = [], [], {}
+        level = [0 if x > eps else -1 for x in supply]
+        order = [i for i in range(n) if not level[i]]
+        reached = False
+        for i in order:
+            reached = reached or demand[i] > eps
+            for j, room in near[i].items():
+                if room > eps and level[j] < 0:
+                    level[j] = level[i] + 1
+                    order.append(j)
+        if not reached:
+            return [x >= 0 for x in level]
+        todo = [list(near[i]) for i in range(n)]  # neighbours that a path may still be tried by in this round
+        for start in range(n):
+            path = [start]
+            while path and supply[start] > eps:
+                i = path[-1]
+                if demand[i] > eps:
+                    sent = min(supply[start], demand[i], *[near[a][b] for a, b in zip(path, path[1:])])
+                    supply[start] -= sent
+                    demand[i] -= sent
+                    full = len(path)
+                    for k in range(len(path) - 2, -1, -1):
+                        a, b = path[k], path[k + 1]
+                        near[a][b] -= sent
+                        near[b][a] += sent
+                        if near[a][b] <= eps:
+                            full = k + 1
+                    del path[full:]
+                    continue
+                while todo[i] and not (level[todo[i][-1]] == level[i] + 1 and near[i][todo[i][-1]] > eps):
+                    todo[i].pop()
+                if todo[i]:
+                    path.append(todo[i][-1])
+                else:
+                    path.pop()
+                    if path:
+                        todo[path[-1]].pop()
+
+
+def distance(a: Block, b: Block) -> int:
+    """Steps in the tree between the elements of two blocks; NEAR + 1 where they are further apart."""
+    up = {number: k for k, number in enumerate(a.path)}
+    return min((k + up[number] for k, number in enumerate(b.path) if number in up), default=NEAR + 1)
+
+
+def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
+    """The smoothness edges: neighbours by their distance in the tree, and the next block of one parent that the markup treats alike."""
+    out: list[tuple[int, int, float]] = []
+    last: dict[tuple, int] = {}
     for i, b in enumerate(found):
-        said = sum(w * x for w, x in zip(weights, text_features(b)))
-        unary.append(b.evidence + max(-TEXT_MOST, min(TEXT_MOST, said)))
+        like = (b.tag, b.says, b.maybe)
         if i:
-            edges.append((i - 1, i, ADJACENT))
-        if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return min_cut(unary, edges)
+            a = found[i - 1]
+            out.append((i - 1, i, ADJACENT * STEP ** max(0, distance(a, b) - 2) * (1.0 if like == (a.tag, a.says, a.maybe) else UNLIKE)))
+        parent = (b.path[1] if len(b.path) > 1 else 0, *like)
+        if parent in last:
+            out.append((last[parent], i, SIBLING))
+        last[parent] = i
+    return out
+
+
+def choose(found: list[Block], model: Model) -> list[bool]:
+    """Which blocks are content."""
+    return min_cut(log_odds(found, model), edges_of(found))
 
 
-def main_text(html: str, weights: list[float] = PRIOR) -> str:
+def main_text(html: str, model: Model | None = None) -> str:
     found = blocks(html)
-    return "\n\n".join(b.text for b, on in zip(found, choose(found, weights)) if on)
+    return "\n\n".join(b.text for b, on in zip(found, choose(found, model or Model())) if on)
 
 
 def plain_lines(html: str) -> Iterator[str]:
@@ -364,14 +511,14 @@ def plain_lines(html: str) -> Iterator[str]:
     return (b.text for b in blocks(html))
 
 
-def train(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[float]:
-    """Fits the text part on at most ``most`` pages, taken by a hash of page_id so that the sample is the same each time."""
+def train(pages: DataFrame, most: int = SAMPLE_PAGES) -> Model:
+    """Fits the classifier on at most ``most`` pages, taken by a hash of page_id so that the sample is the same each time."""
     picked = pages.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
     sample = pages.join(F.broadcast(picked), "page_id", "left_semi").select(F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id").alias("turn"))
     return fit([r.html for r in sample.orderBy("turn", "html").limit(most).toLocalIterator()])
 
 
-def extract(pages: DataFrame, weights: list[float]) -> DataFrame:
+def extract(pages: DataFrame, model: Model) -> DataFrame:
     """Adds text, the main text of html, and n_chars, its code points.
 
     Null counts as an empty page; a page without content has an empty text.
@@ -380,7 +527,7 @@ def extract(pages: DataFrame, weights: list[float]) -> DataFrame:
 
     def start():
         def run(html):
-            found = [main_text(h, weights) for h in texts(html)]
+            found = [main_text(h, model) for h in texts(html)]
             return [pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
 
         return run

@@ -96,6 +96,15 @@ ORACLES = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    # The article element of each page, cut at block elements; it holds for pages that have one and nothing else in it.
+    "op2_html_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS art FROM pages),
+        b AS (SELECT page_id, url, list_transform(
+                  regexp_split_to_array(regexp_replace(art, '<br>', ' ', 'g'), '</?(?:h[1-6]|p|div|ul|ol|li|article|section|blockquote)(?:\s[^>]*)?>'),
+                  lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+                      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', ' ', 'g'))) AS parts FROM a),
+        t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
     "op6_url_filter": urlfilter.oracle(),
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
