@@ -101,7 +101,7 @@ def test_index_reads_any_order(spark, tmp_path):
     root = str(tmp_path / "s")
     manifest = r.write_texts(spark.createDataFrame(docs, DOC).coalesce(1), PATH, root).collect()
     assert sum(m.records for m in manifest) == 21
-    at, where = [], r.uri(spark, root)
+    at, where = [], r.qualified(spark, root)
     for m in manifest:
         at += r.read_records(where, m.part, m.turn, list(range(m.records))[::-1])[::-1]
     assert [r.doc_id_of(p) for p in at] == [None, *range(20)]

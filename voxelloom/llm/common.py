@@ -54,6 +54,13 @@ def delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The folder as Arrow's file systems name it, by Hadoop's default file system where it has no scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the memory of an Arrow batch, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

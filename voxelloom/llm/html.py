@@ -19,8 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -201,8 +200,8 @@ class _Stack:
     def __init__(self):
         self.all = [_Open("", 0, None, "")]
         self.blocks = [0]  # places of the block elements, and of the root
-        self.open: Counter = Counter()
-        self.inline = [Counter()]  # open inline elements by name, inside each of the block elements
+        self.open: dict[str, int] = defaultdict(int)
+        self.inline: list[dict[str, int]] = [defaultdict(int)]  # open inline elements by name, inside each of the block elements
         self.made = 0
 
     def push(self, name: str, attributes: str) -> None:
@@ -211,7 +210,7 @@ class _Stack:
         self.open[name] += 1
         if name in _BLOCK:
             self.blocks.append(len(self.all) - 1)
-            self.inline.append(Counter())
+            self.inline.append(defaultdict(int))
         else:
             self.inline[-1][name] += 1
 
@@ -254,8 +253,16 @@ class _Stack:
             self.pop_to(self.blocks[-1])
 
 
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page, in order, white space inside each made one space; no block is empty."""
+@dataclass
+class Seen:
+    """What a page has besides text blocks: its title (the first) and where its links lead."""
+
+    title: str | None = None
+    links: list[str] = field(default_factory=list)
+
+
+def blocks(html: str, seen: Seen | None = None) -> list[Block]:
+    """The text blocks of a page, in order, white space inside each made one space; no block is empty. Adds to ``seen``."""
     out: list[Block] = []
     stack = _Stack()
     parts: list[str] = []
@@ -295,6 +302,8 @@ def blocks(html: str) -> list[Block]:
             stack.close(name)
         elif name in _RAW:
             close = _CLOSE[name].search(html, at)
+            if seen and name == "title" and seen.title is None:
+                seen.title = " ".join(unescape(html[at : close.start() if close else len(html)]).split())
             at = close.end() if close else len(html)
         else:
             if name in _BLOCK:
@@ -302,6 +311,8 @@ def blocks(html: str) -> list[Block]:
                 stack.before(name)
             if name not in _VOID and not (m[3].endswith("/") and name in _SKIPPED):
                 stack.push(name, m[3])
+                if seen and name == "a":
+                    seen.links += [unescape(x or y or z) for key, x, y, z in _ATTR.findall(m[3]) if key.lower() == "href"][:1]
     text_of(at, len(html))
     flush()
     return out
@@ -506,11 +517,6 @@ def main_text(html: str, model: Model | None = None) -> str:
     return "\n\n".join(b.text for b, on in zip(found, choose(found, model or Model())) if on)
 
 
-def plain_lines(html: str) -> Iterator[str]:
-    """All text blocks, boilerplate too."""
-    return (b.text for b in blocks(html))
-
-
 def train(pages: DataFrame, most: int = SAMPLE_PAGES) -> Model:
     """Fits the classifier on at most ``most`` pages, taken by a hash of page_id so that the sample is the same each time."""
     picked = pages.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)

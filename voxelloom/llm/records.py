@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, doc_texts, small_batches, texts, with_arrow
+from .common import Scratch, doc_texts, qualified, small_batches, texts, with_arrow
 from .kept import Kept, code_points, runs
 
 #: Documents that one task writes, about (fewer where there would be less tasks than cores), and bytes after which it begins another shard.
@@ -276,13 +276,6 @@ def _fs(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root)
 
 
-def uri(spark: SparkSession, root: str) -> str:
-    """The folder as Arrow names it, by Hadoop's default file system where it has no scheme."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
-
-
 def shard_name(part: int, turn: int) -> str:
     return f"shard-{part:06d}-{turn:04d}"
 
@@ -388,7 +381,7 @@ def write_shards(rows: DataFrame, value: str, root: str, size: int, start: Calla
     """
     spark = rows.sparkSession
     small_batches(spark)
-    root = uri(spark, root)
+    root = qualified(spark, root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -416,7 +409,7 @@ def write_shards(rows: DataFrame, value: str, root: str, size: int, start: Calla
 
 def read_back(spark: SparkSession, manifest: DataFrame, root: str, size: int) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each record, from the files."""
-    root = uri(spark, root)
+    root = qualified(spark, root)
     plan = manifest.select("part", "turn", "base", "shard").repartitionById(max(1, manifest.count()), F.col("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
