@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from voxelloom.operators import labels as L
 from voxelloom.operators import matching as M
@@ -46,7 +47,7 @@ def brute(score, thr, n):
     return best
 
 
-def test_hungarian_is_brute_force():
+def test_assignment_is_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
         n, m = rng.integers(1, 6, 2)
@@ -97,3 +98,26 @@ def test_components_are_a_flood(spark):
     for r in L.components(spark.createDataFrame(rows, "volume_id string, z int, y int, x int, value double")).collect():
         got[r.z, r.y, r.x] = r.label
     assert (got == label_faces(a)).all()
+
+
+def test_many_labels_in_one_chain():
+    n = 20_000
+    at = np.arange(n)
+    pairs = pd.DataFrame({"t": np.concatenate([at, at[:-1]]) + 1, "p": np.concatenate([at, at[1:]]) + 1, "score": np.concatenate([np.full(n, 0.3), np.full(n - 1, 0.35)])})
+    got = M.best_pairs(pairs, n, [0.2])
+    assert got.is_match.sum() == n and got.score.sum() == pytest.approx(0.3 * n)
+
+
+def test_report_pairs_all_labels(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (0, 4), (0, 5), (3, 0)], PAIR)
+    got = M.report_matches(rows, 0.5).first()
+    assert [(x.t, x.p) for x in got.matched_pairs] == [(1, 1), (2, 4), (3, 5)] and got.matched_scores == [1.0, 0.0, 0.0] and got.matched_tps == [0]
+    zero = M.match(rows, [0.0]).first()
+    assert (zero.tp, zero.fp, zero.fn) == (3, 0, 0)
+
+
+def test_label_map_without_a_group_is_dense(spark):
+    labels = spark.range(5000).select((F.col("id") * 7 % 5003).cast("int").alias("label"))
+    got = sorted((r.label, r.new) for r in L.label_map(labels, 3, None).collect())
+    want = sorted({int(k) * 7 % 5003 for k in range(5000)} - {0})
+    assert got == [(x, k + 3) for k, x in enumerate(want)]

@@ -79,3 +79,43 @@ def test_running_overlap_of_a_stream(spark, tmp_path):
         q.stop()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == sorted(map(tuple, M.match(frame, [0.6, 0.7, 0.8, 0.9]).collect()))
+
+
+def test_training_folder(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    images = {n: rng.random((2, 3, 4)).astype("float32") for n in (1, 2, 10)}
+    for n, a in images.items():
+        (tmp_path / f"{n}img.tif").write_bytes(A.write_tiff(a))
+        (tmp_path / f"{n}heat_mask.npy").write_bytes(A.write_npy(a * 9 - 4))
+    (tmp_path / "1integer.tif").write_bytes(A.write_tiff((images[1] * 5).astype("int32")))
+    (tmp_path / "10integer_b.npy").write_bytes(A.write_npy((images[10] * 5).astype("int32")))
+    (tmp_path / "10integer_a.npy").write_bytes(A.write_npy((images[10] * 7).astype("int32")))
+    files.write_factors(spark, str(tmp_path), [1, 2.005, 0.3333])
+    voxels, pairs, factors = files.read_training(spark, str(tmp_path))
+    assert {(r.number, r.image, r.label, r.integer) for r in pairs.collect()} == {(1, "1img.tif", "1heat_mask.npy", "1integer.tif"), (2, "2img.tif", "2heat_mask.npy", None), (10, "10img.tif", "10heat_mask.npy", "10integer_a.npy")}
+    got = {(r.number, r.z, r.y, r.x): r for r in voxels.collect()}
+    assert len(got) == 72
+    for (n, *p), r in got.items():
+        v = images[n][tuple(p)]
+        assert r.image == pytest.approx(float(v)) and r.heat == np.trunc(v * 9 - 4)
+        assert r.integer == {1: int(v * 5), 2: None, 10: int(v * 7)}[n]
+    assert factors.first().factors == [1.0, 2.0, 0.33]
+    plain = files.read_training(spark, str(tmp_path), label_to_int=False)[0]
+    assert any(r.heat != int(r.heat) for r in plain.collect())
+    a, b = files.read_both(spark, str(tmp_path), str(tmp_path))
+    assert a.count() == b.count() == 72
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        files.read_training(spark, str(tmp_path / "empty"))
+
+
+def test_other_sinks(spark, tmp_path):
+    v = spark.createDataFrame([("a", 0, 0, x, float(x), x % 3) for x in range(5)], "volume_id string, z int, y int, x int, value double, label int")
+    root = str(tmp_path / "out")
+    row = files.write_predicted(v, root, "2020-01-02_03-04-05").first()
+    assert row.n_instances == 2 and row.file.endswith("/preds/a_labels_predicted_2020-01-02_03-04-05.tif")
+    assert files.write_predicted(v, root).first().file != row.file
+    steps = [t.first().file for t in files.write_steps(root, v, v)]
+    assert [s.rsplit("/", 1)[-1] for s in steps] == ["a_input_image_preprocessed.tif", "a_inference_output.tif"]
+    files.write_losses(spark.createDataFrame([(2, "train", 0.5), (1, "train", 0.75), (1, "val", 0.9)], "step int, part string, loss double"), root)
+    assert (tmp_path / "out" / "train_losses.txt").read_text() == "0.75\n0.5\n" and (tmp_path / "out" / "val_losses.txt").read_text() == "0.9\n"

@@ -5,6 +5,7 @@ from voxelloom.model import Config
 from voxelloom.operators import geometry as G
 from voxelloom.operators import inference as I
 from voxelloom.operators import sampling as R
+from voxelloom.operators import stencil as K
 from voxelloom.operators import volume_udf as U
 
 VOXEL = "volume_id string, z int, y int, x int, value double"
@@ -139,10 +140,10 @@ def test_sampling_is_seeded(spark):
 
 
 def test_mlstm_is_its_recurrence():
-    from voxelloom.operators.layers import mlstm_parallel
+    from voxelloom.operators.layers import matrix_memory
 
     rng = np.random.default_rng(5)
-    n, d = 7, 4
+    n, d = 23, 4
     q, k, v = rng.normal(size=(3, n, d))
     i, f = rng.normal(size=(2, n))
     c, norm, m = np.zeros((d, d)), np.zeros(d), -np.inf
@@ -154,7 +155,8 @@ def test_mlstm_is_its_recurrence():
         c, norm, m = a * c + b * np.outer(v[t], k[t]), a * norm + b * k[t], new
         s = q[t] / np.sqrt(d)
         want.append(c @ s / (max(abs(norm @ s), np.exp(-m)) + 1e-6))
-    assert np.allclose(mlstm_parallel(q, k, v, i, f), want)
+    for chunk in (1, 4, 23, 64):
+        assert np.allclose(matrix_memory(q, k, v, i, f, chunk=chunk), want)
 
 
 def test_cubic_resampling():
@@ -170,3 +172,147 @@ def test_cubic_resampling():
     c = U._spline_coefficients(a)
     inner = (c[..., :-2] + 4 * c[..., 1:-1] + c[..., 2:]) / 6
     assert np.allclose(inner, a[..., 1:-1])
+
+
+def brute_segment(f, h, background, confidence, min_size, smoothing, simple):
+    """The same, voxel by voxel, sharing nothing with the operator."""
+    places = list(np.ndindex(f.shape))
+
+    def near(p):
+        for axis in range(f.ndim):
+            for s in (-1, 1):
+                q = tuple(c + s if k == axis else c for k, c in enumerate(p))
+                if all(0 <= c < n for c, n in zip(q, f.shape)):
+                    yield q
+
+    dome = f.copy()
+    if smoothing:
+        w = {k: np.exp(-k * k / 2) for k in range(-4, 5)}
+        for axis, n in enumerate(f.shape):
+            out = np.zeros(f.shape)
+            for p in places:
+                for k, x in w.items():
+                    c = (p[axis] + k) % (2 * n)
+                    out[p] += x / sum(w.values()) * dome[tuple((c if c < n else 2 * n - 1 - c) if a == axis else v for a, v in enumerate(p))]
+            dome = out
+        dome = (dome - dome.min()) / (dome.max() - dome.min() + 1e-8)
+    if simple:
+        seed = dome > h
+    else:
+        grown = dome - h
+        while True:
+            new = np.array([min(dome[p], max([grown[p]] + [grown[q] for q in near(p)])) for p in places]).reshape(f.shape)
+            if (new == grown).all():
+                break
+            grown = new
+        seed = (dome - grown > 1e-12) & (f > h)
+    label = np.zeros(f.shape, int)
+    for p in places:
+        if seed[p] and not label[p]:
+            label[p], todo = label.max() + 1, [p]
+            while todo:
+                r = todo.pop()
+                for q in near(r):
+                    if seed[q] and not label[q]:
+                        label[q] = label[p]
+                        todo.append(q)
+    label[f <= background] = 0
+    waiting = [(-f[p], k, p) for k, p in enumerate(p for p in places if label[p])]
+    turn = len(waiting)
+    while waiting:
+        waiting.sort()
+        _, _, p = waiting.pop(0)
+        for q in near(p):
+            if f[q] > background and not label[q]:
+                label[q] = label[p]
+                waiting.append((-f[q], turn, q))
+                turn += 1
+    out, n = np.zeros(f.shape, int), 0
+    for k in range(1, label.max() + 1):
+        on = label == k
+        if on.sum() > min_size and f[on].max() > confidence:
+            n += 1
+            out[on] = n
+    return out
+
+
+def test_segmentation_is_brute_force():
+    rng = np.random.default_rng(8)
+    differ = 0
+    for smoothing, simple in ((True, False), (False, False), (True, True)):
+        for _ in range(4):
+            f = U.smooth(rng.random((5, 7, 6)), 0.8)
+            f = (f - f.min()) / (f.max() - f.min())
+            settings = {"h": 0.12, "background": 0.3, "confidence": 0.5, "min_size": 3, "smoothing": smoothing, "simple": simple}
+            want = brute_segment(f, 0.12, 0.3, 0.5, 3, smoothing, simple)
+            assert (U.segment(f, **settings) == want).all()
+            differ += len(np.unique(want))
+    assert differ > 20
+
+
+def test_seeds_and_flood_go_by_the_prediction():
+    f = np.zeros((9, 9, 9))
+    f[4, 4, 2:7] = 1.0
+    got = U.segment(f, h=0.2, background=0.5, min_size=2)
+    # smoothing spreads the line; what is labelled is where the prediction is
+    assert (got > 0).sum() == 5 and (got[f > 0.5] == 1).all()
+    assert U.segment(f * 0.1, h=0.2, background=0.05, confidence=0.0, min_size=2).max() == 0
+
+
+def test_symmetry_votes_are_the_relational_ones(spark):
+    a = np.random.default_rng(9).random((6, 8, 10))
+    want = array(K.multi_scale_symmetry(frame(spark, a), a.shape), a.shape)
+    assert np.allclose(U.symmetry(a), want, atol=1e-9)
+
+
+def test_padding_of_empty_volumes(spark):
+    flat = U.segment_volumes(frame(spark, np.full((4, 5, 6), 0.3)), padding=[(1, 1), (0, 2), (2, 0)])
+    assert sorted((r.z, r.y, r.x) for r in flat.collect()) == sorted(np.ndindex(2, 3, 4)) and flat.filter("label <> 0").count() == 0
+    assert U.segment_volumes(frame(spark, np.full((4, 5, 6), 0.3)), padding=[(0, 0)] * 3).count() == 120
+
+
+def test_motion_kernels():
+    weight = {(z, y, x): w for z, y, x, w in K.motion_kernel(20.0, ("y", "x"))}
+    assert round(weight[0, 1, 0], 4) == 0.0477 and round(weight[0, 0, 1], 4) == 0.0174 and weight[0, 0, 0] == 0 == weight[1, 0, 0]
+    assert abs(sum(weight.values()) - 1) < 1e-12
+    flat = {(y, x): w for _, y, x, w in K.motion_kernel_2d()}
+    assert flat[1, 1] / flat[0, 1] == pytest.approx(2**0.5)
+
+
+def test_zernike_image_and_headwise_map():
+    from voxelloom.operators import layers as Y
+
+    image = np.random.default_rng(11).random((16, 16))
+    plain_ = Y.zernike_image(image, 0, 0, 0)
+    assert np.allclose(plain_, (image - image.min()) / (image.max() - image.min()))
+    moved = Y.zernike_image(image)
+    assert moved.min() == 0 and moved.max() == 1 and not np.allclose(moved, plain_)
+    x, w = np.random.default_rng(12).random((5, 6)), np.random.default_rng(13).random((2, 4, 3))
+    want = np.concatenate([x[:, 3 * h : 3 * h + 3] @ w[h].T for h in range(2)], axis=1)
+    assert np.allclose(Y.linear_headwise(x, w), want) and np.allclose(Y.linear_headwise(x, w, np.ones(8)), want + 1)
+
+
+def test_spline_goes_through_the_samples():
+    """Against the linear equations that define it."""
+    a = np.random.default_rng(14).random(9)
+    n = len(a)
+    m = np.zeros((n, n))
+    for i in range(n):
+        for k, w in ((-1, 1 / 6), (0, 4 / 6), (1, 1 / 6)):
+            q = abs(i + k)
+            m[i, q if q < n else 2 * (n - 1) - q] += w
+    assert np.allclose(U._spline_coefficients(a), np.linalg.solve(m, a))
+
+
+def test_tuning_of_segmentation(spark):
+    z, y, x = np.mgrid[0:7, 0:9, 0:16]
+    f = np.exp(-((z - 3) ** 2 + (y - 4) ** 2 + (x - 4) ** 2) / 6) + np.exp(-((z - 3) ** 2 + (y - 4) ** 2 + (x - 11) ** 2) / 6)
+    truth = U.segment(f, h=0.2, background=0.2)
+    rows = [("v", *map(int, p), float(f[p]), int(truth[p])) for p in np.ndindex(f.shape)]
+    volume = spark.createDataFrame(rows, "volume_id string, z int, y int, x int, value double, label int")
+    trials = R.grid(spark, {"h": [0.2, 0.9], "background": [0.2, 0.6]})
+    scored = {r.trial_id: r.score for r in R.tune_segmentation(volume, trials).collect()}
+    assert scored[0] == 1.0 and len(scored) == 4 and scored[1] < 1
+    assert R.best_trial(R.tune_segmentation(volume, trials), trials).first().trial_id == 0
+    space = R.random_trials(spark, 50, 1)
+    assert space.count() == 50 and space.selectExpr("min(h) >= 0.15 AND max(h) <= 0.5 AND min(confidence) >= 0.2").first()[0]

@@ -183,7 +183,9 @@ def random_isometry(voxels: DataFrame, shape: Shape, seed: int, flips: bool = Tr
     Adds ``turn`` (place in TURNS) and ``flipped`` (axes). Volumes must be
     cubes if turns are to keep their shape.
     """
-    draw = lambda n, salt: F.pmod(F.xxhash64("volume_id", F.lit(seed), F.lit(salt)), F.lit(n)).cast("int")
+    from .sampling import below
+
+    draw = lambda n, salt: below(n, "volume_id", F.lit(seed), F.lit(salt))
     out = voxels.withColumn("turn", draw(len(TURNS), 0))
     n = dict(zip(AXES, shape))
     new = {a: F.col(a) for a in AXES}

@@ -14,9 +14,11 @@ PLACE = ("volume_id", *AXES)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, in one of our own."""
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; where that is unset, in one of our own if all runs on one machine, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="voxelloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -35,14 +37,21 @@ def _save(df: DataFrame, name: str) -> DataFrame:
 def label_map(labels: DataFrame, offset: int = 1, group: str | None = "volume_id") -> DataFrame:
     """(volume_id, label, new): dense numbers from offset in the order of labels; 0 stays 0.
 
-    Only distinct labels are numbered, so the window holds the instances of a volume, not its voxels.
+    Only distinct labels are numbered, so the window holds the instances of a
+    volume, not its voxels. Without a group they are numbered range by range,
+    each from the number of labels in the ranges before.
     """
     if offset < 1:
         raise ValueError("offset must be positive")
     keys = [group] if group else []
     distinct = labels.filter("label <> 0").select(*keys, "label").distinct()
-    order = Window.partitionBy(*keys).orderBy("label") if keys else Window.partitionBy(F.lit(0)).orderBy("label")
-    return distinct.withColumn("new", (F.row_number().over(order) + (offset - 1)).cast("int"))
+    if keys:
+        return distinct.withColumn("new", (F.row_number().over(Window.partitionBy(*keys).orderBy("label")) + (offset - 1)).cast("int"))
+    ranges = _save(distinct.repartitionByRange("label").withColumn("_range", F.spark_partition_id()), "labels")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("label")) + F.col("_start") + (offset - 1)
+    return ranges.join(starts, "_range").select("label", number.cast("int").alias("new"))
 
 
 def relabel(labels: DataFrame, offset: int = 1, group: str | None = "volume_id") -> DataFrame:
@@ -62,9 +71,11 @@ def inverse_map(mapping: DataFrame) -> DataFrame:
 
 def shuffle_labels(labels: DataFrame, seed: int = 0) -> DataFrame:
     """A permutation of the labels of each volume, by a hash of label and seed; 0 stays 0."""
+    from .sampling import order
+
     distinct = labels.filter("label <> 0").select("volume_id", "label").distinct()
     a = distinct.withColumn("_k", F.row_number().over(Window.partitionBy("volume_id").orderBy("label")))
-    b = distinct.withColumn("_k", F.row_number().over(Window.partitionBy("volume_id").orderBy(F.xxhash64("label", F.lit(seed)), "label")))
+    b = distinct.withColumn("_k", F.row_number().over(Window.partitionBy("volume_id").orderBy(order("label", F.lit(seed)), "label")))
     return apply_map(labels, a.join(b.withColumnRenamed("label", "new"), ["volume_id", "_k"]).drop("_k"))
 
 

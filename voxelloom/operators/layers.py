@@ -64,17 +64,33 @@ def log_sigmoid_gates(rows: DataFrame, item: str, order: str, gate: str) -> Data
     return cumsum(rows.withColumn("_l", -F.log1p(F.exp(-F.abs(g))) + F.least(g, F.lit(0.0))), item, order, "_l", "log_f").drop("_l")
 
 
-def mlstm_parallel(q: np.ndarray, k: np.ndarray, v: np.ndarray, i: np.ndarray, f: np.ndarray, eps: float = 1e-6) -> np.ndarray:
-    """The stabilised parallel form of a matrix memory cell, for (steps, size) queries, keys, values and gates."""
+def matrix_memory(q: np.ndarray, k: np.ndarray, v: np.ndarray, i: np.ndarray, f: np.ndarray, eps: float = 1e-6, chunk: int = 64) -> np.ndarray:
+    """The output of a matrix memory cell (the mLSTM of Beck et al., 2024) for (steps, size) queries, keys, values and gates.
+
+    Steps go in chunks: within a chunk all pairs are weighed at once, and what
+    came before is in a state, a matrix of size x size and a vector, scaled by
+    the exponential of ``height``. So memory does not grow with steps squared.
+    """
     steps, size = q.shape
-    log_f = np.minimum(f, 0) - np.log1p(np.exp(-np.abs(f)))
-    total = np.concatenate([[0.0], np.cumsum(log_f)])
-    decay = total[1:, None] - total[None, 1:]
-    d = np.where(np.tri(steps, dtype=bool), decay + i[None, :], -np.inf)
-    top = d.max(axis=1, keepdims=True)
-    c = (q @ k.T / math.sqrt(size)) * np.exp(d - top)
-    norm = np.maximum(np.abs(c.sum(axis=1, keepdims=True)), np.exp(-top))
-    return (c / (norm + eps)) @ v
+    out = np.empty_like(v, float)
+    memory, norm, height = np.zeros((size, v.shape[1])), np.zeros(size), -np.inf
+    for at in range(0, steps, chunk):
+        part = slice(at, min(at + chunk, steps))
+        qs, ks, vs = q[part] / math.sqrt(size), k[part], v[part]
+        fade = np.cumsum(np.minimum(f[part], 0) - np.log1p(np.exp(-np.abs(f[part]))))
+        gain = i[part] - fade  # of an input, as seen from where the chunk begins
+        best = np.maximum(np.maximum.accumulate(gain), height)
+        scale = np.exp(np.where(np.tri(len(fade), dtype=bool), gain[None, :] - best[:, None], -np.inf))
+        old = np.exp(height - best)[:, None]
+        weight = qs @ ks.T * scale
+        value = weight @ vs + old * (qs @ memory)
+        total = weight.sum(1) + old[:, 0] * (qs @ norm)
+        out[part] = value / (np.maximum(np.abs(total), np.exp(-(best + fade))) + eps)[:, None]
+        last = np.exp(gain - best[-1])
+        memory = (ks * last[:, None]).T @ vs + np.exp(height - best[-1]) * memory
+        norm = last @ ks + np.exp(height - best[-1]) * norm
+        height = best[-1] + fade[-1]
+    return out
 
 
 def route(votes: DataFrame, iterations: int = 3) -> DataFrame:
@@ -100,15 +116,44 @@ def route(votes: DataFrame, iterations: int = 3) -> DataFrame:
     return pose
 
 
-def zernike_phase(mode: int, r: np.ndarray) -> np.ndarray:
-    """Radial parts of the modes used: piston, defocus, spherical; any other mode is 0."""
-    return {0: np.ones_like(r), 4: 2 * r**2 - 1, 12: 6 * r**4 - 6 * r**2 + 1}.get(mode, np.zeros_like(r))
+#: Phases by mode, of the frequency along z and the distance from frequency 0: piston, tilt, defocus, spherical.
+ZERNIKE = {
+    0: lambda z, r: np.ones_like(r),
+    3: lambda z, r: z,
+    4: lambda z, r: 2 * r**2 - 1,
+    12: lambda z, r: 6 * r**4 - 6 * r**2 + 1,
+}
 
 
 def zernike_filter(volume: np.ndarray, alphas: dict[int, float]) -> np.ndarray:
-    """Multiplies the spectrum of a volume by a phase of modes with amplitudes 2 tanh(alpha); mode 3 is tilt along z."""
+    """Turns the spectrum of a volume by phases of modes with amplitudes 2 tanh(alpha), over frequencies in cycles a cell; a mode that is not known has no phase."""
     spectrum = np.fft.rfftn(volume)
-    grids = np.meshgrid(*[np.fft.fftfreq(n) * 2 for n in volume.shape[:-1]], np.fft.rfftfreq(volume.shape[-1]) * 2, indexing="ij")
-    r = np.clip(np.sqrt(sum(g**2 for g in grids)), 0, 1)
-    phase = sum(2 * math.tanh(a) * (grids[0] if m == 3 else zernike_phase(m, r)) for m, a in alphas.items())
+    grids = np.meshgrid(*[np.fft.fftfreq(n) for n in volume.shape[:-1]], np.fft.rfftfreq(volume.shape[-1]), indexing="ij")
+    r = np.sqrt(sum(g**2 for g in grids))
+    phase = sum(2 * math.tanh(a) * ZERNIKE[m](grids[0], r) for m, a in alphas.items() if m in ZERNIKE)
     return np.fft.irfftn(spectrum * np.exp(1j * phase), volume.shape)
+
+
+def zernike_image(image: np.ndarray, tilt: float = 2.0, defocus: float = 2.0, spherical: float = -2.0) -> np.ndarray:
+    """A square image with the phases of three modes on its spectrum, scaled to [0, 1]; the tilt is relative to the highest frequency."""
+    n = len(image)
+    f = np.fft.fftfreq(n)
+    y, x = np.meshgrid(f, f, indexing="ij")
+    r = np.clip(np.hypot(y, x), 0, 1)
+    phase = tilt * y / np.abs(f).max() + defocus * ZERNIKE[4](y, r) + spherical * ZERNIKE[12](y, r)
+    out = np.fft.ifft2(np.fft.fft2(image) * np.exp(1j * phase)).real
+    return (out - out.min()) / (out.max() - out.min()) if out.max() > out.min() else np.zeros_like(out)
+
+
+def linear_headwise(rows: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    """A linear map of each head's part of the last axis: weight (heads, out, in); heads do not mix."""
+    heads, size_out, size_in = weight.shape
+    parts = rows.reshape(*rows.shape[:-1], heads, size_in)
+    out = np.einsum("...hi,hoi->...ho", parts, weight).reshape(*rows.shape[:-1], heads * size_out)
+    return out if bias is None else out + bias
+
+
+def multi_head_norm(rows: DataFrame, item: Sequence[str], head: str, value: str, eps: float = 1e-5, out: str = "norm") -> DataFrame:
+    """Layer norm within each head of an item."""
+    v = _joined(rows, [*item, head], F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    return v.withColumn(out, (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + eps)).drop("_m", "_v")

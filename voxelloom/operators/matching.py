@@ -7,11 +7,13 @@ Everything after it works on these few rows.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -82,7 +84,7 @@ def match(rows: DataFrame, thresholds: Sequence[float], criterion: str = "iou",
     With IoU and a threshold over one half no label can qualify twice, so the
     qualifying overlaps are the matching, in plain SQL. Otherwise the matching
     with the most qualifying pairs, and of these the largest score, is found
-    by assignment within connected groups of overlapping labels.
+    by assignment over the overlaps of each pair of labelings.
     """
     over = overlap(rows, pair)
     scored = scores(over, criterion, pair).filter("t <> 0 AND p <> 0")
@@ -96,7 +98,7 @@ def match(rows: DataFrame, thresholds: Sequence[float], criterion: str = "iou",
         sums = [x for k, t in enumerate(easy) for x in (F.sum(F.when(F.col("score") >= t, 1).otherwise(0)).alias(f"tp{k}"), F.sum(F.when(F.col("score") >= t, F.col("score")).otherwise(0.0)).alias(f"s{k}"))]
         parts.append(_unfold(sizes, scored.groupBy(*pair).agg(*sums), easy, pair))
     if hard:
-        found = assigned(scored, sizes, hard, pair)
+        found = assigned(over, criterion, hard, pair)
         sums = [x for k, t in enumerate(hard) for x in (F.sum(F.when((F.col("thresh") == t) & F.col("is_match"), 1).otherwise(0)).alias(f"tp{k}"), F.sum(F.when((F.col("thresh") == t) & F.col("is_match"), F.col("score")).otherwise(0.0)).alias(f"s{k}"))]
         parts.append(_unfold(sizes, found.groupBy(*pair).agg(*sums), hard, pair))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -112,53 +114,64 @@ def _unfold(sizes: DataFrame, sums: DataFrame, levels: Sequence[float], pair: Se
 # ---- assignment
 
 
-def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost, min(rows, columns) of them (shortest augmenting paths, O(n^2 m))."""
-    flipped = cost.shape[0] > cost.shape[1]
-    c = cost.T if flipped else cost
-    n, m = c.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner, back = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+def assign(rows: Sequence[int], columns: Sequence[int], costs: Sequence[float], n: int, m: int) -> list[tuple[int, int]]:
+    """Pairs (row, column) of least total cost, each row and column in one at most; what is not listed costs nothing, as does a row alone.
+
+    Rows come one after the other; each takes the shortest augmenting path over
+    the listed costs (Dijkstra's algorithm with potentials), which ends at a
+    free column or at a row that is better off alone. So work and memory go
+    with the listed costs near a row, not with rows times columns.
+    """
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for i, j, c in zip(rows, columns, costs):
+        near[i].append((j, c))
+    u, v = [0.0] * n, [0.0] * m
+    of_row, of_column = [-1] * n, [-1] * m
+    for start in range(n):
+        u[start] = min([0.0] + [c - v[j] for j, c in near[start]])
+        dist: dict[int, float] = {}  # of columns, from the start
+        came: dict[int, int] = {}  # the row that a column was reached from
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        reached = [(start, 0.0)]
+        end_row, end = start, -u[start]  # the best row to end at so far
+        end_column = -1
+        i, d = start, 0.0
         while True:
-            used[j0] = True
-            free = ~used[1:]
-            gain = c[owner[j0] - 1] - u[owner[j0]] - v[1:]
-            better = free & (gain < least[1:])
-            least[1:][better] = gain[better]
-            back[1:][better] = j0
-            j1 = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            step = least[j1]
-            u[owner[used]] += step
-            v[used] -= step
-            least[1:][free] -= step
-            j0 = j1
-            if not owner[j0]:
+            for j, c in near[i]:
+                to = d + c - u[i] - v[j]
+                if j not in done and to < dist.get(j, math.inf):
+                    dist[j], came[j] = to, i
+                    heapq.heappush(heap, (to, j))
+            while heap and (heap[0][1] in done or heap[0][0] > dist[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:
                 break
-        while j0:
-            owner[j0] = owner[back[j0]]
-            j0 = back[j0]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return sorted((b, a) if flipped else (a, b) for a, b in pairs)
-
-
-def _groups(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """A number for each overlap: that of its connected group of labels."""
-    top: dict[tuple[str, int], tuple[str, int]] = {}
-
-    def find(a):
-        top.setdefault(a, a)
-        while top[a] != a:
-            top[a] = top[top[a]]
-            a = top[a]
-        return a
-
-    for a, b in zip(t, p):
-        top[find(("t", a))] = find(("p", b))
-    names: dict = {}
-    return np.array([names.setdefault(find(("t", a)), len(names)) for a in t])
+            d, j = heapq.heappop(heap)
+            if of_column[j] < 0:
+                end_column, end = j, d
+                break
+            done[j] = d
+            i = of_column[j]
+            reached.append((i, d))
+            if d - u[i] < end:
+                end_row, end = i, d - u[i]
+        for i, d in reached:
+            u[i] += end - d
+        for j, d in done.items():
+            v[j] -= end - d
+        if end_column < 0:
+            # The row that ends the path stays alone; its column goes to the row before.
+            end_column, of_row[end_row] = of_row[end_row], -1
+            if end_row == start:
+                continue
+        j = end_column
+        while j >= 0:
+            i = came[j]
+            of_column[j], of_row[i], j = i, j, of_row[i]
+            if i == start:
+                break
+    return [(i, j) for i, j in enumerate(of_row) if j >= 0]
 
 
 def best_pairs(frame: pd.DataFrame, n_matched: int, thresholds: Sequence[float], every: bool = False) -> pd.DataFrame:
@@ -166,39 +179,47 @@ def best_pairs(frame: pd.DataFrame, n_matched: int, thresholds: Sequence[float],
 
     The cost of a pair is -[score >= threshold] - score / (2 n), n being the
     smaller number of instances, so the count of qualifying pairs comes first.
-    Groups of labels that overlap are solved on their own; with a threshold of
-    zero or with ``every`` all labels are assigned, pairs of score 0 too.
+    With a threshold of zero or with ``every`` labels that are left over are
+    paired as well, in their order, with score 0; the frame names all labels
+    then, those without an overlap by rows where the other label is -1.
     """
+    inner = frame[(frame.t >= 0) & (frame.p >= 0)]
+    ts, t_at = np.unique(inner.t.values, return_inverse=True)
+    ps, p_at = np.unique(inner.p.values, return_inverse=True)
+    score = inner.score.values
+    of = dict(zip(zip(t_at.tolist(), p_at.tolist()), score.tolist()))
     rows = []
     for thr in thresholds:
-        whole = every or thr <= 0
-        group = np.zeros(len(frame), int) if whole else _groups(frame.t.values, frame.p.values)
-        for g in np.unique(group):
-            part = frame[group == g]
-            ts, t_at = np.unique(part.t.values, return_inverse=True)
-            ps, p_at = np.unique(part.p.values, return_inverse=True)
-            score = np.zeros((len(ts), len(ps)))
-            score[t_at, p_at] = part.score.values
-            cost = -(score >= thr).astype(float) - score / (2 * max(n_matched, 1))
-            rows += [(thr, int(ts[a]), int(ps[b]), float(score[a, b]), bool(score[a, b] >= thr)) for a, b in hungarian(cost)]
+        cost = -(score >= thr).astype(float) - score / (2 * max(n_matched, 1))
+        found = assign(t_at.tolist(), p_at.tolist(), cost.tolist(), len(ts), len(ps))
+        pairs = [(int(ts[a]), int(ps[b]), of[a, b]) for a, b in found]
+        if every or thr <= 0:
+            left = [sorted(set(frame[c][frame[c] >= 0].tolist()) - {x[k] for x in pairs}) for k, c in enumerate(("t", "p"))]
+            pairs += [(int(a), int(b), 0.0) for a, b in zip(*left)]
+        rows += [(thr, a, b, s, bool(s >= thr)) for a, b, s in sorted(pairs)]
     return pd.DataFrame(rows, columns=["thresh", "t", "p", "score", "is_match"])
 
 
-def assigned(scored: DataFrame, sizes: DataFrame, thresholds: Sequence[float], pair: Sequence[str] = (), every: bool = False) -> DataFrame:
+def assigned(over: DataFrame, criterion: str, thresholds: Sequence[float], pair: Sequence[str] = (), every: bool = False) -> DataFrame:
     """(pair, thresh, t, p, score, is_match) of the optimal assignment; a pair of labelings is a group.
 
     What a group holds is its overlapping label pairs, so its size goes with the
     number of instances of one volume, not with its voxels.
     """
     keys = list(pair)
-    table = scored.select(*keys, "t", "p", "score")
+    levels = [float(x) for x in thresholds]
+    sizes = _counts(over, pair)
+    table = scores(over, criterion, pair).filter("t <> 0 AND p <> 0").select(*keys, "t", "p", "score")
+    if every or min(levels) <= 0:
+        none = F.lit(-1).alias
+        alone = over.filter("t <> 0").select(*keys, "t", none("p")).unionByName(over.filter("p <> 0").select(*keys, none("t"), "p")).distinct()
+        table = table.unionByName(alone.withColumn("score", F.lit(-1.0)))
     if keys:
         table = table.join(sizes, keys)
     else:
         table = table.crossJoin(sizes)  # one row
     table = table.withColumn("n_matched", F.least("n_true", "n_pred").cast("int")).withColumn("one", F.lit(1))
-    levels = list(thresholds)
-    schema = ", ".join([f"{k} {scored.schema[k].dataType.simpleString()}" for k in keys] + ["thresh double", "t int", "p int", "score double", "is_match boolean"])
+    schema = ", ".join([f"{k} {over.schema[k].dataType.simpleString()}" for k in keys] + ["thresh double", "t int", "p int", "score double", "is_match boolean"])
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         out = best_pairs(frame, int(frame.n_matched.iloc[0]), levels, every)
@@ -211,9 +232,7 @@ def assigned(scored: DataFrame, sizes: DataFrame, thresholds: Sequence[float], p
 
 def report_matches(rows: DataFrame, thresh: float = 0.5, criterion: str = "iou", pair: Sequence[str] = ()) -> DataFrame:
     """Matched pairs of labels with their scores and whether they reach the threshold, as arrays in the order of t."""
-    over = overlap(rows, pair)
-    scored = scores(over, criterion, pair).filter("t <> 0 AND p <> 0")
-    found = assigned(scored, _counts(over, pair), [thresh], pair, every=True)
+    found = assigned(overlap(rows, pair), criterion, [thresh], pair, every=True)
     listed = F.array_sort(F.collect_list(F.struct("t", "p", "score", "is_match")))
     return found.groupBy(*pair).agg(listed.alias("m")).select(
         *pair,
@@ -307,11 +326,3 @@ def track(frames: DataFrame, thresh: float = 1e-10, criterion: str = "iou", seq:
     kind = frames.schema[seq].dataType.simpleString()
     return listed.groupBy(seq).applyInPandas(fold, f"{seq} {kind}, t int, label int, track int")
 
-
-def thresholds_column(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def windowed_marginals(overlaps: DataFrame, pair: Sequence[str] = ()) -> DataFrame:
-    """The same as marginals, by windows: fewer shuffles where no label dominates."""
-    return overlaps.withColumns({"t_total": F.sum("n").over(Window.partitionBy(*pair, "t")), "p_total": F.sum("n").over(Window.partitionBy(*pair, "p"))})

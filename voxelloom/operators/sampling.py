@@ -12,9 +12,25 @@ from pyspark.sql import functions as F
 from ..model import AXES
 
 
+def _key(*keys) -> F.Column:
+    """Keys (columns or their names; literals as F.lit) as one string, null as an empty one."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+
+
+def order(*keys) -> F.Column:
+    """A string that sorts rows at random, by the keys alone: their MD5, which other engines have as well."""
+    return F.md5(_key(*keys).cast("binary"))
+
+
 def uniform(*keys) -> F.Column:
-    """A number in [0, 1) that depends on the keys alone."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 53)).cast("double")) / float(1 << 53)
+    """A number in [0, 1) that depends on the keys alone: the first 52 bits of their MD5."""
+    return F.conv(F.substring(order(*keys), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def below(n: int, *keys) -> F.Column:
+    """A whole number in [0, n) that depends on the keys alone."""
+    return F.floor(uniform(*keys) * n).cast("int")
 
 
 def normal(*keys) -> F.Column:
@@ -25,7 +41,7 @@ def normal(*keys) -> F.Column:
 
 def minibatch(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows in a random order; a top-n, so no full sort."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(order(key, F.lit(seed)), key).limit(n)
 
 
 def split(volumes: DataFrame, held: DataFrame) -> DataFrame:
@@ -63,8 +79,8 @@ def crop_centres(candidates: DataFrame, draws: int, half: int, shape: Sequence[i
     drawn = drawn.withColumn("kind", kind)
     # A candidate wins a draw by the least hash; aggregated, so no list of candidates is gathered.
     met = drawn.join(candidates.select("volume_id", "kind", *AXES), ["volume_id", "kind"])
-    order = F.xxhash64("volume_id", "draw", F.lit(seed), *AXES)
-    won = met.groupBy("volume_id", "draw").agg(F.min(F.struct(order.alias("o"), *AXES)).alias("c"))
+    turn = order("volume_id", "draw", F.lit(seed), *AXES)
+    won = met.groupBy("volume_id", "draw").agg(F.min(F.struct(turn.alias("o"), *AXES)).alias("c"))
     out = drawn.join(won, ["volume_id", "draw"], "left")
     place = {}
     for a, n in zip(AXES, shape):
@@ -82,18 +98,41 @@ def add_noise(voxels: DataFrame, seed: int, chance: float = 0.2, sigma: float =
     return voxels.withColumn("value", F.when(on, noisy).otherwise(F.col("value")))
 
 
+def motion_blur(voxels: DataFrame, shape: Sequence[int], seed: int, chance: float = 0.2, side: int = 3) -> DataFrame:
+    """Blurs a share of the volumes along a line, of an angle from 1 to 59 degrees in a plane drawn for each of them; adds blur (the angle, null where there is none) and plane.
+
+    A volume of one layer is blurred by the kernel of images. Draws depend on
+    volume_id and the seed alone.
+    """
+    from .stencil import PLANES, motion_kernel, motion_kernel_2d, shifted_sum
+
+    on = uniform("volume_id", F.lit(seed), F.lit("blur")) < chance
+    angle = below(59, "volume_id", F.lit(seed), F.lit("angle")) + 1
+    plane = below(len(PLANES), "volume_id", F.lit(seed), F.lit("plane"))
+    flat = min(shape) == 1
+    drawn = voxels.withColumn("blur", F.when(on, angle)).withColumn("plane", F.when(on & F.lit(not flat), plane))
+    if flat:
+        return shifted_sum(drawn, motion_kernel_2d(side), shape, F.col("blur").isNotNull(), keep=("blur", "plane"))
+    # Every voxel sends itself with the kernel of its own volume: the offsets are the same, the weights are worked out from angle and plane.
+    cos, sin = F.cos(F.radians("blur")), F.sin(F.radians("blur"))
+    along = {a: F.when(F.col("plane") == 0, {"z": cos, "y": sin, "x": F.lit(0.0)}[a]).when(F.col("plane") == 1, {"z": cos, "y": F.lit(0.0), "x": sin}[a]).otherwise({"z": F.lit(0.0), "y": cos, "x": sin}[a]) for a in AXES}
+    places = [(z, y, x) for z, y, x, _ in motion_kernel(0.0, side=side)]
+    weight = [F.sqrt((along["z"] * z) ** 2 + (along["y"] * y) ** 2 + (along["x"] * x) ** 2) for z, y, x in places]
+    total = sum(weight[1:], weight[0])
+    return shifted_sum(drawn, [(*p, w / total) for p, w in zip(places, weight)], shape, F.col("blur").isNotNull(), keep=("blur", "plane"))
+
+
 def cue(voxels: DataFrame, seed: int, chance: float = 0.2, empty: float = -5.0) -> DataFrame:
     """Adds cue: on a share of the volumes that have more than one label, the heat of one label drawn at random, ``empty`` elsewhere."""
     some = voxels.filter("label <> 0").select("volume_id", "label").distinct()
-    order = F.xxhash64("volume_id", "label", F.lit(seed))
-    picked = some.groupBy("volume_id").agg(F.count("*").alias("_n"), F.min_by("label", order).alias("_pick"))
+    picked = some.groupBy("volume_id").agg(F.count("*").alias("_n"), F.min_by("label", order("volume_id", "label", F.lit(seed))).alias("_pick"))
     on = (F.col("_n") > 1) & (uniform("volume_id", F.lit(seed), F.lit("cue")) < chance) & (F.col("label") == F.col("_pick"))
     return voxels.join(picked, "volume_id", "left").withColumn("cue", F.when(on, F.col("value")).otherwise(F.lit(empty))).drop("_n", "_pick")
 
 
 def rotate_crops(rows: DataFrame, seed: int) -> DataFrame:
     """Quarter turns of 2-D images (z constant) by volume, the same for all columns; adds angle. Images must be square, of ``side``."""
-    k = F.pmod(F.xxhash64("volume_id", F.lit(seed)), F.lit(4)).cast("int")
+    k = below(4, "volume_id", F.lit(seed))
     y, x, m = F.col("y"), F.col("x"), F.col("side") - 1
     turned = rows.withColumn("_k", k)
     ny = F.when(F.col("_k") == 1, m - x).when(F.col("_k") == 2, m - y).when(F.col("_k") == 3, x).otherwise(y)
@@ -109,25 +148,77 @@ def grid(spark: SparkSession, space: dict[str, Sequence], most: int | None = Non
     return minibatch(out, most, seed, "trial_id") if most else out
 
 
-def tune(volumes: DataFrame, trials: DataFrame, columns: Sequence[str], score: Callable[[dict, pd.DataFrame], float]) -> DataFrame:
+def tune(volumes: DataFrame, trials: DataFrame, columns: Sequence[str], score: Callable[[dict, pd.DataFrame], float], tasks: int = 8) -> DataFrame:
     """(trial_id, score): the score of each trial averaged over volumes; a failing trial scores 0.
 
-    volumes: volume_id and a row for each voxel; every (trial, volume) is a group.
+    volumes: volume_id and a row for each voxel. The trials, a stated list of
+    parameters, go with the code, ``tasks`` parts of them each with a copy of
+    the voxels: a group is a volume with a part of the trials.
     """
     names = [c for c in trials.columns if c != "trial_id"]
-    table = volumes.crossJoin(F.broadcast(trials))  # trials are a stated list of parameters
+    listed = [(r["trial_id"], {n: r[n] for n in names}) for r in trials.collect()]
+    parts = max(1, min(tasks, len(listed)))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        try:
-            s = float(score({n: frame[n].iloc[0] for n in names}, frame))
-        except Exception:
-            s = 0.0
-        return pd.DataFrame({"trial_id": [frame.trial_id.iloc[0]], "volume_id": [frame.volume_id.iloc[0]], "score": [s]})
-
-    each = table.select("trial_id", "volume_id", *names, *columns).groupBy("trial_id", "volume_id").applyInPandas(one, "trial_id long, volume_id string, score double")
+        part, out = int(frame["part"].iloc[0]), []
+        for trial_id, settings in listed[part::parts]:
+            try:
+                s = float(score(settings, frame))
+            except Exception:
+                s = 0.0
+            out.append((trial_id, frame.volume_id.iloc[0], s))
+        return pd.DataFrame(out, columns=["trial_id", "volume_id", "score"])
+
+    table = volumes.select("volume_id", *columns, F.explode(F.array(*[F.lit(k) for k in range(parts)])).alias("part"))
+    each = table.groupBy("volume_id", "part").applyInPandas(one, "trial_id long, volume_id string, score double")
     return each.groupBy("trial_id").agg(F.avg("score").alias("score"))
 
 
+def objective(frame: pd.DataFrame, settings: dict, thresholds: Sequence[float]) -> float:
+    """Accuracy of a segmentation, averaged over thresholds of IoU; frame: z, y, x, value and the true label."""
+    import numpy as np
+
+    from .matching import best_pairs
+    from .volume_udf import _dense, segment
+
+    at, (f, t) = _dense(frame, ["value", "label"])
+    got = segment(f, **settings)[tuple(at.T)]
+    true = t[tuple(at.T)]
+    pairs = pd.DataFrame({"t": true, "p": got})
+    n = pairs.groupby(["t", "p"]).size().rename("n").reset_index()
+    n["score"] = n.n / (n.groupby("t").n.transform("sum") + n.groupby("p").n.transform("sum") - n.n)
+    inner = n[(n.t > 0) & (n.p > 0)]
+    n_true, n_pred = len(np.unique(true[true > 0])), len(np.unique(got[got > 0]))
+    total = 0.0
+    for thr in thresholds:
+        tp = int(best_pairs(inner, min(n_true, n_pred), [thr]).is_match.sum()) if len(inner) else 0
+        total += tp / (n_true + n_pred - tp) if tp else 0.0
+    return total / len(thresholds)
+
+
+#: Thresholds that trials are scored at, by the dimension of the images.
+TRIAL_THRESHOLDS = {3: [k / 10 for k in range(1, 10)], 2: [k / 20 for k in range(10, 20)]}
+#: What trials are drawn from: first and last value and step, or a list.
+TRIAL_SPACE = {"h": (0.15, 0.5, 0.01), "background": (0.05, 0.25, 0.01), "confidence": (0.2, 0.75, 0.01), "smoothing": [True, False], "simple": [True, False]}
+
+
+def random_trials(spark: SparkSession, n: int = 300, seed: int = 0, space: dict = TRIAL_SPACE) -> DataFrame:
+    """n trials, each parameter drawn from its values by trial and seed."""
+    out = spark.range(n).withColumnRenamed("id", "trial_id")
+    for name, values in space.items():
+        if isinstance(values, tuple):
+            low, high, step = values
+            values = [round(low + k * step, 9) for k in range(round((high - low) / step) + 1)]
+        out = out.withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), below(len(values), "trial_id", F.lit(seed), F.lit(name))))
+    return out
+
+
+def tune_segmentation(volumes: DataFrame, trials: DataFrame, dimension: int = 3) -> DataFrame:
+    """(trial_id, score) of settings of ``volume_udf.segment``; volumes: volume_id, z, y, x, value and the true label."""
+    levels = TRIAL_THRESHOLDS[dimension]
+    return tune(volumes, trials, [*AXES, "value", "label"], lambda settings, frame: objective(frame, settings, levels))
+
+
 def best_trial(scored: DataFrame, trials: DataFrame) -> DataFrame:
     """The parameters of the best trial, the first of equal ones."""
     top = scored.agg(F.max(F.struct("score", (-F.col("trial_id")).alias("k"))).alias("b")).select((-F.col("b.k")).alias("trial_id"), F.col("b.score").alias("score"))

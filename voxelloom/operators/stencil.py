@@ -1,9 +1,10 @@
 """Neighbourhood operators on voxels in relational form.
 
-Separable ones go along one axis at a time, by a window over each line of
-voxels; a line is short and there are as many lines as voxels over its length,
-so no partition grows with the volume. Others send each voxel to its
-neighbours and aggregate there.
+They go along one axis at a time, by a window over each line of voxels, whose
+frame is no wider than the stencil: there are as many lines as voxels over
+their length, so no partition grows with the volume, and a row carries its
+neighbours, never its line. Volumes must be dense along their axes. Votes and
+shifted sums are sent to where they go and are aggregated there.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
@@ -31,21 +32,22 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 def correlate(voxels: DataFrame, axis: str, size: int, weights: Sequence[float], value: str = "value", out: str | None = None) -> DataFrame:
     """Weighted sum of a voxel's neighbours along an axis, mirrored at the edges with the edge repeated.
 
-    The line is collected within each window as an array in order, so that a
-    mirrored place is an index; volumes must be dense along the axis.
+    The frame of each voxel holds its neighbours in order, so that a mirrored
+    place is an index into it; volumes must be dense along the axis.
     """
     r = len(weights) // 2
-    line = F.collect_list(value).over(_line(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = F.collect_list(value).over(_line(axis).rowsBetween(-r, r))
     c = F.col(axis)
+    first = F.greatest(c - r, F.lit(0))
     total = None
     for k, w in zip(range(-r, r + 1), weights):
         if w == 0:
             continue
         q = F.pmod(c + k, F.lit(2 * size))
-        at = F.when(q < size, q).otherwise(F.lit(2 * size - 1) - q)
-        term = F.get(F.col("_line"), at.cast("int")) * F.lit(float(w))
+        at = F.when(q < size, q).otherwise(F.lit(2 * size - 1) - q) - first
+        term = F.get(F.col("_near"), at.cast("int")) * F.lit(float(w))
         total = term if total is None else total + term
-    return voxels.withColumn("_line", line).withColumn(out or value, total).drop("_line")
+    return voxels.withColumn("_near", near).withColumn(out or value, total).drop("_near")
 
 
 def gaussian(voxels: DataFrame, shape: Sequence[int], sigma: float) -> DataFrame:
@@ -104,25 +106,44 @@ def local_minima(voxels: DataFrame, half: int) -> DataFrame:
     return _extreme(v, "_v", half, False).filter((F.col("_v") == F.col("_e")) & (F.col("value") > 0)).drop("_e", "_v")
 
 
-def shifted_sum(voxels: DataFrame, kernel: Sequence[tuple[int, int, int, float]], size: Sequence[int]) -> DataFrame:
-    """Sum of neighbours by (dz, dy, dx, weight), zero outside: each voxel is sent to where it is needed."""
-    offsets = F.array(*[F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x"), F.lit(float(w)).alias("w")) for a, b, c, w in kernel if w])
-    sent = voxels.select("volume_id", *AXES, "value", F.explode(offsets).alias("o"))
-    to = sent.select("volume_id", *[(F.col(a) - F.col(f"o.{a}")).alias(a) for a in AXES], (F.col("value") * F.col("o.w")).alias("value"))
+def shifted_sum(voxels: DataFrame, kernel: Sequence[tuple], size: Sequence[int], where: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Sum of neighbours by (dz, dy, dx, weight), zero outside: each voxel is sent to where it is needed, and sums are made before the shuffle as well.
+
+    Weights are numbers or columns. Where ``where`` does not hold a voxel keeps
+    its value. Columns of ``keep`` are the same in all of a volume, and stay.
+    """
+    offsets = F.array(*[F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x"), (w if isinstance(w, Column) else F.lit(float(w))).alias("w")) for a, b, c, w in kernel if isinstance(w, Column) or w])
+    if where is not None:
+        offsets = F.when(where, offsets).otherwise(F.array(F.struct(F.lit(0).alias("z"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(1.0).alias("w"))))
+    sent = voxels.select("volume_id", *AXES, "value", *keep, F.explode(offsets).alias("o"))
+    to = sent.select("volume_id", *[(F.col(a) - F.col(f"o.{a}")).alias(a) for a in AXES], *keep, (F.col("value") * F.col("o.w")).alias("value"))
     for a, n in zip(AXES, size):
         to = to.filter((F.col(a) >= 0) & (F.col(a) < n))
-    return to.groupBy("volume_id", *AXES).agg(F.sum("value").alias("value"))
+    return to.groupBy("volume_id", *AXES, *keep).agg(F.sum("value").alias("value"))
+
+
+PLANES = [("z", "y"), ("z", "x"), ("y", "x")]
 
 
 def motion_kernel(angle: float, plane: tuple[str, str] = ("y", "x"), side: int = 3) -> list[tuple[int, int, int, float]]:
-    """Weights of a blur in the direction of an angle (degrees) within a plane: length of the offset's components along it, normalised; the centre has none."""
+    """Weights of a blur in the direction of an angle (degrees) within a plane, its first axis being that of 0 degrees: length of the offset's components along it, normalised; the centre has none."""
     r = side // 2
     along = dict.fromkeys(AXES, 0.0)
-    along[plane[0]], along[plane[1]] = math.sin(math.radians(angle)), math.cos(math.radians(angle))
+    along[plane[0]], along[plane[1]] = math.cos(math.radians(angle)), math.sin(math.radians(angle))
     d = [along[a] for a in AXES]
     found = [(z, y, x, math.sqrt((d[0] * z) ** 2 + (d[1] * y) ** 2 + (d[2] * x) ** 2)) for z in range(-r, r + 1) for y in range(-r, r + 1) for x in range(-r, r + 1)]
-    total = sum(w for *_, w in found)
-    return [(z, y, x, w / total) for z, y, x, w in found]
+    return _normal(found)
+
+
+def motion_kernel_2d(side: int = 3) -> list[tuple[int, int, int, float]]:
+    """Weights for images of one layer: the distance from the centre, which a turn by any angle leaves as it is."""
+    r = side // 2
+    return _normal([(0, y, x, math.hypot(y, x)) for y in range(-r, r + 1) for x in range(-r, r + 1)])
+
+
+def _normal(kernel: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    total = sum(w for *_, w in kernel)
+    return [(z, y, x, w / total) for z, y, x, w in kernel]
 
 
 def neighbours(step: int = 1) -> list[tuple[int, int, int]]:
@@ -135,16 +156,26 @@ SINK = 255
 
 
 def steepest_descent(voxels: DataFrame, step: int = 1) -> DataFrame:
-    """Adds direction: the number (in neighbours()) of the steepest way down, the first of equal ones, SINK where there is none."""
-    offsets = neighbours(step)
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(z).alias("z"), F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(math.sqrt(z * z + y * y + x * x)).alias("d")) for k, (z, y, x) in enumerate(offsets)])
-    # A voxel offers itself to those that have it as neighbour k.
-    sent = voxels.select("volume_id", *AXES, F.col("value").alias("n"), F.explode(table).alias("o"))
-    offers = sent.select("volume_id", *[(F.col(a) - F.col(f"o.{a}")).alias(a) for a in AXES], F.struct("n", "o.k", "o.d").alias("o"))
-    both = offers.join(voxels.select("volume_id", *AXES, "value"), ["volume_id", *AXES])
-    slope = (F.col("value") - F.col("o.n")) / F.col("o.d")
-    best = both.groupBy("volume_id", *AXES).agg(F.first("value").alias("value"), F.max(F.struct(slope.alias("s"), (-F.col("o.k")).alias("k"))).alias("b"))
-    return best.select("volume_id", *AXES, "value", F.when(F.col("b.s") > 0, -F.col("b.k")).otherwise(F.lit(SINK)).cast("int").alias("direction"))
+    """Adds direction: the number (in neighbours()) of the steepest way down, the first of equal ones, SINK where there is none.
+
+    Three passes give each voxel its neighbours along x, those of these along
+    y, and those along z; volumes must be dense.
+    """
+    near = F.col("value")
+    out = voxels.select("volume_id", *AXES, "value")
+    for a in reversed(AXES):
+        line = _line(a)
+        sides = [F.first("_near").over(line.rangeBetween(k, k)) for k in (-step, 0, step)]
+        out = out.withColumn("_near", near).withColumn("_near", F.struct(*[x.alias(n) for x, n in zip(sides, "abc")]))
+        near = F.col("_near")
+    name = {-step: "a", 0: "b", step: "c"}
+    options = []
+    for k, (z, y, x) in enumerate(neighbours(step)):
+        value = F.col(f"_near.{name[z]}.{name[y]}.{name[x]}")
+        slope = (F.col("value") - value) / math.sqrt(z * z + y * y + x * x)
+        options.append(F.when(slope > 0, F.struct(slope.alias("s"), F.lit(-k).alias("k"))))
+    best = F.array_max(F.array(*options))
+    return out.withColumn("direction", F.coalesce(-best["k"], F.lit(SINK)).cast("int")).drop("_near")
 
 
 def _votes(voxels: DataFrame, shape: Sequence[int], radii: Sequence[float]) -> DataFrame:
@@ -206,7 +237,26 @@ def shift(voxels: DataFrame, by: Sequence[int], shape: Sequence[int]) -> DataFra
     return voxels.select("volume_id", *AXES).join(moved, ["volume_id", *AXES], "left").select("volume_id", *AXES, F.coalesce("_v", F.lit(0.0)).alias("value"))
 
 
-def spherical(voxels: DataFrame, shape: Sequence[int], sigma: float = 2.0) -> DataFrame:
+def axial_blur(voxels: DataFrame, shape: Sequence[int], sigma: float = 4.0) -> DataFrame:
+    """A shift along the line of sight, as a blur."""
+    return gaussian(voxels, shape, sigma)
+
+
+def defocus(voxels: DataFrame, shape: Sequence[int], sigma: float = 6.0) -> DataFrame:
+    """A focus out of place: a strong blur."""
+    return gaussian(voxels, shape, sigma)
+
+
+def synthetic_cell(spark: SparkSession, side: int = 128, sigma: float = 0.8) -> DataFrame:
+    """An image of a cell, one layer: an ellipse of 0.6 with a round core of 1, slightly smoothed."""
+    at = lambda c: F.col(c) * (2.0 / (side - 1)) - 1
+    inside = lambda a, b: (at("x") / a) ** 2 + (at("y") / b) ** 2 < 1
+    cells = spark.range(side * side).select(F.lit("cell").alias("volume_id"), F.lit(0).alias("z"), F.floor(F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
+    drawn = cells.withColumn("value", F.when(inside(0.2, 0.2), 1.0).when(inside(0.6, 0.4), 0.6).otherwise(0.0))
+    return gaussian(drawn, (1, side, side), sigma)
+
+
+def spherical(voxels: DataFrame, shape: Sequence[int], sigma: float = 4.0) -> DataFrame:
     """A spherical aberration: the image, with its smoothed edges added and sharp edges taken off, clipped to [0, 1]."""
     g = sobel(voxels, shape)
     edge = g.withColumn("_img", F.col("value")).withColumn("value", F.sqrt(F.col("gz") ** 2 + F.col("gy") ** 2 + F.col("gx") ** 2)).drop("gz", "gy", "gx")

@@ -10,6 +10,7 @@ volumes spread over executors; one huge volume does not, and for it
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -288,24 +289,73 @@ def flood(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray
     return out
 
 
-def segment(f: np.ndarray, h: float = 0.1, background: float = 0.2, confidence: float = 0.5, min_size: int = 9, smoothing: bool = True, simple: bool = False) -> np.ndarray:
-    """Instances of a predicted heat map: seeds, watershed, and a filter by size and peak."""
-    g = f.astype(float)
+def sobel(a: np.ndarray) -> list[np.ndarray]:
+    """Differences along each axis, smoothed by 1 2 1 along the others; edges mirrored with the edge repeated."""
+    out = []
+    for axis in range(a.ndim):
+        g = a.astype(float)
+        for other in range(a.ndim):
+            p = np.pad(g, [(1, 1) if k == other else (0, 0) for k in range(a.ndim)], "symmetric")
+            n = a.shape[other]
+            below, here, above = (np.take(p, np.arange(k, k + n), other) for k in range(3))
+            g = above - below if other == axis else below + 2 * here + above
+        out.append(g)
+    return out
+
+
+def symmetry(a: np.ndarray, background: float = 0.05, radii: tuple[float, ...] = (7, 9, 11, 13), sigma: float = 0.5) -> np.ndarray:
+    """Smoothed votes for centres of symmetry, each radius scaled to [0, 1], averaged; 0 where the image is background (see stencil.multi_scale_symmetry)."""
+    gradient = sobel(a)
+    norm = np.sqrt(sum(g**2 for g in gradient))
+    on = np.argwhere(norm > 1e-8)
+    step = np.stack([g[tuple(on.T)] / norm[tuple(on.T)] for g in gradient], axis=1)
+    total = np.zeros(a.shape)
+    for r in radii:
+        votes = np.zeros(a.shape)
+        for sign in (1, -1):
+            to = np.rint(on + sign * r * step).astype(int)
+            to = to[((to >= 0) & (to < a.shape)).all(axis=1)]
+            np.add.at(votes, tuple(to.T), sign)
+        votes = smooth(votes, sigma)
+        span = votes.max() - votes.min()
+        total += (votes - votes.min()) / span if span else 0.0
+    return np.where(a > background, total / len(radii), 0.0)
+
+
+def segment(
+    f: np.ndarray,
+    h: float = 0.1,
+    background: float = 0.2,
+    confidence: float = 0.5,
+    min_size: int = 9,
+    smoothing: bool = True,
+    simple: bool = False,
+    sym: bool = False,
+) -> np.ndarray:
+    """Instances of a predicted heat map: seeds, watershed, and a filter by size and peak.
+
+    Smoothing (and rescaling to [0, 1]) and symmetry votes are for the domes
+    alone. Which of them count as seeds, where the flood goes and in which
+    order, and which instances stay is up to the prediction as it is.
+    """
+    dome = f.astype(float)
     if smoothing:
-        g = smooth(g, 1.0)
-        g = (g - g.min()) / (g.max() - g.min() + 1e-8)
-    if not g.any():
+        dome = smooth(dome, 1.0)
+        dome = (dome - dome.min()) / (dome.max() - dome.min() + 1e-8) if dome.max() != dome.min() else np.zeros(f.shape)
+    if dome.sum() == 0:
         return np.zeros(f.shape, int)
-    seeds = label_faces(g > h) if simple else dome_seeds(g, h)
-    found = flood(-g, seeds, g > background)
-    out = np.zeros(f.shape, int)
-    n = 0
-    for label in range(1, found.max() + 1):
-        on = found == label
-        if on.sum() > min_size and f[on].max() > confidence:
-            n += 1
-            out[on] = n
-    return out
+    if simple:
+        seeds = label_faces(dome > h)
+    else:
+        dome = symmetry(dome) if sym else dome
+        seeds = label_faces((dome - reconstruct(dome - h, dome) > 1e-12) & (f > h))
+    found = flood(-f, seeds, f > background)
+    size = np.bincount(found.ravel())
+    peak = np.full(len(size), -np.inf)
+    np.maximum.at(peak, found.ravel(), f.ravel())
+    good = (size > min_size) & (peak > confidence)
+    good[0] = False
+    return np.where(good, np.cumsum(good), 0)[found]
 
 
 def _by_volume(voxels: DataFrame, columns: list[str], work, out: str = "label") -> DataFrame:
@@ -325,5 +375,27 @@ def watershed(voxels: DataFrame, background: float) -> DataFrame:
     return _by_volume(voxels, ["value", "label"], lambda f, s: flood(-f, s, f > background))
 
 
-def segment_volumes(voxels: DataFrame, **settings) -> DataFrame:
-    return _by_volume(voxels, ["value"], lambda f: segment(f, **settings))
+def segment_volumes(voxels: DataFrame, padding: Sequence[tuple[int, int]] | None = None, **settings) -> DataFrame:
+    """The instances of each volume.
+
+    With ``padding`` (before and after, for each axis) a volume that turns out
+    empty before any seed is looked for loses that much on each side, as a
+    caller who pads volumes may expect; others are as large as they were.
+    """
+    sides = padding if padding is not None and any(n for pair in padding for n in pair) else None
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        at, (f,) = _dense(frame, ["value"])
+        found = segment(f, **settings)
+        out = pd.DataFrame({"volume_id": frame.volume_id, "z": frame.z, "y": frame.y, "x": frame.x, "label": found[tuple(at.T)]})
+        if sides is None or found.any() or not _empty(f, settings.get("smoothing", True)):
+            return out
+        low, high = np.array([a for a, _ in sides]), np.array(f.shape) - [b for _, b in sides]
+        out[list(AXES)] -= low
+        return out[((at >= low) & (at < high)).all(axis=1)]
+
+    return voxels.select("volume_id", *AXES, "value").groupBy("volume_id").applyInPandas(one, "volume_id string, z int, y int, x int, label int")
+
+
+def _empty(f: np.ndarray, smoothing: bool) -> bool:
+    return f.max() == f.min() if smoothing else f.sum() == 0

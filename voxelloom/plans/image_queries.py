@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -15,7 +14,7 @@ from ..operators import sampling as R
 from ..operators import stencil as K
 from ..operators import volume_udf as U
 from ..sources import files
-from .registry import plain, query, rounded
+from .registry import drawn, plain, query, rounded
 from .volumes import LA_SQL, SHAPE, V1_SQL, V2_SQL, la, sql_grid, table, v1, v2
 
 _V2 = f"WITH {V2_SQL}"
@@ -200,9 +199,24 @@ def flip_axes(spark, sf):
     return plain(G.flip(v1(spark, sf), ["z", "x"], SHAPE))
 
 
-@query()
+def _isometry_sql() -> str:
+    """Each new voxel's source: flips are undone, then the turn, by where the turned array has its cells from."""
+    source = {1: "{b}, 3 - {a}", 2: "3 - {a}, 3 - {b}", 3: "3 - {b}, {a}"}
+    cases: dict[str, list[str]] = {a: [] for a in AXES}
+    for t, (a, b, k) in enumerate([(a, b, k) for a, b in (("y", "x"), ("z", "x"), ("z", "y")) for k in (1, 2, 3)], 1):
+        for axis, place in zip((a, b), source[k].format(a=f"f{a}", b=f"f{b}").split(", ")):
+            cases[axis].append(f"WHEN {t} THEN {place}")
+    draws = ", ".join([f"floor({drawn('volume_id', '11', '0')} * 10)::INTEGER AS turn"] + [f"floor({drawn('volume_id', '11', str(k))} * 2) = 1 AS on{a}" for k, a in enumerate(AXES, 1)])
+    flips = ", ".join(f"CASE WHEN on{a} THEN 3 - w.{a} ELSE w.{a} END AS f{a}" for a in AXES)
+    back = ", ".join(f"CASE turn {' '.join(cases[a])} ELSE f{a} END AS s{a}" for a in AXES)
+    return f"""{_V2}, {sql_grid((4, 4, 4), 'w')}, d AS (SELECT volume_id, {draws} FROM (SELECT DISTINCT volume_id FROM v)), f AS (SELECT *, {flips} FROM d, w), q AS (SELECT *, {back} FROM f)
+        SELECT q.volume_id, q.z, q.y, q.x, value, turn, {' || '.join(f"CASE WHEN on{a} THEN '{a}' ELSE '' END" for a in AXES)} AS flipped
+        FROM q JOIN v ON v.volume_id = q.volume_id AND v.z = sz AND v.y = sy AND v.x = sx"""
+
+
+@query(_isometry_sql())
 def random_isometry(spark, sf):
-    return G.random_isometry(v2(spark, sf), (4, 4, 4), 11)
+    return G.random_isometry(v2(spark, sf), (4, 4, 4), 11).withColumn("flipped", F.array_join("flipped", ""))
 
 
 @query(f"{_V1} SELECT volume_id, z, y, x, round((value * (x + 1) + 2 * value * (y + 1) + 2 * value * (16 - x) + 2 * value * (16 - y)) / 7, 6) AS value FROM v")
@@ -248,14 +262,20 @@ def crops_many(spark, sf):
 # ---- stencils
 
 
-def _pass(src: str, out: str, axis: str, weights, value: str = "value", keep: str = "", shape=SHAPE) -> str:
+def _weights(weights) -> str:
+    """A table (k, w) of weights: given ones, or those of a Gaussian of a width, cut off at four of them."""
+    if isinstance(weights, float):
+        r = int(4 * weights + 0.5)
+        return f"(SELECT k, exp(-0.5 * k * k / {weights * weights}::DOUBLE) / sum(exp(-0.5 * k * k / {weights * weights}::DOUBLE)) OVER () AS w FROM (SELECT unnest(range({-r}, {r + 1})) AS k)) AS k_"
+    return f"(VALUES {', '.join(f'({k - len(weights) // 2}, {float(w)!r}::DOUBLE)' for k, w in enumerate(weights))}) AS k_(k, w)"
+
+
+def _pass(src: str, out: str, axis: str, weights, value: str = "value", shape=SHAPE) -> str:
     """A CTE that correlates a column along an axis, mirrored with the edge repeated."""
     n = dict(zip(AXES, shape))[axis]
-    r = len(weights) // 2
-    rows = ", ".join(f"({k - r}, {float(w)!r}::DOUBLE)" for k, w in enumerate(weights))
     m = f"(({src}.{axis} + k) % {2 * n} + {2 * n}) % {2 * n}"
     others = " AND ".join(f"q.{a} = {src}.{a}" for a in AXES if a != axis)
-    return f"""{out} AS (SELECT {src}.z, {src}.y, {src}.x, sum(q.{value} * w) AS {value}{keep} FROM {src}, (VALUES {rows}) AS k_(k, w), {src} AS q
+    return f"""{out} AS (SELECT {src}.z, {src}.y, {src}.x, sum(q.{value} * w) AS {value} FROM {src}, {_weights(weights)}, {src} AS q
         WHERE {others} AND q.{axis} = CASE WHEN {m} < {n} THEN {m} ELSE {2 * n - 1} - {m} END GROUP BY {src}.z, {src}.y, {src}.x)"""
 
 
@@ -269,8 +289,7 @@ def _passes(src: str, steps, value: str = "value") -> tuple[str, str]:
     return ", ".join(parts), at
 
 
-_G05, _G1 = K.gaussian_weights(0.5), K.gaussian_weights(1.0)
-_SMOOTH, _LAST = _passes("v", [(a, _G1) for a in AXES])
+_SMOOTH, _LAST = _passes("v", [(a, 1.0) for a in AXES])
 
 
 @query(f"{_V1}, {_SMOOTH} SELECT 'v1' AS volume_id, z, y, x, round(value, 6) AS value FROM {_LAST}")
@@ -279,8 +298,8 @@ def gauss_smooth(spark, sf):
 
 
 def _twice() -> str:
-    one, a = _passes("m0", [(c, _G1) for c in AXES])
-    two, b = _passes("m1", [(c, _G1) for c in AXES])
+    one, a = _passes("m0", [(c, 1.0) for c in AXES])
+    two, b = _passes("m1", [(c, 1.0) for c in AXES])
     return f"""WITH {LA_SQL}, m0 AS (SELECT z, y, x, CASE WHEN label > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM la), {one},
         m1 AS (SELECT z, y, x, CASE WHEN value > 0.4 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM {a}), {two}
         SELECT 'v1' AS volume_id, z, y, x, CASE WHEN value > 0.4 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM {b}"""
@@ -293,7 +312,7 @@ def twice_smooth_threshold(spark, sf):
 
 
 def _masks_sql() -> str:
-    more, last = _passes("b", [(a, K.gaussian_weights(3.0)) for a in AXES])
+    more, last = _passes("b", [(a, 3.0) for a in AXES])
     return f"""{_V1}, b AS (SELECT z, y, x, CASE WHEN value > (SELECT (min(value) + max(value)) / 2 FROM v) THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM v), {more}
         SELECT 'v1' AS volume_id, z, y, x, value > 0.4 AS mask FROM {last}"""
 
@@ -303,11 +322,11 @@ def mask_images(spark, sf):
     return plain(K.masks(v1(spark, sf), SHAPE))
 
 
-def _sobel_sql() -> tuple[str, str]:
+def _sobel_sql(of: str = "v") -> tuple[str, str]:
     parts, tables = [], []
     for axis in AXES:
         # each axis starts from a copy of the values under its own name
-        parts.append(f"s{axis} AS (SELECT z, y, x, value AS g{axis} FROM v)")
+        parts.append(f"s{axis} AS (SELECT z, y, x, value AS g{axis} FROM {of})")
         more, last = _passes(f"s{axis}", [(a, [-1, 0, 1] if a == axis else [1, 2, 1]) for a in AXES], f"g{axis}")
         parts.append(more)
         tables.append(last)
@@ -341,13 +360,29 @@ def nms_min(spark, sf):
     return plain(K.local_minima(v1(spark, sf), 2))
 
 
-_KERNEL = K.motion_kernel(30.0)
+_CUBE = ", ".join(f"(SELECT unnest([-1, 0, 1]) AS d{a})" for a in AXES)
 
 
-@query(f"""{_V1}, k(dz, dy, dx, w) AS (VALUES {', '.join(f'({z}, {y}, {x}, {w!r}::DOUBLE)' for z, y, x, w in _KERNEL if w)})
+@query(f"""{_V1}, o AS (SELECT *, sqrt((cos(radians(30)) * dy) ** 2 + (sin(radians(30)) * dx) ** 2) AS w FROM {_CUBE}), k AS (SELECT dz, dy, dx, w / (SELECT sum(w) FROM o) AS w FROM o WHERE w > 0)
     SELECT 'v1' AS volume_id, v.z, v.y, v.x, round(sum(n.value * w), 6) AS value FROM v, k, v AS n WHERE n.z = v.z + dz AND n.y = v.y + dy AND n.x = v.x + dx GROUP BY ALL""")
 def motion_blur(spark, sf):
-    return plain(rounded(K.shifted_sum(v1(spark, sf), _KERNEL, SHAPE), "value"))
+    return plain(rounded(K.shifted_sum(v1(spark, sf), K.motion_kernel(30.0), SHAPE), "value"))
+
+
+def _blur_sql() -> str:
+    along = {"z": "CASE WHEN plane < 2 THEN cos(radians(angle)) ELSE 0 END", "y": "CASE plane WHEN 0 THEN sin(radians(angle)) WHEN 2 THEN cos(radians(angle)) ELSE 0 END", "x": "CASE WHEN plane > 0 THEN sin(radians(angle)) ELSE 0 END"}
+    return f"""{_V2}, d AS (SELECT volume_id, {drawn('volume_id', '4', "'blur'")} < 0.2 AS hit, 1 + floor({drawn('volume_id', '4', "'angle'")} * 59)::INTEGER AS angle,
+            floor({drawn('volume_id', '4', "'plane'")} * 3)::INTEGER AS plane FROM (SELECT DISTINCT volume_id FROM v)),
+        o AS (SELECT volume_id, dz, dy, dx, sqrt({' + '.join(f'(({w}) * d{a}) ** 2' for a, w in along.items())}) AS w FROM d, {_CUBE} WHERE hit),
+        k AS (SELECT volume_id, dz, dy, dx, w / sum(w) OVER (PARTITION BY volume_id) AS w FROM o),
+        b AS (SELECT v.volume_id, v.z, v.y, v.x, sum(n.value * w) AS value FROM v JOIN k USING (volume_id) JOIN v AS n ON n.volume_id = v.volume_id AND n.z = v.z + dz AND n.y = v.y + dy AND n.x = v.x + dx GROUP BY ALL)
+        SELECT v.volume_id, v.z, v.y, v.x, round(CASE WHEN hit THEN b.value ELSE v.value END, 6) + 0.0 AS value, CASE WHEN hit THEN angle END AS blur, CASE WHEN hit THEN plane END AS plane
+        FROM v JOIN d USING (volume_id) LEFT JOIN b ON b.volume_id = v.volume_id AND b.z = v.z AND b.y = v.y AND b.x = v.x"""
+
+
+@query(_blur_sql())
+def motion_blur_augment(spark, sf):
+    return plain(rounded(R.motion_blur(v2(spark, sf), (4, 4, 4), 4), "value"))
 
 
 @query(f"""{_V1}, {_SOBEL}, gr AS (SELECT z, y, x, gz, gy, gx, sqrt(gz * gz + gy * gy + gx * gx) AS n FROM {_GRADIENT.replace(' JOIN', ' JOIN', 1)}),
@@ -358,9 +393,22 @@ def vote_map(spark, sf):
     return plain(K.symmetry_votes(v1(spark, sf), SHAPE, 5))
 
 
-@query()
+def _symmetry_sql() -> str:
+    parts, scaled = [], []
+    for r in (7, 9, 11, 13):
+        parts.append(f"""c{r} AS (SELECT s, {', '.join(f'CAST(round_even({a} + s * {r}.0::DOUBLE * g{a} / n, 0) AS INTEGER) AS {a}' for a in AXES)} FROM gr, s WHERE n > 1e-8),
+            t{r} AS (SELECT g.z, g.y, g.x, coalesce(value, 0.0) AS value FROM g LEFT JOIN (SELECT z, y, x, CAST(sum(s) AS DOUBLE) AS value FROM c{r} GROUP BY ALL) USING (z, y, x))""")
+        more, last = _passes(f"t{r}", [(a, 0.5) for a in AXES])
+        parts.append(more)
+        scaled.append(f"SELECT z, y, x, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS value FROM {last}")
+    return f"""{_V1}, {_SOBEL}, gr AS (SELECT z, y, x, gz, gy, gx, sqrt(gz * gz + gy * gy + gx * gx) AS n FROM {_GRADIENT}), s(s) AS (VALUES (1), (-1)), {', '.join(parts)},
+        a AS (SELECT z, y, x, avg(value) AS sym FROM ({' UNION ALL '.join(scaled)}) GROUP BY ALL)
+        SELECT volume_id, z, y, x, round(CASE WHEN value > 0.05 THEN sym ELSE 0.0 END, 6) AS value FROM v JOIN a USING (z, y, x)"""
+
+
+@query(_symmetry_sql())
 def multi_scale_symmetry(spark, sf):
-    return K.multi_scale_symmetry(v1(spark, sf), SHAPE)
+    return plain(rounded(K.multi_scale_symmetry(v1(spark, sf), SHAPE), "value"))
 
 
 @query(f"""{_V2}, d AS (SELECT volume_id, {', '.join(f'abs(lead(value) OVER (PARTITION BY volume_id, {", ".join(b for b in AXES if b != a)} ORDER BY {a}) - value) AS d{a}' for a in AXES)} FROM v)
@@ -390,9 +438,31 @@ def lateral_shift(spark, sf):
     return plain(K.shift(v1(spark, sf), (0, 5, 3), SHAPE))
 
 
-@query()
+_NORM1 = f"""{_V1}, q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM v), c AS (SELECT z, y, x, least(greatest(value, lo), hi) AS value FROM v, q),
+    u AS (SELECT z, y, x, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS value FROM c)"""
+_SOBEL_U, _GRADIENT_U = _sobel_sql("u")
+_EDGES, _LAST_EDGE = _passes("e", [(a, 4.0) for a in AXES])
+
+
+@query(f"""{_NORM1}, {_SOBEL_U}, e AS (SELECT z, y, x, sqrt(gz * gz + gy * gy + gx * gx) AS value FROM {_GRADIENT_U}), {_EDGES}
+    SELECT 'v1' AS volume_id, z, y, x, round(least(greatest(u.value + 0.8 * b.value - 0.3 * e.value, 0.0), 1.0), 6) + 0.0 AS value FROM u JOIN e USING (z, y, x) JOIN {_LAST_EDGE} AS b USING (z, y, x)""")
 def spherical_aberration(spark, sf):
-    return K.spherical(N.clip_norm(v1(spark, sf)), SHAPE)
+    return plain(rounded(K.spherical(N.clip_norm(v1(spark, sf)), SHAPE), "value"))
+
+
+_CELL_SMOOTH = ", ".join(_pass(a, b, c, 0.8, shape=(1, 128, 128)) for a, b, c in (("cell", "cell_y", "y"), ("cell_y", "cell_x", "x")))
+
+
+@query(f"""WITH cell AS (SELECT 0 AS z, y, x, CASE WHEN (u / 0.2) ** 2 + (w / 0.2) ** 2 < 1 THEN 1.0::DOUBLE WHEN (u / 0.6) ** 2 + (w / 0.4) ** 2 < 1 THEN 0.6 ELSE 0.0 END AS value
+    FROM (SELECT CAST(i // 128 AS INTEGER) AS y, CAST(i % 128 AS INTEGER) AS x, -1 + 2 * (i % 128) / 127.0::DOUBLE AS u, -1 + 2 * (i // 128) / 127.0::DOUBLE AS w FROM (SELECT unnest(range(16384)) AS i))), {_CELL_SMOOTH}
+    SELECT 'cell' AS volume_id, z, y, x, round(value, 6) AS value FROM cell_x""")
+def synthetic_cell(spark, sf):
+    return plain(rounded(K.synthetic_cell(spark), "value"))
+
+
+@query(f"{_NORM1}, {_passes('u', [(a, 6.0) for a in AXES])[0]} SELECT 'v1' AS volume_id, z, y, x, round(value, 6) AS value FROM {_passes('u', [(a, 6.0) for a in AXES])[1]}")
+def defocus(spark, sf):
+    return plain(rounded(K.defocus(N.clip_norm(v1(spark, sf)), SHAPE), "value"))
 
 
 # ---- distances and floods
@@ -416,30 +486,82 @@ def _bodies(spark, sf):
     return lab.withColumn("label", F.when(inside & thick, octant).otherwise(0).cast("int"))
 
 
-@query()
+_BODIES = f"""WITH {sql_grid()}, lab AS (SELECT *, CASE WHEN ok AND (octant < 8 OR z = 5) THEN octant ELSE 0 END AS label FROM (
+    SELECT z, y, x, 1 + z // 4 + 2 * (y // 8) + 4 * (x // 8) AS octant, {' AND '.join(f'({a} BETWEEN 1 AND 6 OR {a} BETWEEN 9 AND 14)' for a in 'yx')} AS ok FROM g))"""
+
+
+def _heat_sql() -> str:
+    """CTEs up to ``heat`` (label, z, y, x, heat): each body in its box with a margin of one, smoothed and thresholded twice, distances by brute force."""
+    places = ", ".join(AXES)
+    box = ", ".join(f"min({a}) - 1 AS o{a}, max({a}) - min({a}) + 3 AS n{a}" for a in AXES)
+    axes = ", ".join(f"(SELECT unnest(range(0, 8)) AS {a})" for a in AXES)
+    inside = " AND ".join(f"{a} < n{a}" for a in AXES)
+    parts = [
+        f"bb AS (SELECT label, {box} FROM lab WHERE label > 0 GROUP BY label)",
+        f"""m0 AS (SELECT bb.*, p.z, p.y, p.x, CASE WHEN lab.label = bb.label THEN 1.0::DOUBLE ELSE 0.0 END AS value
+            FROM bb JOIN (SELECT * FROM {axes}) AS p ON {inside} LEFT JOIN lab ON {' AND '.join(f'lab.{a} = p.{a} + o{a}' for a in AXES)})""",
+    ]
+    at, keep = "m0", "label, oz, nz, oy, ny, ox, nx"
+    for turn in range(2):
+        for a in AXES:
+            m = f"((c.{a} + k) % (2 * c.n{a}) + 2 * c.n{a}) % (2 * c.n{a})"
+            others = " AND ".join(f"q.{b} = c.{b}" for b in AXES if b != a)
+            out = f"m{turn}{a}"
+            parts.append(f"""{out} AS (SELECT {', '.join('c.' + x for x in keep.split(', '))}, c.z, c.y, c.x, sum(q.value * w) AS value FROM {at} AS c, {_weights(1.0)}, {at} AS q
+                WHERE q.label = c.label AND {others} AND q.{a} = CASE WHEN {m} < c.n{a} THEN {m} ELSE 2 * c.n{a} - 1 - {m} END GROUP BY ALL)""")
+            at = out
+        parts.append(f"t{turn} AS MATERIALIZED (SELECT {keep}, {places}, CASE WHEN value > 0.4 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM {at})")
+        at = f"t{turn}"
+    ends = ", ".join(f"max({a}) - min({a}) AS e{a}" for a in AXES)
+    least = "least(ez, ey, ex)"
+    wide = ", ".join(f"(SELECT unnest(range(-1, 9)) AS {a})" for a in AXES)
+    parts += [
+        "left_ AS (SELECT label FROM t1 GROUP BY label HAVING max(value) > 0)",
+        f"body AS MATERIALIZED (SELECT {keep}, {places} FROM t1 WHERE value > 0 UNION ALL SELECT {keep}, {places} FROM m0 WHERE value > 0 AND label NOT IN (SELECT label FROM left_))",
+        f"ext AS (SELECT label, {ends} FROM body GROUP BY label)",
+        f"""flat AS (SELECT label, CASE WHEN {least} > 1 THEN 'none' WHEN (ez = {least})::INT + (ey = {least})::INT + (ex = {least})::INT > 1 THEN 'z'
+            WHEN ez = {least} THEN 'z' WHEN ey = {least} THEN 'y' ELSE 'x' END AS axis FROM ext)""",
+        f"""out_ AS MATERIALIZED (SELECT bb.label, p.* FROM bb JOIN (SELECT * FROM {wide}) AS p ON {' AND '.join(f'p.{a} <= n{a}' for a in AXES)} ANTI JOIN body USING (label, z, y, x))""",
+        f"""dist AS (SELECT b.label, b.z + oz AS z, b.y + oy AS y, b.x + ox AS x, sqrt(min({' + '.join(f'(b.{a} - o.{a}) ** 2' for a in AXES)})) AS d
+            FROM body AS b JOIN flat USING (label) JOIN out_ AS o ON o.label = b.label AND (axis = 'none' OR axis = 'z' AND o.z = b.z OR axis = 'y' AND o.y = b.y OR axis = 'x' AND o.x = b.x) GROUP BY ALL)""",
+        """heat AS (SELECT label, z, y, x, CASE WHEN max(d) OVER l = min(d) OVER l THEN 20.0 ELSE -2 + (d - min(d) OVER l) / (max(d) OVER l - min(d) OVER l) * 22 END AS heat
+            FROM dist WINDOW l AS (PARTITION BY label))""",
+    ]
+    return f"{_BODIES}, {', '.join(parts)}"
+
+
+@query(f"{_heat_sql()} SELECT 'v1' AS volume_id, CAST(label AS INTEGER) AS label, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(heat, 6) + 0.0 AS heat FROM heat")
 def shape_to_edt(spark, sf):
-    return U.heat_parts(_bodies(spark, sf))
+    return rounded(U.heat_parts(_bodies(spark, sf)), "heat")
 
 
-@query()
+@query(f"""{_heat_sql()}, best AS (SELECT z, y, x, arg_max(heat, label) AS heat FROM heat GROUP BY ALL)
+    SELECT 'v1' AS volume_id, z, y, x, CAST(label AS INTEGER) AS label, round(coalesce(heat, -5.0), 6) + 0.0 AS heat FROM lab LEFT JOIN best USING (z, y, x)""")
 def heatmap_labels(spark, sf):
-    return U.heatmap(_bodies(spark, sf).drop("value"))
+    return plain(rounded(U.heatmap(_bodies(spark, sf).drop("value")), "heat"))
 
 
 def _smooth_unit(spark, sf):
     return N.clip_norm(K.gaussian(v1(spark, sf), SHAPE, 1.0), clip=False)
 
 
+_SMOOTH_UNIT = f"{_SMOOTH}, u AS (SELECT z, y, x, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS value FROM {_LAST})"
+
+
 @query()
 def hdome_seeds(spark, sf):
     return U.dome_seed_labels(_smooth_unit(spark, sf), 0.2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {V1_SQL}, {_SMOOTH_UNIT}, m AS MATERIALIZED (SELECT z, y, x, z * 256 + y * 16 + x AS id FROM u WHERE value > 0.7),
+    e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m AS a JOIN m AS b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1),
+    r(a, b) AS (SELECT id, id FROM m UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    k AS (SELECT id, dense_rank() OVER (ORDER BY root) AS label FROM (SELECT b AS id, min(a) AS root FROM r GROUP BY b))
+    SELECT 'v1' AS volume_id, z, y, x, round(value, 6) AS value, CAST(coalesce(label, 0) AS INTEGER) AS label FROM u LEFT JOIN k ON k.id = z * 256 + y * 16 + x""")
 def simple_seeds(spark, sf):
     from ..operators.labels import simple_seeds as seeds
 
-    return seeds(_smooth_unit(spark, sf), 0.7)
+    return plain(rounded(seeds(_smooth_unit(spark, sf), 0.7), "value"))
 
 
 @query()
@@ -451,7 +573,13 @@ def watershed(spark, sf):
 
 @query()
 def watershed_inference(spark, sf):
-    return U.segment_volumes(_smooth_unit(spark, sf), h=0.2, background=0.3, confidence=0.5)
+    return U.segment_volumes(N.clip_norm(v1(spark, sf)), h=0.2, background=0.3, confidence=0.5)
+
+
+@query()
+def watershed_symmetry(spark, sf):
+    """The same with seeds from symmetry votes."""
+    return U.segment_volumes(N.clip_norm(v1(spark, sf)), h=0.2, background=0.3, confidence=0.5, sym=True)
 
 
 @query(f"{_V1} SELECT volume_id, z, y, x, round((value + 5) / 25, 6) AS value FROM v")
@@ -465,10 +593,21 @@ def resize_cubic(spark, sf):
     return U.resize_volumes(v1(spark, sf), (6, 20, 12))
 
 
-@query()
+def _spectrum_sql() -> str:
+    """The discrete Fourier transform by its sums, over the half of the frequencies along x that a real volume needs."""
+    turn = "2 * pi() * (kz * z / 8.0::DOUBLE + ky * y / 16.0::DOUBLE + kx * x / 16.0::DOUBLE)"
+    return f"""{_NORM1}, k AS (SELECT kz, ky, kx, CASE WHEN kz < 4 THEN kz ELSE kz - 8 END / 8.0::DOUBLE AS fz, CASE WHEN ky < 8 THEN ky ELSE ky - 16 END / 16.0::DOUBLE AS fy, kx / 16.0::DOUBLE AS fx
+            FROM (SELECT unnest(range(8)) AS kz), (SELECT unnest(range(16)) AS ky), (SELECT unnest(range(9)) AS kx)),
+        p AS (SELECT *, 2 * tanh(0.1) * fz + 2 * tanh(0.2) * (2 * rr - 1) + 2 * tanh(0.05) * (6 * rr * rr - 6 * rr + 1) AS phase FROM (SELECT *, fz * fz + fy * fy + fx * fx AS rr FROM k)),
+        f AS (SELECT kz, ky, kx, phase, sum(value * cos({turn})) AS re, -sum(value * sin({turn})) AS im FROM p, u GROUP BY ALL),
+        t AS (SELECT kz, ky, kx, re * cos(phase) - im * sin(phase) AS re, re * sin(phase) + im * cos(phase) AS im FROM f)
+        SELECT 'v1' AS volume_id, z, y, x, round(sum(CASE WHEN kx IN (0, 8) THEN 1 ELSE 2 END * (re * cos({turn}) - im * sin({turn}))) / 2048, 6) + 0.0 AS value FROM t, g GROUP BY ALL"""
+
+
+@query(_spectrum_sql())
 def zernike_filter(spark, sf):
     """Tilt, defocus and spherical phases on the spectrum of each volume."""
-    return U.map_volumes(N.clip_norm(v1(spark, sf)), lambda a: Y.zernike_filter(a, {3: 0.1, 4: 0.2, 12: 0.05}))
+    return plain(rounded(U.map_volumes(N.clip_norm(v1(spark, sf)), lambda a: Y.zernike_filter(a, {3: 0.1, 4: 0.2, 12: 0.05})), "value"))
 
 
 @query(f"WITH {LA_SQL} SELECT volume_id, count(DISTINCT CASE WHEN label <> 0 THEN label END) AS n_instances FROM la GROUP BY volume_id")
@@ -536,11 +675,35 @@ def mish_response_norm(spark, sf):
     return rounded(Y.mish_response_norm(_steps(spark, sf), ["vec_id"], "value").drop("value"), "frn_mish")
 
 
-@query()
+def _routing_sql(iterations: int = 3) -> str:
+    parts = ["""e AS (SELECT vec_id AS item, CAST(i // 4 % 4 AS INTEGER) AS child, CAST(i // 16 AS INTEGER) AS parent, i % 4 AS d, CAST(e AS DOUBLE) AS x
+        FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings))""", "l0 AS (SELECT DISTINCT item, child, parent, 0.0::DOUBLE AS logit FROM e)"]
+    for k in range(iterations):
+        parts.append(f"""c{k} AS (SELECT item, child, parent, exp(logit) / sum(exp(logit)) OVER (PARTITION BY item, child) AS c FROM l{k}),
+            s{k} AS (SELECT item, parent, d, sum(c * x) AS s FROM e JOIN c{k} USING (item, child, parent) GROUP BY ALL),
+            p{k} AS (SELECT item, parent, d, CASE WHEN n > 1e-20 THEN s * n / (1 + n) / sqrt(n) ELSE 0.0 END AS pose FROM (SELECT *, sum(s * s) OVER (PARTITION BY item, parent) AS n FROM s{k})),
+            l{k + 1} AS (SELECT item, child, parent, any_value(logit) + sum(x * pose) AS logit FROM l{k} JOIN e USING (item, child, parent) JOIN p{k} USING (item, parent, d) GROUP BY item, child, parent)""")
+    columns = ", ".join(f"round(max(pose) FILTER (d = {j}), 6) + 0.0 AS p{j}" for j in range(4))
+    return f"WITH {', '.join(parts)} SELECT item, parent, {columns} FROM p{iterations - 1} GROUP BY item, parent"
+
+
+@query(_routing_sql())
 def capsule_routing(spark, sf):
     e = table(spark, sf, "embeddings")
     votes = e.select(F.col("vec_id").alias("item"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.transform(F.slice("embedding", k * 4 + 1, 4), lambda x: x.cast("double")))).alias("k", "vote"))
-    return Y.route(votes.select("item", (F.col("k") % 4).alias("child"), F.floor(F.col("k") / 4).cast("int").alias("parent"), "vote"))
+    found = Y.route(votes.select("item", (F.col("k") % 4).alias("child"), F.floor(F.col("k") / 4).cast("int").alias("parent"), "vote"))
+    return rounded(found.select("item", "parent", *[F.col("pose")[j].alias(f"p{j}") for j in range(4)]), *[f"p{j}" for j in range(4)])
+
+
+@query(f"{_STEPS}, h AS (SELECT *, i // 16 AS head FROM s) SELECT vec_id, i, round((value - avg(value) OVER w) / sqrt(var_pop(value) OVER w + 1e-5), 6) + 0.0 AS norm FROM h WINDOW w AS (PARTITION BY vec_id, head)")
+def multi_head_norm(spark, sf):
+    rows = _steps(spark, sf).withColumn("head", F.floor(F.col("i") / 16))
+    return rounded(Y.multi_head_norm(rows, ["vec_id"], "head", "value").drop("value", "head"), "norm")
+
+
+@query(f"{_STEPS} SELECT vec_id, i, round(greatest(value / sqrt(value * value + 1e-6), 0.0), 6) + 0.0 AS frn FROM s")
+def filter_response_norm_1d(spark, sf):
+    return rounded(Y.filter_response_norm(_steps(spark, sf), [], "value").drop("value"), "frn")
 
 
 @query("SELECT l_returnflag, round(avg(CASE WHEN l_linestatus = 'O' THEN (l_extendedprice / 1000 - l_quantity) ** 2 ELSE 0.0 END), 4) AS mse FROM lineitem GROUP BY l_returnflag")
@@ -621,12 +784,34 @@ def split_picks(spark, sf):
     return R.picks(n, [7, 3, 7, 20], spark).select("pick", "ordinal", "n_name")
 
 
-@query()
+@query("SELECT vec_id, label FROM embeddings ORDER BY md5(concat_ws('|', vec_id, 5)), vec_id LIMIT 16")
 def sample_minibatch(spark, sf):
     return R.minibatch(table(spark, sf, "embeddings").select("vec_id", "label"), 16, 5, "vec_id")
 
 
-@query()
+def _centres_sql() -> str:
+    def extreme(f: str, value: str, kind: str) -> str:
+        window = lambda a, v: f"{f}({v}) OVER (PARTITION BY {', '.join(c for c in AXES if c != a)} ORDER BY {a} RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+        return f"""{kind}0 AS (SELECT z, y, x, value, {value} AS u, {value} AS e FROM la), {kind}1 AS (SELECT * REPLACE ({window('z', 'e')} AS e) FROM {kind}0),
+            {kind}2 AS (SELECT * REPLACE ({window('y', 'e')} AS e) FROM {kind}1), {kind}3 AS (SELECT * REPLACE ({window('x', 'e')} AS e) FROM {kind}2)"""
+
+    hard = lambda kind: f"SELECT 'v1', '{kind}', z, y, x FROM {kind}3 WHERE u = e AND value > 0"
+    medians = ", ".join(f"CAST(trunc(quantile_cont({a}, 0.5)) AS INTEGER) AS {a}" for a in AXES)
+    key = lambda salt: drawn("volume_id", "draw", "1", f"'{salt}'")
+    place = []
+    for a, n in zip(AXES, SHAPE):
+        move, free = f"floor({key('j' + a)} * 5) - 2", f"floor({key('u' + a)} * {max(n - 6, 1)}) + 3"
+        place.append(f"CAST(least(greatest(coalesce({a} + {move}, {free}), {min(3, n // 2)}), {max(n - 3, n // 2)}) AS INTEGER) AS c{a}")
+    return f"""WITH {LA_SQL}, {extreme('max', 'value', 'background')}, {extreme('min', "CASE WHEN value > 0 THEN value ELSE 'inf'::DOUBLE END", 'foreground')},
+        c(volume_id, kind, z, y, x) AS (SELECT 'v1', 'instance', {medians} FROM la WHERE label > 0 GROUP BY label UNION ALL {hard('background')} UNION ALL {hard('foreground')}),
+        d AS (SELECT *, CASE WHEN w < 0.5 THEN 'instance' WHEN w < 0.8 THEN 'uniform' WHEN w < 0.9 THEN 'background' ELSE 'foreground' END AS kind
+              FROM (SELECT volume_id, draw, {key('kind')} AS w FROM (SELECT 'v1' AS volume_id, CAST(unnest(range(20)) AS INTEGER) AS draw))),
+        m AS (SELECT d.volume_id, draw, d.kind, z, y, x, row_number() OVER (PARTITION BY d.volume_id, draw ORDER BY md5(concat_ws('|', d.volume_id, draw, 1, z, y, x))) AS r
+              FROM d LEFT JOIN c ON c.volume_id = d.volume_id AND c.kind = d.kind)
+        SELECT volume_id, draw, CASE WHEN z IS NULL THEN 'uniform' ELSE kind END AS kind, {', '.join(place)} FROM m WHERE r = 1"""
+
+
+@query(_centres_sql())
 def crop_centres(spark, sf):
     rows = la(spark, sf)
     from ..operators.labels import medians
@@ -636,44 +821,46 @@ def crop_centres(spark, sf):
     return R.crop_centres(inst.unionByName(hard(K.local_maxima, "background")).unionByName(hard(K.local_minima, "foreground")), 20, 3, SHAPE, 1)
 
 
-@query()
+def _noise_sql() -> str:
+    place = ("volume_id", "z", "y", "x", "3")
+    noise = f"sqrt(-2 * ln(1 - {drawn(*place, chr(39) + 'a' + chr(39))})) * cos({drawn(*place, chr(39) + 'b' + chr(39))} * 2 * pi())"
+    hit = drawn("volume_id", "3", "'noise'")
+    return f"""{_clipped(0.01, 0.99)}, u AS (SELECT volume_id, z, y, x, CASE WHEN b > a THEN (value - a) / (b - a) ELSE b END AS value FROM k JOIN r USING (volume_id))
+        SELECT volume_id, z, y, x, round(CASE WHEN {hit} < 0.2 THEN least(greatest(value + 0.3 * {noise}, 0.0), 1.0) ELSE value END, 6) + 0.0 AS value FROM u"""
+
+
+@query(_noise_sql())
 def gaussian_noise(spark, sf):
-    return R.add_noise(N.clip_norm(v2(spark, sf)), 3)
+    return plain(rounded(R.add_noise(N.clip_norm(v2(spark, sf)), 3), "value"))
 
 
-@query()
+@query(f"""WITH {LA_SQL}, d AS (SELECT DISTINCT volume_id, label FROM la WHERE label <> 0), p AS (SELECT volume_id, count(*) AS n, arg_min(label, md5(concat_ws('|', volume_id, label, 2))) AS pick FROM d GROUP BY volume_id)
+    SELECT volume_id, z, y, x, value, label, CASE WHEN n > 1 AND label = pick THEN value ELSE -5.0 END AS cue FROM la JOIN p USING (volume_id)""")
 def label_cue(spark, sf):
-    return R.cue(la(spark, sf), 2, 1.0)
+    return plain(R.cue(la(spark, sf), 2, 1.0))
 
 
-@query()
+@query(f"""{_V2}, {sql_grid((1, 4, 4), 'w')}, d AS (SELECT volume_id, floor({drawn('volume_id', '3')} * 4)::INTEGER AS k FROM (SELECT DISTINCT volume_id FROM v))
+    SELECT d.volume_id, w.z, w.y, w.x, value, 4 AS side, k * 90 AS angle FROM d, w, v WHERE v.volume_id = d.volume_id AND v.z = 0
+    AND v.y = CASE k WHEN 0 THEN w.y WHEN 1 THEN w.x WHEN 2 THEN 3 - w.y ELSE 3 - w.x END AND v.x = CASE k WHEN 0 THEN w.x WHEN 1 THEN 3 - w.y WHEN 2 THEN 3 - w.x ELSE w.y END""")
 def rotate_2d(spark, sf):
-    return R.rotate_crops(v2(spark, sf).filter("z = 0").withColumn("side", F.lit(4)), 3)
+    return plain(R.rotate_crops(v2(spark, sf).filter("z = 0").withColumn("side", F.lit(4)), 3))
 
 
 @query()
 def tune_grid(spark, sf):
     """Trials of segmentation settings, scored by accuracy against the segmentation by the first."""
-    truth = U.segment_volumes(_smooth_unit(spark, sf), h=0.2, background=0.3)
-    both = _smooth_unit(spark, sf).join(truth, ["volume_id", *AXES])
+    u = N.clip_norm(v1(spark, sf))
+    truth = U.segment_volumes(u, h=0.2, background=0.3)
     trials = R.grid(spark, {"h": [0.1, 0.2, 0.3], "background": [0.2, 0.3], "confidence": [0.5, 0.7]})
+    return rounded(R.tune_segmentation(u.join(truth, ["volume_id", *AXES]), trials), "score")
+
 
-    def score(p, frame):
-        from ..operators.matching import best_pairs
-
-        at, (f, t) = U._dense(frame, ["value", "label"])
-        got = U.segment(f, p["h"], p["background"], p["confidence"])
-        import pandas as pd
-
-        pairs = pd.DataFrame({"t": t[tuple(at.T)], "p": got[tuple(at.T)]})
-        n = pairs.groupby(["t", "p"]).size().rename("n").reset_index()
-        n["score"] = n.n / (n.groupby("t").n.transform("sum") + n.groupby("p").n.transform("sum") - n.n)
-        inner = n[(n.t > 0) & (n.p > 0)]
-        nt, np_ = len(np.unique(t[t > 0])), len(np.unique(got[got > 0]))
-        total = 0.0
-        for thr in [k / 10 for k in range(1, 10)]:
-            tp = int(best_pairs(inner, min(nt, np_), [thr]).is_match.sum()) if len(inner) else 0
-            total += tp / (nt + np_ - tp) if tp else 0.0
-        return total / 9
-
-    return R.tune(both, trials, ["z", "y", "x", "value", "label"], score)
+@query("""SELECT CAST(i AS BIGINT) AS trial_id, round(0.15 + 0.01 * floor(H * 36), 9) AS h, round(0.05 + 0.01 * floor(B * 21), 9) AS background, round(0.2 + 0.01 * floor(C * 56), 9) AS confidence,
+    floor(S * 2) = 0 AS smoothing, floor(T * 2) = 0 AS simple FROM (SELECT unnest(range(300)) AS i)"""
+    .replace("floor(H", f"floor({drawn('i', '9', chr(39) + 'h' + chr(39))}").replace("floor(B", f"floor({drawn('i', '9', chr(39) + 'background' + chr(39))}")
+    .replace("floor(C", f"floor({drawn('i', '9', chr(39) + 'confidence' + chr(39))}").replace("floor(S", f"floor({drawn('i', '9', chr(39) + 'smoothing' + chr(39))}")
+    .replace("floor(T", f"floor({drawn('i', '9', chr(39) + 'simple' + chr(39))}"))
+def trial_draws(spark, sf):
+    """The trials of a search, drawn by their numbers."""
+    return R.random_trials(spark, 300, 9)

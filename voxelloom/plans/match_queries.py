@@ -103,20 +103,56 @@ def map_mean(spark, sf):
     return rounded(M.mean_accuracy(M.match(ld(spark, sf), THRESHOLDS, pair=["pair_id"]), ["pair_id"]), "mean_accuracy")
 
 
-@query()
+def _assignment_sql(levels: list[float], score: str, pair: str = "") -> str:
+    """CTEs up to ``best``: the best assignment of eight true labels to eight predicted ones, by the sets of predicted labels that are taken.
+
+    After true label i, ``l{i}`` has for each set (a number of eight bits) the
+    largest count of qualifying pairs, and of these the largest score.
+    """
+    k = f"{pair}, " if pair else ""
+    on = f"USING ({pair})" if pair else "ON true"
+    grouped = f"GROUP BY {pair}" if pair else ""
+    head = f"""WITH {LD_SQL}, o AS (SELECT {k}t, p, count(*) AS n FROM ld GROUP BY {k}t, p),
+        s AS (SELECT {k}t, p, {score} AS score FROM (SELECT *, sum(n) OVER (PARTITION BY {k}t) AS a, sum(n) OVER (PARTITION BY {k}p) AS b FROM o)),
+        c AS (SELECT {k}count(DISTINCT CASE WHEN t <> 0 THEN t END) AS n_true, count(DISTINCT CASE WHEN p <> 0 THEN p END) AS n_pred FROM o {grouped}),
+        h(thresh) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in levels)}),
+        l0 AS (SELECT {k}thresh, n_true, n_pred, 0 AS taken, 0.0::DOUBLE AS gain, 0 AS tp, 0.0::DOUBLE AS score_sum, '' AS pairs FROM c, h)"""
+    for i in range(1, 9):
+        head += f""", l{i} AS MATERIALIZED (SELECT {k}thresh, n_true, n_pred, taken, max(gain) AS gain, arg_max(tp, gain) AS tp, arg_max(score_sum, gain) AS score_sum, arg_max(pairs, gain) AS pairs FROM (
+            SELECT * FROM l{i - 1} UNION ALL
+            SELECT {'l.' + k if k else ''}thresh, n_true, n_pred, taken | (1 << (p - 1)), gain + CASE WHEN score >= thresh THEN 1 ELSE 0 END + score / (2 * least(n_true, n_pred)),
+                   tp + CASE WHEN score >= thresh THEN 1 ELSE 0 END, score_sum + CASE WHEN score >= thresh THEN score ELSE 0.0 END, pairs || ',' || t || ':' || p
+            FROM l{i - 1} AS l JOIN s {on} WHERE t = {i} AND p > 0 AND (taken & (1 << (p - 1))) = 0) GROUP BY {k}thresh, n_true, n_pred, taken)"""
+    return f"""{head}, best AS (SELECT {k}thresh, n_true, n_pred, arg_max(tp, gain) AS tp, arg_max(score_sum, gain) AS score_sum, arg_max(pairs, gain) AS pairs FROM l8 GROUP BY {k}thresh, n_true, n_pred),
+        stats AS (SELECT *, n_pred - tp AS fp, n_true - tp AS fn FROM best)"""
+
+
+_IOU = "n / (a + b - n)"
+_COUNTED = "n_true, n_pred, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn"
+
+
+@query(f"{_assignment_sql([0.1, 0.2, 0.3, 0.4, 0.5], _IOU, 'pair_id')} SELECT pair_id, thresh, {_COUNTED}, {_ratios()} FROM stats")
 def match_low_thr(spark, sf):
     """Thresholds that need an assignment."""
-    return M.match(ld(spark, sf), [0.1, 0.2, 0.3, 0.4, 0.5], pair=["pair_id"])
+    return rounded(M.match(ld(spark, sf), [0.1, 0.2, 0.3, 0.4, 0.5], pair=["pair_id"]), *RATIOS)
 
 
-@query()
+@query(f"{_assignment_sql([0.3, 0.6], 'n / a')} SELECT thresh, {_COUNTED}, {_ratios()} FROM stats")
 def match_iot_assigned(spark, sf):
-    return M.match(ld(spark, sf), [0.3, 0.6], "iot")
+    return rounded(M.match(ld(spark, sf), [0.3, 0.6], "iot"), *RATIOS)
 
 
-@query()
+@query(f"""{_assignment_sql([0.6], _IOU, 'pair_id')}, e AS (SELECT pair_id, unnest(string_split(pairs[2:], ',')) AS e FROM best),
+    m AS (SELECT pair_id, CAST(split_part(e, ':', 1) AS INTEGER) AS t, CAST(split_part(e, ':', 2) AS INTEGER) AS p FROM e),
+    r AS (SELECT pair_id, t, p, score, row_number() OVER (PARTITION BY pair_id ORDER BY t) - 1 AS k FROM m JOIN s USING (pair_id, t, p)),
+    q AS (SELECT pair_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS tps FROM r WHERE score >= 0.6 GROUP BY pair_id)
+    SELECT pair_id, t, p, round(score, 6) AS score, coalesce(tps, '') AS tps FROM r LEFT JOIN q USING (pair_id)""")
 def report_matches(spark, sf):
-    return M.report_matches(ld(spark, sf), 0.6, pair=["pair_id"])
+    """All assigned pairs in the order of t, a row for each, and the places of those that reach the threshold."""
+    found = M.report_matches(ld(spark, sf), 0.6, pair=["pair_id"])
+    each = F.explode(F.arrays_zip("matched_pairs", "matched_scores")).alias("m")
+    rows = found.select("pair_id", F.array_join(F.transform("matched_tps", lambda k: k.cast("string")), ",").alias("tps"), each)
+    return rounded(rows.select("pair_id", "m.matched_pairs.t", "m.matched_pairs.p", F.col("m.matched_scores").alias("score"), "tps"), "score")
 
 
 def _frames(spark, sf):
@@ -164,10 +200,11 @@ _STAT = "SELECT volume_id, label, count(*) AS n_vox, max(value) AS peak FROM la
     k AS (SELECT label, row_number() OVER (ORDER BY label) AS new FROM i, m WHERE n_vox > 60 AND peak > mid)
     SELECT volume_id, z, y, x, value, CAST(coalesce(new, 0) AS INTEGER) AS label FROM la LEFT JOIN k USING (label)""")
 def instance_filter_renumber(spark, sf):
+    """Instances of more than 60 voxels whose peak is over the mean of peaks: values are taken relative to it."""
     rows = la(spark, sf)
-    peaks = rows.filter("label <> 0").groupBy("label").agg(F.max("value").alias("p"))
-    mid = peaks.agg(F.avg("p")).first()[0]
-    return plain(L.filter_instances(rows, 60, mid))
+    mid = rows.filter("label <> 0").groupBy("label").agg(F.max("value").alias("p")).agg(F.avg("p").alias("_mid"))
+    relative = rows.crossJoin(F.broadcast(mid)).withColumn("_over", F.col("value") - F.col("_mid"))  # one row
+    return plain(L.filter_instances(relative, 60, 0.0, "_over").drop("_over", "_mid"))
 
 
 @query(f"WITH {LA_SQL} SELECT volume_id, label, count(*) AS n_vox, {', '.join(f'{f}({a}) AS {a}_{f}' for a in 'zyx' for f in ('min', 'max'))} FROM la WHERE label <> 0 GROUP BY ALL")
@@ -190,7 +227,10 @@ def distinct_objects(spark, sf):
     return L.total_objects(table(spark, sf, "part").select(F.col("p_brand").alias("volume_id"), F.col("p_size").alias("label")))
 
 
-@query()
+@query(f"""WITH {LA_SQL}, d AS (SELECT DISTINCT label FROM la WHERE label <> 0),
+    a AS (SELECT label, row_number() OVER (ORDER BY label) AS k FROM d), b AS (SELECT label AS new, row_number() OVER (ORDER BY md5(concat_ws('|', label, 7)), label) AS k FROM d),
+    m AS (SELECT label, new FROM a JOIN b USING (k))
+    SELECT volume_id, z, y, x, CAST(coalesce(new, 0) AS INTEGER) AS label FROM la LEFT JOIN m USING (label)""")
 def shuffle_labels(spark, sf):
     return L.shuffle_labels(la(spark, sf).drop("value"), 7)
 
@@ -245,12 +285,12 @@ _UNIT = V1_SQL + ", u AS (SELECT z, y, x, value / (SELECT max(value) FROM v) AS
 
 
 def offsets_sql(step: int = 1) -> str:
-    from ..operators.stencil import neighbours
-
-    return ", ".join(f"({k}, {z}, {y}, {x}, sqrt({z * z + y * y + x * x}::DOUBLE))" for k, (z, y, x) in enumerate(neighbours(step)))
+    """The 26 offsets, numbered with z slowest, and their lengths."""
+    return f"""SELECT row_number() OVER (ORDER BY dz, dy, dx) - 1 AS k, dz, dy, dx, sqrt(dz * dz + dy * dy + dx * dx) AS d
+        FROM (SELECT unnest([-{step}, 0, {step}]) AS dz), (SELECT unnest([-{step}, 0, {step}]) AS dy), (SELECT unnest([-{step}, 0, {step}]) AS dx) WHERE dz <> 0 OR dy <> 0 OR dx <> 0"""
 
 
-@query(f"""WITH RECURSIVE {_UNIT}, o(k, dz, dy, dx, d) AS (VALUES {offsets_sql()}),
+@query(f"""WITH RECURSIVE {_UNIT}, o(k, dz, dy, dx, d) AS ({offsets_sql()}),
     s AS (SELECT c.z, c.y, c.x, o.k, n.z AS nz, n.y AS ny, n.x AS nx, ((1 - c.value) - (1 - n.value)) / o.d AS slope
           FROM u AS c, o, u AS n WHERE n.z = c.z + o.dz AND n.y = c.y + o.dy AND n.x = c.x + o.dx),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY slope DESC, k) AS r FROM s) WHERE r = 1 AND slope > 0),
@@ -263,7 +303,7 @@ def rainfall_labels(spark, sf):
     return plain(L.rainfall(_unit(spark, sf), 0.2).drop("value"))
 
 
-@query(f"""WITH {_UNIT}, o(k, dz, dy, dx, d) AS (VALUES {offsets_sql()}),
+@query(f"""WITH {_UNIT}, o(k, dz, dy, dx, d) AS ({offsets_sql()}),
     s AS (SELECT c.z, c.y, c.x, o.k, (c.value - n.value) / o.d AS slope FROM v AS c, o, v AS n WHERE n.z = c.z + o.dz AND n.y = c.y + o.dy AND n.x = c.x + o.dx),
     b AS (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY slope DESC, k) AS r FROM s)
     SELECT 'v1' AS volume_id, z, y, x, CAST(CASE WHEN slope > 0 THEN k ELSE 255 END AS INTEGER) AS direction FROM b WHERE r = 1""")
@@ -273,7 +313,7 @@ def steepest_descent(spark, sf):
     return plain(down(v1(spark, sf)).drop("value"))
 
 
-@query(f"""WITH {_UNIT}, o(k, dz, dy, dx, d) AS (VALUES {offsets_sql(3)}),
+@query(f"""WITH {_UNIT}, o(k, dz, dy, dx, d) AS ({offsets_sql(3)}),
     s AS (SELECT c.z, c.y, c.x, o.k, (c.value - n.value) / o.d AS slope FROM v AS c, o, v AS n WHERE n.z = c.z + o.dz AND n.y = c.y + o.dy AND n.x = c.x + o.dx),
     b AS (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY slope DESC, k) AS r FROM s)
     SELECT 'v1' AS volume_id, z, y, x, CAST(CASE WHEN slope > 0 THEN k ELSE 255 END AS INTEGER) AS direction FROM b WHERE r = 1""")

@@ -32,3 +32,8 @@ def plain(df: DataFrame) -> DataFrame:
     """Column order of voxels: volume_id, z, y, x, then the rest."""
     first = [c for c in ("volume_id", "z", "y", "x") if c in df.columns]
     return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def drawn(*keys: str) -> str:
+    """SQL of a number in [0, 1) that depends on the keys (SQL expressions) alone: the first 52 bits of their MD5."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
