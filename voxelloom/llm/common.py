@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,12 +17,16 @@ from pyspark.sql import types as T
 BATCH_ROWS = 1000
 #: Bytes after which Spark ends an Arrow batch of long texts early.
 BATCH_BYTES = "16m"
+#: Batches after which a worker gives memory back.
+TRIM = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own if all runs on one machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="voxelloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -88,14 +93,38 @@ def with_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = start()
-        for batch in batches:
+        for k, batch in enumerate(batches):
             if batch.num_rows:
                 cols = [batch.column(i) for i in keep] + made(*[batch.column(i) for i in at])
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema.fields])
+                del cols
+            if k % TRIM == TRIM - 1:
+                give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this process for as long as the same key is asked for: tasks share it, and it goes when another operator needs the room."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, doc_texts, qualified, small_batches, texts, with_arrow
+from .common import Scratch, doc_texts, give_back, qualified, resident, small_batches, texts, with_arrow
 from .kept import Kept, code_points, runs
 
 #: Documents that one task writes, about (fewer where there would be less tasks than cores), and bytes after which it begins another shard.
@@ -263,10 +263,9 @@ class TextEncoder:
         return out
 
 
-@lru_cache(1)
 def encoder(path: str) -> TextEncoder:
     """That of this process, so that a worker's tasks share what it keeps."""
-    return TextEncoder(path)
+    return resident(("encoder", path), lambda: TextEncoder(path))
 
 
 # ---- files
@@ -396,8 +395,10 @@ def write_shards(rows: DataFrame, value: str, root: str, size: int, start: Calla
                 if writer.at >= shard_bytes:
                     done.append(writer.close())
                     writer = None
+                    give_back()
         if writer:
             done.append(writer.close())
+        give_back()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*done)], ["part", "turn", "records", "ids"])
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow
+from .common import resident, texts, with_arrow
 from .kept import Column as KeptColumn
 from .kept import Kept, code_points, runs
 from .pieces import SPACE, Pieces, load
@@ -45,9 +45,9 @@ from .shingles import mix
 #: Segmentations drawn for each text.
 SAMPLES = 2
 #: Characters worked on at once (a longer text alone).
-CHARS = 500_000
+CHARS = 300_000
 #: Edges of the lattices that a worker keeps, some 20 bytes each with all that goes with them.
-KEPT_EDGES = 4_500_000
+KEPT_EDGES = 3_500_000
 #: Rounds over fewer places or walks than this are done one by one: long pre-tokens take many rounds.
 FEW = 24
 #: Log probabilities are kept in units of 2**-UNIT.
@@ -544,10 +544,9 @@ class Sampler:
         a.best[on] = -np.logaddexp(-a.perturbed[on], -a.best[on])
 
 
-@lru_cache(1)
 def sampler_of(path: str, samples: int) -> Sampler:
     """That of this process, so that a worker's tasks share what it keeps."""
-    return Sampler(path, samples)
+    return resident(("sampler", path, samples), lambda: Sampler(path, samples))
 
 
 _SAMPLE = T.StructType([T.StructField("ids", T.BinaryType())] + [T.StructField(n, T.DoubleType()) for n in ("log_prob", "perturbed", "inclusion")])

@@ -7,7 +7,7 @@ worked out once, when the node is made, from the nodes above it: a trie of
 reversed pieces says which pieces end there. A pre-token's count is that of
 its last node; a document's is the sum over its pre-tokens.
 
-Each worker has a trie of its own, emptied when it has NODES nodes. That costs
+Each worker has a trie of its own, which its tasks share, emptied when it has NODES nodes. That costs
 time only: counts depend on the vocabulary alone.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import doc_texts, texts, with_arrow
+from .common import doc_texts, resident, texts, with_arrow
 from .pieces import Pieces, load, pre_tokens
 
 #: Nodes of a trie, about 250 bytes each; and pre-tokens whose counts are kept.
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """Adds n_pre_tokens and n_tokens. Null counts as empty: none of either. Columns of these names are replaced."""
 
     def start():
-        trie = ForwardTrie(load(path))
+        trie = resident(("trie", path), lambda: ForwardTrie(load(path)))
 
         def run(text):
             split = [pre_tokens(t) for t in texts(text)]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from array import array
 from collections import Counter
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shield, texts, with_arrow
+from .common import resident, shield, texts, with_arrow
 
-#: Labelled documents that the model is fitted on, at most, and bytes of each of them that the lexicon is counted on.
+#: Labelled documents that the model is fitted on, at most, and bytes of text in all of them together.
 SAMPLE_DOCS = 6000
 SAMPLE_BYTES = 32 << 20
 #: Terms of the lexicon, at most; lift and toxic documents that a term needs at least.
@@ -307,7 +308,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
-    """At most ``most`` labelled documents that are not held out, half of them toxic where there are so many.
+    """At most ``most`` labelled documents that are not held out, a third of them toxic where there are so many.
 
     Rows are taken in the order of a hash of doc_id, so the sample is the same
     each time. Labels and documents without an id, and null labels, are passed over,
@@ -325,10 +326,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, m
     found: dict[int, str] = {}
     room = most_bytes
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id", "left_semi")
-    got = got.filter(F.length("text") <= most_bytes)  # what can not fit does not come to the driver
-    for r in got.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "text").toLocalIterator():
-        if r.doc_id not in found and len(r.text) <= room:
-            room -= len(r.text)
+    size = F.octet_length("text")
+    got = got.filter(size <= most_bytes)  # what can not fit does not come to the driver
+    for r in got.withColumns({"turn": F.xxhash64("doc_id"), "size": size}).orderBy("turn", "text").toLocalIterator():
+        if r.doc_id not in found and r["size"] <= room:
+            room -= r["size"]
             found[r.doc_id] = r.text
     return [(found[i], toxic[i]) for i, _, _ in sorted(ids, key=lambda x: (x[2], x[0])) if i in found]
 
@@ -343,10 +345,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null counts as empty; an empty text gets the score of a text without terms.
     Equal texts get equal scores. Columns named score or predicted are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def start():
-        scorer = Scorer(sent.value)
+        scorer = resident(("scorer", name), lambda: Scorer(sent.value))
 
         def run(text):
             s = scorer.scores(texts(text))
