@@ -40,3 +40,14 @@ def test_ties_nulls_and_clashing_names(spark):
 
 def test_empty_table(spark):
     assert e.report(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_internal_names_as_input_columns(spark):
+    schema = "doc_id long, text string, _text string, _row int, _digit string, _GROUP int, _own__text int"
+    rows = [(k, t, f"t{k}", k, "d", 7, k) for k, t in enumerate(["a" * 70, "a" * 70, "b", None, ""])]
+    docs = spark.createDataFrame(rows, schema)
+    got = e.exact_groups(docs)
+    assert got.columns == [*docs.columns, "keep_id", "group_size", "kept"]
+    assert {tuple(r)[:7]: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == dict(zip(rows, [(1, 2, False), (1, 2, True), (2, 1, True), (4, 2, False), (4, 2, True)]))
+    kept = e.drop_copies(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {rows[1], rows[2], rows[4]}

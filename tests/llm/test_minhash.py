@@ -70,7 +70,7 @@ def test_signature_estimates_probability_jaccard():
     assert (alone[0] == sign[0]).all()
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 4, "splits": 2}, {"block": 3, "splits": 0}])
+@pytest.mark.parametrize("options", [{}, {"block": 4, "splits": 2}, {"block": 3, "splits": 0}, {"block_shingles": 150, "splits": 1}])
 def test_classes_are_brute_force(spark, options):
     rng = random.Random(5)
     docs = []
@@ -154,3 +154,10 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     assert [g[:3] for g in got] == [(4, 4, 4), (4, 4, 4), (None, 4, 4), (None, 4, 4), (None, None, 1)]
     extra = spark.createDataFrame([(1, "a b", 3, "t")], DOC + ", class_id long, tid string")
     assert tuple(m.drop_near_copies(extra).first()) == (1, "a b", 3, "t")
+
+
+def test_internal_names_as_input_columns(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text, "x", 5), (2, text + " end", "y", 6), (3, "other", "z", 7)], "doc_id long, text string, _tid string, _HEAD int")
+    got = m.drop_near_copies(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, text, "x", 5), (3, "other", "z", 7)]

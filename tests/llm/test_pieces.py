@@ -127,6 +127,15 @@ def test_counts_are_viterbi(monkeypatch):
     assert [small.counts([w]) for w in words] == [viterbi(w, v) for w in words]
 
 
+def test_long_pre_tokens_are_counted_without_nodes():
+    v, rng = pieces.load(PATH), random.Random(12)
+    trie = token_counts.ForwardTrie(v)
+    for w in ["".join(rng.choice("abtheñ日😀▁") for _ in range(n)) for n in (1, 7, 60, 400)]:
+        assert trie.long(w) == trie.insert(w) == viterbi(w, v)
+    n = len(trie.parent)
+    assert trie.counts(["x" * 300_000]) > 0 and len(trie.parent) == n
+
+
 def test_shared_prefixes_are_worked_out_once():
     trie = token_counts.ForwardTrie(pieces.load(PATH))
     trie.insert("▁interest")

@@ -52,6 +52,14 @@ def test_empty_tables_and_clashing_names(spark):
     assert u.apply_lists(spark.createDataFrame([], CAPTURE), none).count() == 0
 
 
+def test_internal_names_and_many_rows_of_a_url(spark):
+    entries = spark.createDataFrame([(1, "host", "a.com", "add", "block", day(0))], ENTRY)
+    rows = [(k, "http://a.com/x", day(1), f"p{k}", k) for k in range(50)] + [(99, "http://b.com", None, "q", 0)]
+    got = u.apply_lists(spark.createDataFrame(rows, CAPTURE + ", _path string, _n int"), entries)
+    assert got.columns == ["page_id", "url", "fetched", "_path", "_n", "host", "n_active", "verdict", "entry_id"]
+    assert sorted((r.page_id, r["_path"], r["_n"], r.verdict) for r in got.collect()) == [(k, f"p{k}", k, "block") for k in range(50)] + [(99, "q", 0, "none")]
+
+
 def test_plan_has_no_python(spark, sf):
     plan = queries.op6_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -33,9 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, and they outlive a lost executor."""
+    """Tables written to the shared folder: they cut lineage, and they outlive a lost executor.
 
-    #: Those made so far, for whoever knows when their tables are not needed any more.
+    Results of an operator read them, so they stay until ``drop`` or ``free``.
+    """
+
+    #: Those that have not been dropped, for whoever knows when their tables are not needed any more.
     made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
@@ -50,8 +53,15 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Removes a table that nothing reads any more; with no name, all of them."""
-        where = f"{self.root}/{name}.parquet" if name else self.root
-        delete(self.spark, where)
+        delete(self.spark, f"{self.root}/{name}.parquet" if name else self.root)
+        if not name and self in Scratch.made:
+            Scratch.made.remove(self)
+
+
+def free() -> None:
+    """Removes the tables of all operators so far; to be called when their results have been written."""
+    for scratch in list(Scratch.made):
+        scratch.drop()
 
 
 def delete(spark: SparkSession, where: str) -> None:
@@ -151,5 +161,12 @@ def local_path(path: str) -> str:
 
 def shield(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list]:
     """The frame with its columns of these names renamed, and the columns that give all of them back under their own names."""
-    clash = {c: f"_own_{c}" for c in df.columns if c.lower() in {n.lower() for n in names}}
+    taken, wanted, clash = {c.lower() for c in df.columns}, {n.lower() for n in names}, {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            new = f"_own_{c}"
+            while new.lower() in taken or new.lower() in wanted:
+                new = f"_own{new}"
+            clash[c] = new
+            taken.add(new.lower())
     return df.withColumnsRenamed(clash), [F.col(clash[c]).alias(c) if c in clash else F.col(c) for c in df.columns]

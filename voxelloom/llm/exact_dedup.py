@@ -28,6 +28,10 @@ FIRST = 64
 SECOND, GROWTH, LARGEST = 512, 8, 1 << 20
 
 
+#: Columns that the levels use; input columns of these names are set aside meanwhile.
+_OWN = ["_digit", "_n", "_live", "_row", "_text", "_group", "_best", "_next", "_ended"]
+
+
 def _digit(text: Column, begin: int, width: int) -> Column:
     """Bytes [begin, begin + width) of a binary column; shorter at its end, empty beyond it."""
     return F.substring(text, begin + 1, width)
@@ -47,8 +51,11 @@ def exact_groups(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    source = docs.drop("keep_id", "group_size", "kept")
+    given = docs.drop("keep_id", "group_size", "kept")
+    source, back = shield(given, _OWN)
+    text, key = (source.columns[given.columns.index(x)] for x in (text, key))
     names = source.columns if keep_text else [c for c in source.columns if c != text]
+    back = [c for c, name in zip(back, source.columns) if name in names]
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
     shared = scratch.write(
@@ -104,7 +111,7 @@ def exact_groups(
         left = out.filter("NOT _ended").select(*names, "_row", "_text", "_group")
         at, width, level = at + width, min(width * GROWTH, LARGEST), level + 1
         live = left if left.limit(1).count() else None
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done).select(*back, "keep_id", "group_size", "kept")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ verified by the exact Jaccard of their shingle sets; links make classes.
 Pairs of a bucket are never written out. All of a bucket is verified against
 its first text and classes are formed; a bucket of one class is done. A bucket
 that still holds several classes goes to one task as a whole, if it has at most
-``BLOCK`` texts: intersections of all its sets are counted there by matrix
-products, and only links that join classes leave it. Of a larger one, the parts
-that share a further band go first, to leave fewer classes; if it still holds
-several, all of it is dealt out in blocks, each against each, but for the
-largest class against itself. So all similar pairs of a bucket are linked.
+``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles: intersections of all its sets
+are counted there by matrix products, and only links that join classes leave
+it. Of a larger one, the parts that share a further band go first, to leave
+fewer classes; if it still holds several, all of it is dealt out in blocks,
+each against each, but for the largest class against itself. So all similar
+pairs of a bucket are linked.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, raw, with_arrow
+from .common import Scratch, raw, shield, with_arrow
 from .shingles import WIDTH, chunks, counted, mix, shingles
 
 SIMILARITY = 0.8
 #: Bands and registers in each: texts of similarity s meet with 1 - (1 - s**6)**32, at 0.8 that is 0.99994.
 BANDS, ROWS = 32, 6
-#: Texts of a bucket that one task looks at together; with sets of some thousand shingles, a few MB.
-BLOCK = 1000
+#: Texts of a bucket that one task looks at together, and shingles that they have (8 bytes each, and some 50 while they are worked on).
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 #: Times that larger buckets are split by a further band, in the pass before they are looked at whole.
 SPLITS = 6
 #: Columns of a matrix product.
@@ -80,15 +81,21 @@ def band_hashes(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(out + np.arange(1, bands + 1, dtype=np.uint64))
 
 
-def batch_bands(batch: list[bytes], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> list[list[int]]:
-    """The band hashes of each text, as signed 64-bit integers; none for a text without words."""
+def signed_batch(batch: list[bytes], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> tuple[list[list[int]], list[int]]:
+    """The band hashes of each text, as signed 64-bit integers, none for a text without words; and how many shingles it has."""
     out: list[list[int]] = []
+    sizes: list[int] = []
     for run in chunks(batch):
         owner, h, _ = counted(*shingles(run, width))
         keys = band_hashes(prob_minhash(owner, h, np.ones(len(h)), len(run), bands * rows), bands, rows).view(np.int64)
-        some = np.bincount(owner, minlength=len(run)) > 0
-        out += [k if s else [] for k, s in zip(keys.tolist(), some.tolist())]
-    return out
+        size = np.bincount(owner, minlength=len(run)).tolist()
+        out += [k if n else [] for k, n in zip(keys.tolist(), size)]
+        sizes += size
+    return out, sizes
+
+
+def batch_bands(batch: list[bytes], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> list[list[int]]:
+    return signed_batch(batch, bands, rows, width)[0]
 
 
 def shingle_sets(batch: list[bytes], width: int = WIDTH) -> list[list[int]]:
@@ -174,6 +181,7 @@ def near_classes(
     width: int = WIDTH,
     block: int = BLOCK,
     splits: int = SPLITS,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """(tid, class_tid, class_id, texts): the class of each text that has copies or near copies.
 
@@ -187,13 +195,16 @@ def near_classes(
     source = docs.select(F.col("doc_id"), _body(docs).alias("text"), _tid(docs).alias("tid"))
 
     def start():
-        return lambda text: [pa.array(batch_bands(raw(text), bands, rows, width), pa.list_(pa.int64()))]
+        def run(text):
+            keys, sizes = signed_batch(raw(text), bands, rows, width)
+            return [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
 
-    signed = with_arrow(source, ["text"], [T.StructField("bands", T.ArrayType(T.LongType()))], start).drop("text")
-    one = scratch.write(
-        signed.groupBy("tid").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts"
-    )
-    dealt = one.select("tid", "min_id", F.posexplode("bands").alias("band", "key"))
+        return run
+
+    signed = with_arrow(source, ["text"], [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.LongType())], start).drop("text")
+    one = signed.groupBy("tid").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    one = scratch.write(one, "texts")
+    dealt = one.select("tid", "min_id", "shingles", F.posexplode("bands").alias("band", "key"))
     shared = scratch.write(dealt.groupBy("key").agg(F.min("tid").alias("lead"), F.count("*").alias("size")).filter("size > 1"), "shared")
     meet = scratch.write(dealt.join(shared, "key"), "meet")
     scratch.drop("shared")
@@ -227,15 +238,19 @@ def near_classes(
     links = scratch.write(verified(meet.filter("tid <> lead").select(*pair(F.col("lead"), F.col("tid"))).distinct()), "links0")
     classes = components(links, scratch, "classes0")
 
-    def several(rows_: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """The rows of buckets that hold several classes, with the bucket's size; and the largest size."""
-        counts = rows_.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
-        counts = scratch.write(counts.select("key", "size"), f"{name}-sizes")
-        return scratch.write(rows_.join(counts, "key"), name), counts.agg(F.max("size")).first()[0] or 0
+    def load(texts: Column, shingles: Column) -> Column:
+        """How many tasks' worth of texts or shingles that is."""
+        return F.greatest(texts / F.lit(float(block)), shingles / F.lit(float(block_shingles)))
+
+    def several(rows_: DataFrame, name: str) -> tuple[DataFrame, float]:
+        """The rows of buckets that hold several classes, with the bucket's load; and the largest load."""
+        counts = rows_.groupBy("key").agg(load(F.count("*"), F.sum("shingles")).alias("load"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
+        counts = scratch.write(counts.select("key", "load"), f"{name}-sizes")
+        return scratch.write(rows_.join(counts, "key"), name), counts.agg(F.max("load")).first()[0] or 0.0
 
     def classed(rows_: DataFrame) -> DataFrame:
-        """The rows (key, band, tid) with the class c of the text."""
-        return rows_.join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left").select("key", "band", "tid", F.coalesce("c", "tid").alias("c"))
+        """The rows (key, band, tid, shingles) with the class c of the text."""
+        return rows_.join(classes.select(F.col("v").alias("tid"), "c"), "tid", "left").select("key", "band", "tid", "shingles", F.coalesce("c", "tid").alias("c"))
 
     def join_up(table: pa.Table) -> pa.Table:
         tids, named_ = table.column("tid").to_pylist(), table.column("c").to_pylist()
@@ -250,36 +265,38 @@ def near_classes(
         return groups.join(sets, "tid").groupBy("key", "i", "j").applyInArrow(join_up, "a binary, b binary")
 
     # The first text of a bucket has met all others of it.
-    mixed, most = several(classed(meet.filter("tid <> lead").select("key", "band", "tid")), "mixed0")
+    mixed, most = several(classed(meet.filter("tid <> lead").select("key", "band", "tid", "shingles")), "mixed0")
     at_once = [F.col("key"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("tid"), F.col("c")]
-    if most > block and splits:
+    if most > 1 and splits:
         # Parts of the large buckets that share further bands, so that fewer classes are left; the buckets stay whole for what follows.
-        coarse, largest, parts = mixed.filter(F.col("size") > block), most, []
-        while largest > block and len(parts) < splits:
+        coarse, largest, parts = mixed.filter("load > 1"), most, []
+        while largest > 1 and len(parts) < splits:
             large = coarse.join(one.select("tid", "bands"), "tid")
-            further = large.select("key", F.col("band").alias("was"), "tid", "c", F.posexplode("bands").alias("band", "other")).filter("band > was")
-            finer, largest = several(further.select(F.xxhash64("key", "other").alias("key"), "band", "tid", "c"), f"part{len(parts) + 1}")
-            parts.append(finer.filter(F.col("size") <= block).select(*at_once))
-            coarse = finer.filter(F.col("size") > block)
+            further = large.select("key", F.col("band").alias("was"), "tid", "shingles", "c", F.posexplode("bands").alias("band", "other")).filter("band > was")
+            finer, largest = several(further.select(F.xxhash64("key", "other").alias("key"), "band", "tid", "shingles", "c"), f"part{len(parts) + 1}")
+            parts.append(finer.filter("load <= 1").select(*at_once))
+            coarse = finer.filter("load > 1")
         links = scratch.write(joined(reduce(DataFrame.unionByName, parts)).union(links), "links1")
         classes = components(links, scratch, "classes1")
-        mixed, most = several(classed(mixed.select("key", "band", "tid")), "mixed1")
+        mixed, most = several(classed(mixed.select("key", "band", "tid", "shingles")), "mixed1")
     if most:
-        groups = mixed.filter(F.col("size") <= block).select(*at_once)
-        if most > block:
+        groups = mixed.filter("load <= 1").select(*at_once)
+        if most > 1:
             # Each against each in blocks, but for the largest class of a bucket against itself.
-            large = mixed.filter(F.col("size") > block).select("key", "tid", "c")
-            top = large.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+            large = mixed.filter("load > 1").select("key", "tid", "c", "shingles")
+            each = large.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+            top = each.groupBy("key").agg(F.max(F.struct("n", "c", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
 
-            def blocks_of(n: Column) -> Column:
-                return F.ceil(n * 2 / block).cast("int")
+            def blocks_of(texts: Column, shingles: Column) -> Column:
+                return F.greatest(F.ceil(load(texts, shingles) * 2), F.lit(1)).cast("int")
 
-            top = top.select("key", F.col("top.c").alias("main"), blocks_of(F.col("all") - F.col("top.n")).alias("apart"), blocks_of(F.col("top.n")).alias("inner"))
+            apart, inner = blocks_of(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")), blocks_of(F.col("top.n"), F.col("top.s"))
+            top = top.select("key", F.col("top.c").alias("main"), apart.alias("apart"), inner.alias("inner"))
             inside, h = F.col("c") == F.col("main"), F.xxhash64("tid")
             own = F.when(inside, F.col("apart") + F.pmod(h, F.col("inner"))).otherwise(F.pmod(h, F.col("apart"))).cast("int")
             facing = F.col("apart") + F.when(inside, 0).otherwise(F.col("inner"))
-            each = large.join(top, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), facing - 1)))
-            groups = groups.union(each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "c"))
+            placed = large.join(top, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), facing - 1)))
+            groups = groups.union(placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "c"))
         links = scratch.write(joined(groups).union(links), "links2")
         classes = components(links, scratch, "classes2")
 
@@ -319,6 +336,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, that with the least doc_id, with the columns of docs."""
     members = near_classes(docs, **options).select(F.col("tid").alias("_tid"), F.col("class_tid").alias("_head"), F.col("class_id").alias("_least"))
-    tagged = docs.withColumn("_tid", _tid(docs)).join(members, "_tid", "left")
+    safe, back = shield(docs, ["_tid", "_head", "_least"])
+    tagged = safe.withColumn("_tid", _tid(safe)).join(members, "_tid", "left")
     alone = F.col("_head").isNull()
-    return tagged.filter(alone | ((F.col("_tid") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_least")))).select(*docs.columns)
+    return tagged.filter(alone | ((F.col("_tid") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_least")))).select(*back)

@@ -13,6 +13,8 @@ time only: counts depend on the vocabulary alone.
 
 from __future__ import annotations
 
+from array import array
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ from .pieces import Pieces, load, pre_tokens
 #: Nodes of a trie, about 250 bytes each; and pre-tokens whose counts are kept.
 NODES = 600_000
 KEPT = 300_000
+#: Longer pre-tokens, in characters, are no part of the trie.
+LONG = 2000
 
 
 class ForwardTrie:
@@ -82,13 +86,34 @@ class ForwardTrie:
             node = self._add(node, c) if to is None else to
         return self.count[node]
 
+    def long(self, word: str) -> int:
+        """The same for a long word, which shares little: by its places in turn, without nodes."""
+        scores, counts = array("d", [0.0]), array("q", [0])
+        for i, letter in enumerate(word):
+            best = count = None
+            rev, k = 0, i
+            while k >= 0:
+                rev = self.rev_child[rev].get(word[k])
+                if rev is None:
+                    break
+                own = self.rev_score[rev]
+                if own is not None and (best is None or scores[k] + own > best):
+                    best, count = scores[k] + own, counts[k] + 1
+                k -= 1
+            n = len(letter.encode("utf-8", "replace"))
+            if best is None or letter not in self.pieces.score and scores[i] + n * self.pieces.byte_score > best:
+                best, count = scores[i] + n * self.pieces.byte_score, counts[i] + n
+            scores.append(best)
+            counts.append(count)
+        return counts[-1]
+
     def counts(self, words: list[str]) -> int:
         kept = self.kept
         total = 0
         for w in words:
             n = kept.get(w)
             if n is None:
-                n = self.insert(w)
+                n = self.insert(w) if len(w) <= LONG else self.long(w)
                 if len(w) <= 64:
                     kept[w] = n
                 if len(self.parent) > NODES:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import shield
+
 #: Kinds of entries by rank: where several are valid the highest rank decides, then the longest value, then the latest.
 RANK = {"prefix": 3, "host": 2, "domain": 1}
 
@@ -90,22 +92,26 @@ def apply_lists(captures: DataFrame, entries: DataFrame) -> DataFrame:
     repeated rows too; columns of the names above are replaced.
     """
     made = ("host", "n_active", "verdict", "entry_id")
-    kept = [c for c in captures.columns if c.lower() not in made]
+    safe, back = shield(captures.drop(*[c for c in captures.columns if c.lower() in made]), ["_path", "_key", "_entry", "_best", "_n", "_url", "_at"])
     host, path = url_parts(F.col("url"))
-    rows = captures.select(*kept, F.monotonically_increasing_id().alias("_row"), host.alias("host"), path.alias("_path"))
-    held = F.struct(*[F.col(c) for c in kept], "host").alias("_row_of")
-    dealt = rows.select("_row", held, F.col("fetched").alias("_fetched"), F.explode_outer(keys(F.col("host"), F.col("_path"))).alias("_key"))
+    rows = safe.withColumn("host", host)
+    # A verdict is of a URL and a time, however many captures there are; only these go to the keys.
+    places = rows.filter("host IS NOT NULL AND fetched IS NOT NULL").select("url", "fetched").distinct()
+    places = places.withColumn("host", host).withColumn("_path", path)
+    dealt = places.select(F.col("url").alias("_url"), F.col("fetched").alias("_at"), F.explode(keys(F.col("host"), F.col("_path"))).alias("_key"))
     list_ = intervals(entries)
     rank = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in RANK.items()], F.lit(0))
     strength = F.struct(rank.alias("rank"), F.length("value").alias("length"), F.col("valid_from"), F.col("entry_id").alias("entry_id"), F.col("action").alias("action"))
     list_ = list_.select(F.col("key").alias("_key"), "valid_from", "valid_to", strength.alias("_entry"))
-    asof = (dealt["_key"] == list_["_key"]) & (F.col("_fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_fetched") < F.col("valid_to")))
-    joined = dealt.join(list_, asof, "left")
-    found = joined.groupBy("_row").agg(F.first("_row_of").alias("_row_of"), F.count("_entry").alias("n_active"), F.max("_entry").alias("_best"))
-    return found.select(
-        *[F.col("_row_of")[c].alias(c) for c in [*kept, "host"]],
-        "n_active",
-        F.coalesce(F.col("_best.action"), F.lit("none")).alias("verdict"),
+    asof = (dealt["_key"] == list_["_key"]) & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
+    found = dealt.join(list_, asof).groupBy("_url", "_at").agg(F.count("*").alias("_n"), F.max("_entry").alias("_best"))
+    # A key that no entry has leaves no row, so what comes back to the captures is matches alone.
+    told = rows.join(found, (rows["url"] == found["_url"]) & (rows["fetched"] == found["_at"]), "left")
+    return told.select(
+        *back,
+        "host",
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("_best.action", F.lit("none")).alias("verdict"),
         F.col("_best.entry_id").alias("entry_id"),
     )
 
