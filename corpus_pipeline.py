@@ -19,23 +19,21 @@ from voxelloom.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Scratch tables of stages whose results may not have been written yet.
+#: Scratch tables of the stage before, whose result has been written by the time the next one begins.
 _left: list[Scratch] = []
 
 
 def stage(work: Stage) -> Stage:
-    """Frees the scratch tables of earlier stages, whose results the documents given are read from; not those the documents still come from."""
+    """Frees the scratch tables of the stage before: the documents given are read from what was written of its result."""
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left:
-            files = docs.inputFiles()
-            for old in [x for x in _left if not any(x.root.split(":", 1)[-1].lstrip("/") in f for f in files)]:
-                _left.remove(old)
-                old.drop()
-        begun = len(Scratch.made)
+        for old in _left:
+            old.drop()
+        _left.clear()
+        begun = list(Scratch.made)
         out = work(spark, docs, sf_dir)
-        _left.extend(Scratch.made[begun:])
+        _left.extend(x for x in Scratch.made if x not in begun)
         return out
 
     return run_stage
