@@ -316,3 +316,17 @@ def test_tuning_of_segmentation(spark):
     assert R.best_trial(R.tune_segmentation(volume, trials), trials).first().trial_id == 0
     space = R.random_trials(spark, 50, 1)
     assert space.count() == 50 and space.selectExpr("min(h) >= 0.15 AND max(h) <= 0.5 AND min(confidence) >= 0.2").first()[0]
+
+
+def test_first_values_and_spectral_dropout():
+    from voxelloom.operators import layers as Y
+
+    t = Y.initial("truncated", (200, 100), 1)
+    assert abs(t).max() < 0.04 and 0.017 < t.std() < 0.0185
+    assert abs(Y.initial("small", (300, 300), 2, dim=40).std() - (2 / 200) ** 0.5) < 0.002 and abs(Y.initial("wang", (300, 300), 2, dim=16, blocks=4).std() - 0.125) < 0.002
+    assert np.allclose(Y.initial("spaced", (2, 3), 0), [[3.4, 4.7, 6.0]] * 2)
+    with pytest.raises(ValueError):
+        Y.initial("other", (2,), 0)
+    s = np.ones((3, 8, 8, 5), complex)
+    got = Y.spectral_dropout(s, 0.3, 4)
+    assert (got[:, 0, 0, 0] == 1).all() and 0.6 < got.real.mean() < 0.8 and (got == Y.spectral_dropout(s, 0.3, 4)).all()

@@ -157,3 +157,48 @@ def multi_head_norm(rows: DataFrame, item: Sequence[str], head: str, value: str,
     """Layer norm within each head of an item."""
     v = _joined(rows, [*item, head], F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
     return v.withColumn(out, (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + eps)).drop("_m", "_v")
+
+
+def initial(kind: str, shape: tuple[int, ...], seed: int, dim: int = 1, blocks: int = 1, start: float = 3.4, end: float = 6.0, std: float = 0.02) -> np.ndarray:
+    """First values of weights.
+
+    truncated: normal with deviation ``std``, cut at two of them; small: normal
+    with sqrt(2 / (5 dim)) (Nguyen and Salazar, 2019); wang: normal with
+    2 / (blocks sqrt(dim)); spaced: from start to end along the last axis.
+    """
+    rng = np.random.default_rng(seed)
+    if kind == "spaced":
+        return np.broadcast_to(np.linspace(start, end, shape[-1]), shape).copy()
+    if kind == "truncated":
+        out = rng.standard_normal(shape)
+        while (far := np.abs(out) >= 2).any():
+            out[far] = rng.standard_normal(int(far.sum()))
+        return std * out
+    scale = {"small": math.sqrt(2 / (5 * dim)), "wang": 2 / (blocks * math.sqrt(dim))}
+    if kind not in scale:
+        raise ValueError(f"no such start: {kind}")
+    return scale[kind] * rng.standard_normal(shape)
+
+
+def drop_path(rows: DataFrame, item: str, value: str, residual: str, chance: float, seed: int, scaled: bool = True, out: str = "dropped") -> DataFrame:
+    """value + residual for a share of the items drawn by item and seed, value alone for the others; what stays is scaled so that its mean holds."""
+    from .sampling import uniform
+
+    if not 0 <= chance < 1:
+        raise ValueError("chance must be in [0, 1)")
+    kept = uniform(item, F.lit(seed), F.lit("path")) >= chance
+    return rows.withColumn(out, F.col(value) + F.when(kept, F.col(residual) * (1 / (1 - chance) if scaled else 1.0)).otherwise(F.lit(0.0)))
+
+
+def traverse(rows: DataFrame, item: str, order: str, backwards: bool, out: str = "turn") -> DataFrame:
+    """The turn in which a layer takes each step of an item: from the first to the last, or from the last to the first."""
+    column = F.col(order)
+    window = Window.partitionBy(item).orderBy(column.desc() if backwards else column.asc())
+    return rows.withColumn(out, F.row_number().over(window) - 1)
+
+
+def spectral_dropout(spectrum: np.ndarray, chance: float, seed: int) -> np.ndarray:
+    """Sets a share of the frequencies to 0, never the one that holds the mean."""
+    keep = np.random.default_rng(seed).random(spectrum.shape) >= chance
+    keep[..., 0, 0, 0] = True
+    return spectrum * keep

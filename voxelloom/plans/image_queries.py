@@ -701,6 +701,17 @@ def multi_head_norm(spark, sf):
     return rounded(Y.multi_head_norm(rows, ["vec_id"], "head", "value").drop("value", "head"), "norm")
 
 
+@query(f"{_STEPS} SELECT vec_id, i, round(value + CASE WHEN {drawn('vec_id', '6', chr(39) + 'path' + chr(39))} >= 0.25 THEN value * value / 0.75 ELSE 0.0 END, 6) + 0.0 AS dropped FROM s")
+def drop_path(spark, sf):
+    rows = _steps(spark, sf).withColumn("r", F.col("value") * F.col("value"))
+    return rounded(Y.drop_path(rows, "vec_id", "value", "r", 0.25, 6).drop("value", "r"), "dropped")
+
+
+@query(f"{_STEPS} SELECT vec_id, i, CAST(63 - i AS INTEGER) AS turn FROM s")
+def traverse_backwards(spark, sf):
+    return Y.traverse(_steps(spark, sf), "vec_id", "i", True).drop("value")
+
+
 @query(f"{_STEPS} SELECT vec_id, i, round(greatest(value / sqrt(value * value + 1e-6), 0.0), 6) + 0.0 AS frn FROM s")
 def filter_response_norm_1d(spark, sf):
     return rounded(Y.filter_response_norm(_steps(spark, sf), [], "value").drop("value"), "frn")
