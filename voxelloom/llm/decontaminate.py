@@ -196,10 +196,13 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.Str
 
 
 def find_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False
 ) -> DataFrame:
     """Adds n_words, hit_spans (places of words, merged, half-open) and hit_items to each document.
 
+    With ``cut`` the hit spans are taken out of the texts as well, by the pass
+    that finds the last of them; null texts stay null.
+
     Null and empty texts have no words and no hits; items without words are
     passed over; items of equal text are all reported. Every row gets its own
     result, repeated rows too. Result columns replace input columns of the
@@ -213,11 +216,14 @@ def find_hits(
         T.StructField("hit_items", T.ArrayType(key)),
     ]
     out, scratch = docs, None
-    for k, block in enumerate(blocks_of(benchmark, window, block_words)):
-        sent = spark.sparkContext.broadcast(block)
+    blocks = blocks_of(benchmark, window, block_words)
+    block, k = next(blocks), 0
+    while block is not None:
+        sent, block = spark.sparkContext.broadcast(block), next(blocks, None)
+        cuts = cut and block is None
         inputs = ["text"] if not k else ["text", "hit_spans", "hit_items"]
 
-        def start(sent=sent):
+        def start(sent=sent, cuts=cuts):
             gsa = sent.value
 
             def run(text, old_spans=None, old_items=None):
@@ -233,7 +239,11 @@ def find_hits(
                     n.append(len(words))
                     spans.append([{"begin": a, "end": b} for a, b in found])
                     items.append(sorted(ids, key=lambda x: (x is not None, x)))
-                return [pa.array(n, pa.int64()), pa.array(spans, span_kind), pa.array(items, item_kind)]
+                made = [pa.array(n, pa.int64()), pa.array(spans, span_kind), pa.array(items, item_kind)]
+                if cuts:
+                    left = [t if not x else cut_words(t.encode(), [(y["begin"], y["end"]) for y in x]).decode() for t, x in zip(text.to_pylist(), spans)]
+                    made.append(pa.array(left, pa.string()))
+                return made
 
             return run
 
@@ -245,7 +255,8 @@ def find_hits(
             out = scratch.write(out, f"block{k}")
             if k > 1:
                 scratch.drop(f"block{k - 1}")
-        out = with_arrow(out, inputs, fields, start)
+        out = with_arrow(out, inputs, fields + ([T.StructField("text", T.StringType())] if cuts else []), start)
+        k += 1
     return out
 
 
@@ -274,22 +285,9 @@ def remove_hits(
     together where a span was is not searched again.
     """
     safe, back = shield(docs, ["n_words", "hit_spans", "hit_items"])
-    found = find_hits(safe, benchmark, window, block_words)
+    found = find_hits(safe, benchmark, window, block_words, cut=True)
     hit = F.expr("aggregate(hit_spans, 0L, (s, x) -> s + x.end - x.begin)")
-    kept = found.filter((hit == 0) | (hit < drop_coverage * F.col("n_words")))
-
-    def start():
-        def run(text, spans):
-            given = text.to_pylist()
-            out = [
-                t if not s else cut_words(t.encode(), [(x["begin"], x["end"]) for x in s]).decode()
-                for t, s in zip(given, spans.to_pylist())
-            ]
-            return [pa.array(out, pa.string())]
-
-        return run
-
-    cut = with_arrow(kept, ["text", "hit_spans"], [T.StructField("text", T.StringType())], start)
+    cut = found.filter((hit == 0) | (hit < drop_coverage * F.col("n_words")))
     if "n_chars" in docs.columns:
         changed = F.size("hit_spans") > 0
         kind = docs.schema["n_chars"].dataType
