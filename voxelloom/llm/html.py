@@ -37,6 +37,8 @@ WORD_PAGES = 5
 #: Capacity of the edge between neighbours that are next to one another in the tree, and between blocks of one parent; by each step
 #: further apart in the tree an edge keeps this share, and it keeps less between blocks that the markup does not treat alike.
 ADJACENT, SIBLING, STEP, UNLIKE = 1.2, 0.8, 0.5, 0.4
+#: Share of an edge that is lost between text and links.
+LINKS = 0.2
 #: Capacities to the terminals are this at most, less than the edges of a block among its like: none is beyond what those around it say.
 MOST = 3.0
 #: A form, or an element whose name may say boilerplate, does not say so when it holds this share of the page's words outside links.
@@ -60,7 +62,7 @@ BOILERPLATE_ELEMENT = "nav footer aside form menu".split()
 BOILERPLATE_ROLE = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split()
 # Words of class and id names that speak for boilerplate, and for content.
 BOILERPLATE_NAME = (
-    "ad ads adv advert adverts advertisement advertising adbox adslot affiliate alert alerts announcement announcements banner billboard breadcrumb breadcrumbs byline captcha comment "
+    "ad ads adv advert adverts advertisement advertising adbox adslot affiliate alert alerts announcement announcements banner billboard breadcrumb breadcrumbs captcha comment "
     "commentlist comments consent cookie cookies copyright discussion disqus disclaimer donate feedback footer footnav form gdpr header hidden "
     "legal login masthead menu menus message messages modal nav navbar navigation newsletter notice notices notification overlay pager "
     "pagination paywall poll popular popup print promo promos promoted promotion recommended register related replies reply respond responses "
@@ -180,6 +182,8 @@ class _Open:
                     self.says |= GOOD
                 if words and len(self.words) < DEEP:
                     self.words = self.words | words
+            elif key == "role" and value.lower() in ("main", "article"):
+                self.says |= ARTICLE
             elif key == "role" and value.lower() in _ROLE:
                 bit = _ROLE_BIT.get(value.lower(), MENU)
                 if bit == FORM:
@@ -323,7 +327,7 @@ def blocks(html: str, seen: Seen | None = None) -> list[Block]:
 #: Features and the weights that they have before any page is seen.
 PRIOR = {
     "one": -1.0, "length": 0.6, "links": -4.0, "sentence": 0.6, "heading": 0.6, "cell": -0.5, "paragraph": 0.8,
-    "article": 2.5, "nav": -4.0, "footer": -4.0, "aside": -4.0, "header": -3.0, "menu": -4.0, "hard": -8.0, "form": -4.5, "soft": -5.5, "good": 1.0,
+    "article": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "header": -7.0, "menu": -9.0, "hard": -11.0, "form": -9.0, "soft": -9.0, "good": 1.0,
 }
 _BITS = {"article": ARTICLE, "nav": NAV, "footer": FOOTER, "aside": ASIDE, "header": HEADER, "menu": MENU, "hard": HARD, "form": FORM, "soft": SOFT, "good": GOOD}
 _TEXT = len(PRIOR) - len(_BITS)
@@ -495,14 +499,16 @@ def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
     """The smoothness edges: neighbours by their distance in the tree, and the next block of one parent that the markup treats alike."""
     out: list[tuple[int, int, float]] = []
     last: dict[tuple, int] = {}
+    share = [b.linked / len(b.text) for b in found]
     for i, b in enumerate(found):
         like = (b.tag, b.says, b.maybe)
         if i:
             a = found[i - 1]
-            out.append((i - 1, i, ADJACENT * STEP ** max(0, distance(a, b) - 2) * (1.0 if like == (a.tag, a.says, a.maybe) else UNLIKE)))
+            near = STEP ** max(0, distance(a, b) - 2) * (1.0 if like == (a.tag, a.says, a.maybe) else UNLIKE)
+            out.append((i - 1, i, ADJACENT * near * (1 - LINKS * abs(share[i] - share[i - 1]))))
         parent = (b.path[1] if len(b.path) > 1 else 0, *like)
         if parent in last:
-            out.append((last[parent], i, SIBLING))
+            out.append((last[parent], i, SIBLING * (1 - LINKS * abs(share[i] - share[last[parent]]))))
         last[parent] = i
     return out
 
