@@ -144,3 +144,14 @@ def test_nulls_ties_empty_and_clashing_names(spark):
     got = h.extract(spark.createDataFrame(rows, PAGE + ", text string"), h.Model()).collect()
     assert len(got) == 4 and [r.text for r in got[:3]] == ["", "", WANT] and got[3].n_chars == 499_999
     assert h.report(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_plain_text_is_that_of_all_blocks():
+    import pyarrow.parquet as pq
+
+    table = [r or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+    odd = ["", "a", "<p>a<p>b", "<div hidden>x<div>y</div>z</div>w", "<p hidden>a<p>b", "<head><title> A &amp; b</title>x<body>y", "<svg><a href=1>x</a></svg>z", "a<br>b<textarea>c</textarea>d",
+           "<ul><li style='display: none'>a<li>b</ul>", "<select><option>a</select>b", "<object><script>'</object>'</script>x</object>y", "<a href='1&amp;2'>x</a><a>y</a><a HREF=z>", "<div style='color:red'>a</div>b"]
+    for page in table + odd + [p for p, _ in FLOW] + [FULL]:
+        a, b = h.Seen(), h.Seen()
+        assert h.plain_text(page, a) == [x.text for x in h.blocks(page, b)] and a == b, page[:80]

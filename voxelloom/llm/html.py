@@ -305,10 +305,7 @@ def blocks(html: str, seen: Seen | None = None) -> list[Block]:
                 flush()
             stack.close(name)
         elif name in _RAW:
-            close = _CLOSE[name].search(html, at)
-            if seen and name == "title" and seen.title is None:
-                seen.title = " ".join(unescape(html[at : close.start() if close else len(html)]).split())
-            at = close.end() if close else len(html)
+            at = _after_raw(html, name, at, seen)
         else:
             if name in _BLOCK:
                 flush()
@@ -316,12 +313,96 @@ def blocks(html: str, seen: Seen | None = None) -> list[Block]:
             if name not in _VOID and not (m[3].endswith("/") and name in _SKIPPED):
                 stack.push(name, m[3])
                 if seen and name == "a":
-                    seen.links += [unescape(x or y or z) for key, x, y, z in _ATTR.findall(m[3]) if key.lower() == "href"][:1]
+                    seen.links += _link(m[3])
     text_of(at, len(html))
     flush()
     return out
 
 
+def plain_text(html: str, seen: Seen | None = None) -> list[str]:
+    """The texts of all blocks, in order, without what the elements around them say; adds to ``seen``.
+
+    Open elements are not kept, but for one that is left out and what is in it.
+    A hidden element that needs no end tag is left to ``blocks``.
+    """
+    out: list[str] = []
+    parts: list[str] = []
+    hidden, depth, at, begun = "", 0, 0, len(seen.links) if seen else 0
+
+    def flush() -> None:
+        raw = "".join(parts)
+        parts.clear()
+        text = " ".join((unescape(raw) if "&" in raw else raw).split())
+        if text:
+            out.append(text)
+
+    search = _TAG.search
+    while m := search(html, at):
+        if not hidden and at < m.start():
+            parts.append(html[at : m.start()])
+        at = m.end()
+        name = m[2]
+        if name is None:
+            continue
+        name = name.lower()
+        if hidden and (hidden != "head" or name != "body"):
+            if name in _RAW and not m[1]:
+                at = _after_raw(html, name, at, seen)
+            elif name == hidden:
+                depth += -1 if m[1] else 1
+                hidden = hidden if depth else ""
+            elif name == "a" and seen and not m[1]:
+                seen.links += _link(m[3])
+            continue
+        hidden = ""
+        if name == "br":
+            parts.append(" ")
+        elif m[1]:
+            if name in _BLOCK and parts:
+                flush()
+        elif name in _RAW:
+            at = _after_raw(html, name, at, seen)
+        else:
+            if name in _BLOCK and parts:
+                flush()
+            if name in _VOID:
+                continue
+            attributes = m[3]
+            if name in _SKIPPED:
+                hidden, depth = ("", 0) if attributes.endswith("/") else (name, 1)
+            elif _MAY_HIDE.search(attributes) and _Open(name, 0, _ROOT, attributes).skipped:
+                if name in _LOOSE:
+                    if seen:
+                        del seen.links[begun:]
+                    return [b.text for b in blocks(html, seen)]
+                hidden, depth = name, 1
+            if seen and name == "a":
+                seen.links += _link(attributes)
+    if not hidden:
+        parts.append(html[at:])
+    flush()
+    return out
+
+
+def _after_raw(html: str, name: str, at: int, seen: Seen | None) -> int:
+    """Where the raw text of an element ends; its title is taken down."""
+    close = _CLOSE[name].search(html, at)
+    if seen and name == "title" and seen.title is None:
+        seen.title = " ".join(unescape(html[at : close.start() if close else len(html)]).split())
+    return close.end() if close else len(html)
+
+
+def _link(attributes: str) -> list[str]:
+    """Where an element leads, if it does."""
+    return [unescape(x or y or z) for key, x, y, z in _ATTR.findall(attributes) if key.lower() == "href"][:1]
+
+
+_ROOT = _Open("", 0, None, "")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+#: Elements that may end without an end tag.
+_LOOSE = frozenset([*_ENDS, "p", "html", "body", "optgroup", "thead", "tbody", "tfoot"])
+
+
 # ---- the classifier
 
 #: Features and the weights that they have before any page is seen.

@@ -14,7 +14,6 @@ files, each a gzip member, with an index of their places.
 
 from __future__ import annotations
 
-import base64
 import codecs
 import gzip
 import hashlib
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, qualified, small_batches, texts, with_arrow
-from .html import Seen, blocks
+from .html import Seen, plain_text
 
 Headers = list[tuple[str, str]]
 
@@ -46,9 +45,14 @@ _CHARSET = re.compile(r"charset\s*=\s*\"?([a-zA-Z0-9_:.-]+)", re.I)
 META_BYTES = 1024
 
 
+#: All pairs of digits in base 32 (RFC 4648), ten bits each.
+_PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+
+
 def digest(data: bytes) -> str:
     """A labelled digest as WARC writes it: SHA-1 in base 32."""
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    n = int.from_bytes(hashlib.sha1(data).digest())
+    return "sha1:" + "".join([_PAIRS[n >> k & 1023] for k in range(150, -1, -10)])
 
 
 def record_id(*names: object) -> str:
@@ -162,7 +166,7 @@ def derive(record: bytes) -> tuple[bytes, bytes]:
     status, fields, payload = http(block)
     page = text_of(fields, body_of(fields, payload))
     seen = Seen()
-    text = "\n".join([b.text for b in blocks(page, seen)]).encode("utf-8", "replace")
+    text = "\n".join(plain_text(page, seen)).encode("utf-8", "replace")
     conversion_id, metadata_id = record_id(source, "conversion"), record_id(source, "metadata")
     own, given = digest(payload), value_of(headers, "WARC-Payload-Digest")
     about = {
