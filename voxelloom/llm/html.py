@@ -229,11 +229,11 @@ class _Stack:
                 self.inline[-1][e.name] -= 1
 
     def close(self, name: str) -> None:
-        """An end tag: of a block element, whatever is open inside; of an inline one, only within its block."""
+        """An end tag: of a block element or one that is left out, whatever is open inside; of an inline one, only within its block."""
         if name in _BLOCK:
             if self.open[name]:
                 self.pop_to(next(k for k in reversed(self.blocks) if self.all[k].name == name))
-        elif self.inline[-1][name]:
+        elif self.inline[-1][name] or name in _SKIPPED and self.open[name]:
             self.pop_to(next(k for k in range(len(self.all) - 1, 0, -1) if self.all[k].name == name))
 
     def before(self, name: str) -> None:
