@@ -114,12 +114,14 @@ def motion_blur(voxels: DataFrame, shape: Sequence[int], seed: int, chance: floa
     if flat:
         return shifted_sum(drawn, motion_kernel_2d(side), shape, F.col("blur").isNotNull(), keep=("blur", "plane"))
     # Every voxel sends itself with the kernel of its own volume: the offsets are the same, the weights are worked out from angle and plane.
-    cos, sin = F.cos(F.radians("blur")), F.sin(F.radians("blur"))
-    along = {a: F.when(F.col("plane") == 0, {"z": cos, "y": sin, "x": F.lit(0.0)}[a]).when(F.col("plane") == 1, {"z": cos, "y": F.lit(0.0), "x": sin}[a]).otherwise({"z": F.lit(0.0), "y": cos, "x": sin}[a]) for a in AXES}
+    cos, sin, none = F.cos(F.radians("blur")), F.sin(F.radians("blur")), F.lit(0.0)
+    p = F.col("plane")
+    along = {"z": F.when(p < 2, cos).otherwise(none), "y": F.when(p == 0, sin).when(p == 2, cos).otherwise(none), "x": F.when(p > 0, sin).otherwise(none)}
+    drawn = drawn.withColumns({f"_{a}": c for a, c in along.items()})
     places = [(z, y, x) for z, y, x, _ in motion_kernel(0.0, side=side)]
-    weight = [F.sqrt((along["z"] * z) ** 2 + (along["y"] * y) ** 2 + (along["x"] * x) ** 2) for z, y, x in places]
-    total = sum(weight[1:], weight[0])
-    return shifted_sum(drawn, [(*p, w / total) for p, w in zip(places, weight)], shape, F.col("blur").isNotNull(), keep=("blur", "plane"))
+    weight = [F.sqrt((F.col("_z") * z) ** 2 + (F.col("_y") * y) ** 2 + (F.col("_x") * x) ** 2) for z, y, x in places]
+    drawn = drawn.withColumn("_total", sum(weight[1:], weight[0]))
+    return shifted_sum(drawn, [(*q, w / F.col("_total")) for q, w in zip(places, weight)], shape, F.col("blur").isNotNull(), keep=("blur", "plane"))
 
 
 def cue(voxels: DataFrame, seed: int, chance: float = 0.2, empty: float = -5.0) -> DataFrame:
