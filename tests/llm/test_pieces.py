@@ -209,3 +209,64 @@ def test_pre_tokens_at_once_are_those_one_by_one():
     ends = [*starts.tolist()[1:], len(text)]
     want = [pieces.pre_tokens(t) for t in batch]
     assert [text[a:b] for a, b in zip(starts.tolist(), ends)] == sum(want, []) and many.tolist() == list(map(len, want))
+
+
+def test_trie_leads_to_all_pieces_and_nowhere_else():
+    v, table = pieces.load(PATH), sampling._table(PATH)
+
+    def found(p):
+        state = 0
+        for c in p:
+            to = table.base[state] + table.code[ord(c)]
+            if table.parent[to] != state:
+                return None
+            state = to
+        return table.ids[state]
+
+    begun = {p[:k] for p in v.ids for k in range(1, len(p) + 1)}
+    assert all(found(p) == v.ids.get(p, -1) for p in begun)
+    rng, letters = random.Random(13), sorted({c for p in v.ids for c in p}) + ["๛", "\U0010ffff"]
+    others = {p + rng.choice(letters) for p in begun for _ in range(3)} - begun
+    assert len(others) > 100_000 and all(found(p) is None for p in others)
+
+
+def test_pre_tokens_share_calls_of_the_library(monkeypatch):
+    v, rng, seen = pieces.load(PATH), random.Random(14), []
+    words = sorted({w for t in ODD for w in pieces.pre_tokens(t)} | {"".join(rng.choice("abeé▁日😀\x00\t") for _ in range(rng.randrange(1, 12))) for _ in range(500)})
+    words = [x for w in words for x in pieces.pre_tokens(w)] + ["\n"] * 40
+
+    class Library:
+        def encode(self, texts, **more):
+            seen.extend(texts)
+            return real.encode(texts, **more)
+
+    real = v.model
+    monkeypatch.setattr(v, "model", Library())
+    ids, sizes = v.encode_chunks(words)
+    assert len(seen) <= len(words) / 16 + 1
+    ends = np.cumsum(sizes).tolist()
+    for w, a, b in zip(words, [0, *ends], ends):
+        # Behind a letter, and a line feed that keeps it apart, a pre-token has the ids that it has in a text.
+        assert ids[a:b].tolist() == real.encode("x\n" + w.replace("▁", " "))[len(real.encode("x\n")) :]
+    assert [x.tolist() for x in v.encode_chunks([])] == [[], []]
+
+
+def test_sums_with_and_without_logs(monkeypatch):
+    rng, table = random.Random(15), sampling._table(PATH)
+    words = ["".join(rng.choice("abtheñ日😀▁\x01\U0001fae8") for _ in range(rng.choice([1, 2, 5, 9, 30, 50, 90]))) for _ in range(300)]
+
+    def made(batch):
+        return sampling.lattice(sampling.code_points(batch), np.array(list(map(len, batch))), table)
+
+    both, alone = made(words), [made([w]) for w in words]
+    for name in ("piece", "step", "upto"):  # what is beside a pre-token does not count
+        assert (getattr(both, name) == np.concatenate([getattr(x, name) for x in alone])).all()
+    logs = []
+    monkeypatch.setattr(sampling, "_backward", lambda *a, f=sampling._backward: logs.append(len(a[4])) or f(*a))
+    made(words)
+    assert 0 < logs.pop() < sum(map(len, words))
+    monkeypatch.setattr(sampling, "LEAST", 0.0)
+    slow = made(words)
+    assert logs == [sum(map(len, words))] and (slow.piece == both.piece).all() and (slow.first == both.first).all()
+    assert np.abs(slow.step - both.step).max() <= 64 and np.abs(slow.upto - both.upto).max() < 1e-6
+    assert (both.upto[both.first[1:] - 1] == sampling.OVER).all()

@@ -25,10 +25,11 @@ recur for longest, within a bound; what it keeps never changes a result.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,12 @@ KEPT_EDGES = 4_500_000
 FEW = 24
 #: Log probabilities are kept in units of 2**-UNIT.
 UNIT = 36
+#: Pre-tokens whose every segmentation has a greater log probability than this are summed up without logs.
+LEAST = -600.0
+#: More than any sum of probabilities.
+OVER = 2.0
 
-_PRIME = 0x100000001B3
 _U = np.uint64
-#: Top bits of a hash by which the table of beginnings is entered.
-_BITS = 17
 
 
 def _times(n: int, factor: int) -> np.uint64:
@@ -73,28 +75,25 @@ def _units(logp: np.ndarray) -> np.ndarray:
 
 
 class _Table:
-    """Hashes of all beginnings of pieces, sorted, and the piece that each is (or -1)."""
+    """The trie of all pieces as a double array: a state is a slot, and its child by a letter is at ``base`` + the letter's code if that slot's ``parent`` is the state.
+
+    The root is slot 0; ``ids`` has the piece that ends in a state, or -1.
+    """
 
     def __init__(self, pieces: Pieces):
         self.longest = pieces.longest
-        self.powers = np.cumprod(np.array([1] + [_PRIME] * self.longest, np.uint64), dtype=np.uint64)
-        found: dict[str, int] = {}
-        for p, i in pieces.ids.items():
-            for k in range(1, len(p)):
-                found.setdefault(p[:k], -1)
-            found[p] = i
-        letters = sorted({c for p in pieces.ids for c in p})
-        mixed = dict(zip(letters, mix(np.array([ord(c) for c in letters], np.uint64)).tolist()))
-        powers = self.powers.tolist()
-        sums: dict[str, int] = {"": 0}
-        for p in sorted(found, key=len):
-            sums[p] = (sums[p[:-1]] + mixed[p[-1]] * powers[len(p) - 1]) & 0xFFFFFFFFFFFFFFFF
-        hashes = mix(np.array([sums[p] ^ len(p) for p in found], np.uint64))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.ids = np.array(list(found.values()), np.int32)[order]
-        # Where the hashes with each value of the top bits begin.
-        self.begin = np.searchsorted(self.hashes >> _U(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        children: dict[str, list[str]] = {"": []}
+        for p in pieces.ids:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in children:
+                    children[p[:k]] = []
+                    children[p[: k - 1]].append(p[k - 1])
+        uses = Counter(chain.from_iterable(children.values()))
+        code = {c: k + 1 for k, c in enumerate(sorted(uses, key=lambda c: (-uses[c], c)))}
+        # By code point; 0 is that of letters that no piece has.
+        self.code = np.zeros(0x110000, np.int16 if len(code) < 1 << 15 else np.int32)
+        self.code[list(map(ord, code))] = list(code.values())
+        self.base, self.parent, self.ids = _placed(children, code, pieces.ids)
         # By id: score, characters and bytes; the last entry is for -1, a character without a piece (its score is by its bytes).
         n = pieces.model.get_piece_size()
         self.byte_score = pieces.byte_score
@@ -102,24 +101,43 @@ class _Table:
         self.chars = np.ones(n + 1, np.int64)
         for p, i in pieces.ids.items():
             self.score[i], self.chars[i] = pieces.score[p], len(p)
+        self.least = float(self.score.min())
         self.bytes = np.frombuffer(b"".join(pieces.as_bytes), np.uint8)
         self.byte_size = np.fromiter(map(len, pieces.as_bytes), np.int64, n)
         self.byte_begin = np.cumsum(self.byte_size) - self.byte_size
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key is, -1 if nowhere; buckets hold few hashes."""
-        bucket = (keys >> _U(64 - _BITS)).astype(np.int64)
-        at, end = self.begin[bucket], self.begin[bucket + 1]
-        out = np.full(len(keys), -1, np.int32)
-        on = np.flatnonzero(at < end)
-        while len(on):
-            a = at[on]
-            hit = self.hashes[a] == keys[on]
-            out[on[hit]] = a[hit]
-            on = on[~hit]
-            at[on] += 1
-            on = on[at[on] < end[on]]
-        return out
+
+def _placed(children: dict[str, list[str]], code: dict[str, int], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base, parent and ids of the slots; states of many children are placed first, those of one child fill gaps."""
+    most = len(code) + 1
+    free = np.ones(2 * (most + len(children)), bool)
+    free[:most] = False  # those of the root's children, and none that would take a base below 0
+    where = {"": 0}
+    inner = sorted((p for p, c in children.items() if p and c), key=lambda p: (-len(children[p]), p))
+    several = [p for p in inner if len(children[p]) > 1]
+    for k, p in enumerate(several):
+        if k % 256 == 0:
+            gaps, begin = np.flatnonzero(free), 0
+        codes = np.array([code[c] for c in children[p]])
+        for step in count(begin, 64):
+            if step >= len(gaps) or gaps[min(step + 64, len(gaps)) - 1] + most > len(free):
+                free = np.append(free, np.ones(64 * most, bool))
+                gaps = np.flatnonzero(free)
+            tried = gaps[step : step + 64] - codes[0]
+            fits = np.flatnonzero((tried >= 0) & free[tried[:, None] + codes].all(axis=1))
+            if len(fits):
+                where[p], begin = int(tried[fits[0]]), step
+                free[where[p] + codes] = False
+                break
+    where.update((p, g - code[children[p][0]]) for p, g in zip(inner[len(several) :], np.flatnonzero(free).tolist()))
+    size = max(where.values()) + most
+    base, parent, found, slot = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1, np.int32), {"": 0}
+    for p in sorted(where, key=len):
+        base[slot[p]] = where[p]
+        for c in children[p]:
+            slot[p + c] = to = where[p] + code[c]
+            parent[to], found[to] = slot[p], ids.get(p + c, -1)
+    return base, parent, found
 
 
 @lru_cache(2)
@@ -154,9 +172,9 @@ class Lattice:
     """
 
     first: np.ndarray  # first edge of each place, and an entry more
-    back: np.ndarray  # log of the sum over all ways from each place to the end of its pre-token
     piece: np.ndarray  # id, or -1 for a character that falls back to bytes
-    upto: np.ndarray  # sum of probabilities, given the place, of its edges up to and with this one
+    step: np.ndarray  # log probability given the place, in units of 2**-UNIT
+    upto: np.ndarray  # sum of probabilities, given the place, of its edges up to and with this one; OVER for the last of them
 
 
 def _width(letters: np.ndarray) -> np.ndarray:
@@ -168,22 +186,21 @@ def lattice(letters: np.ndarray, sizes: np.ndarray, table: _Table) -> Lattice:
     """The lattices of pre-tokens of these sizes; what one gets does not depend on the others."""
     n = len(letters)
     far = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
-    mixed = mix(letters.astype(np.uint64))
-    # Hash of the letters from a place on, a letter more each round, while a piece begins so.
-    place, h = np.arange(n), np.zeros(n, np.uint64)
+    # Codes with a 0, which no piece has, behind each pre-token; where each place's is.
+    spot = np.arange(n) + np.repeat(np.arange(len(sizes)), sizes)
+    code = np.zeros(n + len(sizes), np.int64)
+    code[spot] = table.code[letters]
+    # The state of the letters from a place on, a letter more each round, while a piece begins so.
+    place, state = np.arange(n), np.zeros(n, np.int64)
     made = np.zeros(n, np.int64)  # edges of each place so far
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(table.longest):
-        if k:
-            on = np.flatnonzero(far[place] > k)
-            place, h = place[on], h[on]
-        if not len(place):
+        to = table.base[state] + code[spot + k]
+        there = np.flatnonzero(table.parent[to] == state)
+        if not len(there) and k:
             break
-        h = h + mixed[place + k] * table.powers[k]
-        at = table.find(mix(h ^ _U(k + 1)))
-        there = np.flatnonzero(at >= 0)
-        place, h = place[there], h[there]
-        piece = table.ids[at[there]]
+        place, spot, state = place[there], spot[there], to[there]
+        piece = table.ids[state]
         whole = np.flatnonzero(piece >= 0)
         src = place[whole]
         if k == 0:
@@ -203,17 +220,58 @@ def lattice(letters: np.ndarray, sizes: np.ndarray, table: _Table) -> Lattice:
         piece[e] = ids
         edges.append(e)
     value = table.score[piece]
-    if len(found) and len(found[0][0]):
-        value[edges[0]] *= _width(letters[found[0][0]])
+    worst = np.full(n, table.least)
+    if len(odd):
+        value[edges[0]] *= _width(letters[odd])
+        worst[odd] = np.minimum(value[edges[0]], table.least)
     start = np.repeat(np.arange(n), made)
-    back = _backward(first, start, table.chars[piece], value, far)
-    value -= back[start]
-    p = np.exp(value)
+    chars = table.chars[piece]
+    # Sums of probabilities, but for pre-tokens whose sums may be too small for a number: these take logs.
+    ends = np.cumsum(sizes)
+    deep = np.repeat(np.add.reduceat(worst, ends - sizes) < LEAST, sizes) if n else np.zeros(0, bool)
+    p, step = _ways(first, made, start, chars, value, np.where(deep, 0, far))
+    if deep.any():
+        some = np.flatnonzero(deep[start])
+        of, ways = (np.cumsum(deep) - 1)[start[some]], value[some]
+        back = _backward(np.append(0, np.cumsum(made[deep])), of, chars[some], ways, far[deep])
+        step[some] = ways - back[of]
+        p[some] = np.exp(step[some])
     upto, held = np.empty(len(piece), np.float32), np.zeros(n)
     for (src, _, _), e in zip(reversed(found), reversed(edges)):
         held[src] += p[e]
         upto[e] = held[src]
-    return Lattice(first, back, piece, upto)
+    upto[first[1:] - 1] = OVER
+    return Lattice(first, piece, _units(step), upto)
+
+
+def _ways(first: np.ndarray, made: np.ndarray, start: np.ndarray, chars: np.ndarray, value: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each edge given its place, and its log, where the place is ``far`` from the end of its pre-token; nothing for edges of places that are 0 from it.
+
+    All places that are as far from the ends of their pre-tokens at once.
+    """
+    n = len(far)
+    places = np.argsort(far.astype(np.uint16), kind="stable")
+    bounds = np.append(0, np.cumsum(np.bincount(far, minlength=1)))
+    # Places by their rank in that order, and the end of each pre-token as a rank more, from which there is one way.
+    rank = np.empty(n + 1, np.int64)
+    rank[places], rank[n] = np.arange(n), n
+    count = made[places]
+    cut = np.append(0, np.cumsum(count))
+    by_rank = runs(first[places], count)
+    from_ = start[by_rank]
+    size = chars[by_rank]
+    to = rank[np.where(far[from_] > size, from_ + size, n)]
+    way = np.exp(value[by_rank])
+    total = np.ones(n + 1)
+    for a, b in zip(bounds[1:-1].tolist(), bounds[2:].tolist()):
+        if a < b:
+            low, high = cut[a], cut[b]
+            way[low:high] *= total[to[low:high]]
+            total[a:b] = np.add.reduceat(way[low:high], cut[a:b] - low)
+    way /= total[rank[from_]]
+    p = np.empty(len(way))
+    p[by_rank] = way
+    return p, np.log(p)
 
 
 def _backward(first: np.ndarray, start: np.ndarray, chars: np.ndarray, value: np.ndarray, far: np.ndarray) -> np.ndarray:
@@ -262,11 +320,11 @@ class Words(Kept):
 
     def __init__(self, pieces: Pieces, table: _Table, most: int = KEPT_EDGES):
         self.table = table
-        super().__init__(lambda words: pieces.encode_chunks([w.replace(SPACE, " ") for w in words]), most)
+        super().__init__(pieces.encode_chunks, most)
 
     def clear(self) -> None:
         super().clear()
-        self.first, self.back = KeptColumn(np.int64), KeptColumn(np.float64)
+        self.first, self.step = KeptColumn(np.int64), KeptColumn(np.int64)
         self.piece, self.upto = KeptColumn(np.int32), KeptColumn(np.float32)
         self.first.add(np.zeros(1, np.int64))
 
@@ -282,12 +340,12 @@ class Words(Kept):
         places = runs(self.begin.data[which], size)
         count = first[places + 1] - first[places]
         edges = runs(first[places], count)
-        return Lattice(np.append(0, np.cumsum(count)), self.back.data[places], self.piece.data[edges], self.upto.data[edges])
+        return Lattice(np.append(0, np.cumsum(count)), self.piece.data[edges], self.step.data[edges], self.upto.data[edges])
 
     def extend(self, more: Lattice) -> None:
         self.first.add(more.first[1:] + self.piece.n)
-        self.back.add(more.back)
         self.piece.add(more.piece)
+        self.step.add(more.step)
         self.upto.add(more.upto)
 
 
@@ -360,17 +418,6 @@ class Sampler:
                 out[t].append({"ids": ids[cut[t] : cut[t + 1]], "log_prob": float(walk.log_prob[t]), "perturbed": float(walk.perturbed[t]), "inclusion": float(inclusion[t])})
         return out
 
-    def logp(self, piece: np.ndarray, place: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Log probabilities, given the place, of pieces at places in pre-tokens that end at stop."""
-        back = self.words.back.data
-        score = self.table.score[piece]
-        odd = np.nonzero(piece < 0)
-        score[odd] *= _width(self.words.letters.data[place[odd]])
-        to = place + self.table.chars[piece]
-        inner = np.nonzero(to < stop)
-        score[inner] += back[to[inner]]
-        return score - back[place]
-
     def draw(self, word: np.ndarray, many: np.ndarray, keys: np.ndarray) -> list[tuple[_Walk, tuple[np.ndarray, np.ndarray], np.ndarray]]:
         """The walks of texts of ``many`` pre-tokens each, best first: a walk of each text, its ids and its inclusion score."""
         n = len(many)
@@ -397,7 +444,7 @@ class Sampler:
 
     def _walk(self, agenda, live, score, source, leave, word, many, owner, inside, text_key) -> _Walk:
         n, turn = len(live), len(agenda)
-        first, piece, chars = self.words.first.data, self.words.piece.data, self.table.chars
+        first, piece, step, chars = self.words.first.data, self.words.piece.data, self.words.step.data, self.table.chars
         word_end = np.cumsum(many)
         resume_word, resume_place, taken_step = word_end - many, np.full(n, -1), np.zeros(n, np.int64)
         own = np.zeros(n, np.int64)
@@ -419,17 +466,14 @@ class Sampler:
             low, high = first[resume_place[on]], first[resume_place[on] + 1]
             option = low[:, None] + np.arange(int((high - low).max()))[None, :]
             allowed = (option < high[:, None]) & ~(option[:, :, None] == barred[on][:, None, :]).any(axis=2)
-            spot = resume_place[on][:, None] + np.zeros_like(option)
-            last = word[resume_word[on]]
-            stop = (self.words.begin.data[last] + self.words.size.data[last])[:, None] + np.zeros_like(option)
-            said = self.logp(piece[np.where(allowed, option, low[:, None])], spot, stop)
-            p = np.where(allowed, np.exp(said), 0.0)
+            said = step[np.where(allowed, option, low[:, None])]
+            p = np.where(allowed, np.exp(said / float(1 << UNIT)), 0.0)
             mass = np.cumsum(p, axis=1)
             u = _uniform(text_key[on] ^ _times(turn + 1, 0xBEEF)) * mass[:, -1]
             final = p.shape[1] - 1 - np.argmax(p[:, ::-1] > 0, axis=1)
             pick = np.minimum((mass <= u[:, None]).sum(axis=1), final)
             taken[on] = low + pick
-            taken_step[on] = _units(said[np.arange(len(on)), pick])
+            taken_step[on] = said[np.arange(len(on)), pick]
             p[np.arange(len(on)), pick] = 0.0
             rest = p.sum(axis=1)
         # The rest is drawn: of the word that the walk leaves in, what follows; then whole words.
@@ -452,7 +496,7 @@ class Sampler:
         edges[spot], place[spot], words[spot], steps[spot] = taken[on], resume_place[on], resume_word[on], taken_step[on]
         to = runs(cut[:-1] + own + (taken >= 0), per_text)
         edges[to], place[to], words[to] = drawn, drawn_place, np.repeat(occ, count)
-        steps[to] = _units(self.logp(piece[drawn], drawn_place, np.repeat(end, count)))
+        steps[to] = step[drawn]
         # Regions along the walk, from the edge on that it does not share.
         run = np.append(0, np.cumsum(steps))  # whole numbers: what comes before a text in the batch goes without a trace
         begins = run[cut[:-1]]
@@ -478,30 +522,27 @@ class Sampler:
         n = len(place)
         count = np.zeros(n, np.int64)
         on = np.flatnonzero(place < stop)
-        place = place.copy()
+        at, stop, key = place[on], stop[on], key[on]
         steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         tails: list[tuple[int, list[int], list[int]]] = []
         while len(on):
             if len(on) < FEW and len(steps) > FEW:
-                for i in on.tolist():
-                    e, at = self._draw_one(int(place[i]), int(stop[i]), key[i], len(steps))
-                    tails.append((i, e, at))
+                for i, p, end, own in zip(on.tolist(), at.tolist(), stop.tolist(), key):
+                    e, passed = self._draw_one(p, end, own, len(steps))
+                    tails.append((i, e, passed))
                     count[i] += len(e)
                 break
-            at = place[on]
-            u = _uniform(key[on] + _times(len(steps) + 1, 0xD1342543DE82EF95))
+            u = _uniform(key + _times(len(steps) + 1, 0xD1342543DE82EF95))
             e = first[at]
-            last = first[at + 1] - 1
-            more = np.flatnonzero((e < last) & (u >= upto[e]))
+            more = np.flatnonzero(u >= upto[e])
             while len(more):
                 e[more] += 1
-                x = e[more]
-                more = more[(x < last[more]) & (u[more] >= upto[x])]
+                more = more[u[more] >= upto[e[more]]]
             steps.append((on, e, at))
             count[on] += 1
             at = at + chars[piece[e]]
-            place[on] = at
-            on = on[at < stop[on]]
+            more = np.flatnonzero(at < stop)
+            on, at, stop, key = on[more], at[more], stop[more], key[more]
         begin = np.cumsum(count) - count
         edges, places = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
         for k, (who, e, at) in enumerate(steps):
@@ -521,8 +562,8 @@ class Sampler:
             if not block:
                 turns = np.arange(step + len(edges) + 1, step + len(edges) + 513, dtype=np.uint64) * _U(0xD1342543DE82EF95)
                 block = _uniform(key + turns).tolist()[::-1]
-            u, e, last = block.pop(), int(first[place]), int(first[place + 1]) - 1
-            while e < last and u >= upto[e]:
+            u, e = block.pop(), int(first[place])
+            while u >= upto[e]:
                 e += 1
             edges.append(e)
             places.append(place)
