@@ -270,3 +270,23 @@ def test_sums_with_and_without_logs(monkeypatch):
     assert logs == [sum(map(len, words))] and (slow.piece == both.piece).all() and (slow.first == both.first).all()
     assert np.abs(slow.step - both.step).max() <= 64 and np.abs(slow.upto - both.upto).max() < 1e-6
     assert (both.upto[both.first[1:] - 1] == sampling.OVER).all()
+
+
+def test_pre_tokens_are_kept_from_their_second_batch_on(monkeypatch):
+    s, rng, made = sampling.Sampler(PATH), random.Random(16), []
+    encode = s.words.encode
+    s.words.encode = lambda words: made.append(set(words)) or encode(words)
+    odd = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(600)]
+    for k in range(6):
+        batch = ["every batch has these " + " ".join(odd[100 * k : 100 * k + 100])]
+        rows = s(batch, np.array([k]))
+        assert shown(rows[0]) == shown(sampling.Sampler(PATH)(batch, np.array([k]))[0])
+    often = {"▁" + w for w in "every batch has these".split()}
+    assert often <= made[0] and often <= made[1] and not any(often & m for m in made[2:])
+    assert len(set().union(*made)) == 604 and s.words.lasting == len(s.words.keys) == 4
+    assert s.words.size.n == 104 and s.words.first.n == s.words.letters.n + 1 and s.words.piece.n == s.words.first.data[-1]
+    # Hashes of strings that came once are forgotten when there are too many.
+    monkeypatch.setattr("voxelloom.llm.kept.ONCE_MOST", 150)
+    for k in range(3):
+        s([" ".join("ijkl"[k] + w for w in odd[:100])], np.array([0]))
+        assert s.words.n_once <= 150 and int(s.words.once.sum()) <= 150

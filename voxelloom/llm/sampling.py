@@ -46,7 +46,7 @@ from .shingles import mix
 #: Segmentations drawn for each text.
 SAMPLES = 2
 #: Characters worked on at once (a longer text alone).
-CHARS = 300_000
+CHARS = 150_000
 #: Edges of the lattices that a worker keeps, some 20 bytes each with all that goes with them.
 KEPT_EDGES = 4_500_000
 #: Rounds over fewer places or walks than this are done one by one: long pre-tokens take many rounds.
@@ -328,6 +328,11 @@ class Words(Kept):
         self.piece, self.upto = KeptColumn(np.int32), KeptColumn(np.float32)
         self.first.add(np.zeros(1, np.int64))
 
+    def cut(self, strings: int, letters: int, ids: int) -> None:
+        super().cut(strings, letters, ids)
+        self.first.n = letters + 1
+        self.piece.n = self.step.n = self.upto.n = int(self.first.data[-1])
+
     def held(self) -> int:
         """Edges."""
         return self.piece.n
